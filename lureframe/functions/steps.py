@@ -19,20 +19,20 @@ def derive(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return df
 
 
-def derive_array(arr: Column, base: Sequence[str], steps: Sequence[Step], keep: Sequence[str] | None = None) -> Column:
-    """The same steps applied to each struct of ``arr`` (which has the fields ``base``)."""
-    fields = list(base)
+def derive_array(arr: Column, steps: Sequence[Step], keep: Sequence[str] | None = None) -> Column:
+    """The same steps applied to each struct of ``arr``."""
     for step in steps:
-        arr = F.transform(arr, _grow(tuple(fields), step))
-        fields += [name for name, _ in step]
+        arr = F.transform(arr, _grow(step))
     if keep is None:
         return arr
     return F.transform(arr, lambda x: F.struct(*[x[f].alias(f) for f in keep]))
 
 
-def _grow(fields: tuple[str, ...], step: Step):
+def _grow(step: Step):
     def grow(x):
-        old = [x[f].alias(f) for f in fields]
-        return F.struct(*old, *[fn(lambda n: x[n]).alias(name) for name, fn in step])
+        out = x
+        for name, fn in step:
+            out = out.withField(name, fn(lambda n: x[n]))
+        return out
 
     return grow

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
 from ..functions import text as tx
-from ..functions.literals import empty_strings, str_array
+from ..functions.literals import empty_strings, sql_str, str_array
 
 # FIXED VALUES: entity patterns, currency marks and month names.
 URL = r"(?iU)\b(?:(?:https?|ftp)://|www\.)[^\s<>()\[\]{}\"'`\\]+"
@@ -170,6 +170,17 @@ def brand_terms(lex: lx.Lexicon) -> list[str]:
     return [k for k, _, _ in lex.brands]
 
 
+def _brand_table(lex: lx.Lexicon) -> Column:
+    bucket = {"company": "companies", "bank": "banks"}
+    rows = [
+        f"named_struct('key', {sql_str(key)}, 'kind', {sql_str(kind)}, "
+        f"'value', {sql_str(key.upper() if kind != 'company' and len(key) <= 4 else key.title())}, "
+        f"'bucket', {sql_str(bucket.get(kind, 'organizations'))}, 'context', 'claimed organization in message')"
+        for key, kind, _ in sorted(lex.brands, key=lambda b: len(b[0]), reverse=True)
+    ]
+    return F.expr("array(" + ", ".join(rows) + ")")
+
+
 def extract_brands(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT, compat: bool = False, text: str = "lower_body") -> DataFrame:
     """Known organisations, longest name first, then aliases of brands not yet found.
 
@@ -177,20 +188,10 @@ def extract_brands(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT, compat: bool = F
     the exact word-boundary test.  ``compat`` matches aliases inside words too.
     """
     low = F.col(text)
-    found = [
-        F.when(
-            F.array_contains("hits", key) & low.rlike(rf"(?U)\b{key}\b"),
-            F.struct(
-                F.lit(key).alias("key"), F.lit(kind).alias("kind"),
-                F.lit(key.upper() if kind != "company" and len(key) <= 4 else key.title()).alias("value"),
-                F.lit({"company": "companies", "bank": "banks"}.get(kind, "organizations")).alias("bucket"),
-                F.lit("claimed organization in message").alias("context"),
-            ),
-        )
-        for key, kind, _ in sorted(lex.brands, key=lambda b: len(b[0]), reverse=True)
-    ]
+    known = F.filter(_brand_table(lex), lambda b: F.array_contains("hits", b["key"]) & F.rlike(
+        low, F.concat(F.lit(r"(?U)\b"), b["key"], F.lit(r"\b"))))
+    df = df.withColumn("brands", known)
     kinds = {k: kind for k, kind, _ in lex.brands}
-    df = df.withColumn("brands", F.array_compact(F.array(*found)))
     seen_aliases: dict[str, Column] = {}
     extra = []
     for alias, key in lex.aliases:

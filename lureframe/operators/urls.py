@@ -22,7 +22,7 @@ def analyze_urls(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT, url: str = "url")
 def url_facts(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT) -> DataFrame:
     """``url_facts``: the same facts as an array inside the message row, so nothing is shuffled."""
     start = F.transform("all_urls", lambda u: F.struct(u.alias("raw_url")))
-    facts = derive_array(start, ["raw_url"], uf.url_steps(lex), uf.URL_FIELDS)
+    facts = derive_array(start, uf.url_steps(lex), uf.URL_FIELDS)
     empty = F.filter(facts, lambda _: F.lit(False))
     return df.withColumn("url_facts", F.when(F.size("all_urls") > 0, facts).otherwise(empty))
 
@@ -68,6 +68,16 @@ def is_official(suffixes: Column, brand: Column, lex: lx.Lexicon = lx.DEFAULT) -
     return F.coalesce(F.arrays_overlap(F.try_element_at(official, brand), suffixes), F.lit(False))
 
 
+def official_owners(hosts: DataFrame, lex: lx.Lexicon = lx.DEFAULT, host: str = "host") -> DataFrame:
+    """(host, brand) for every host on an official domain of a brand: an equi-join on exploded suffixes.
+
+    The broadcast side is the brand dimension (about a hundred rows by construction).
+    """
+    dim = hosts.sparkSession.createDataFrame([(k, h) for _, k, h in official_pairs(lex)], "brand string, entry string")
+    keyed = hosts.select(host, F.explode(uf.suffixes_of(F.col(host))).alias("entry"))
+    return keyed.join(F.broadcast(dim), "entry").select(host, "brand").distinct()
+
+
 def brand_impersonation(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT, compat: bool = False) -> DataFrame:
     """``impersonation``: claimed brand x non-official host pairs that invoke the brand.
 
