@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from .bind import let
 from .literals import array_map, str_array
 
 # FIXED VALUES: characters stripped from both ends of a text (Unicode white space).
@@ -136,7 +137,7 @@ def requestive(lower: Column, patterns: Sequence[str], negations: Sequence[str],
 
 def first_by(values: Column, key: Column) -> Column:
     """Elements of ``values`` whose parallel ``key`` occurs for the first time, order kept."""
-    return F.filter(values, lambda x, i: F.array_position(key, F.get(key, i)) == i + 1)
+    return let(lambda b: F.filter(b["v"], lambda x, i: F.array_position(b["k"], F.get(b["k"], i)) == i + 1), v=values, k=key)
 
 
 def weighted(flags: Mapping[str, Column]) -> Column:

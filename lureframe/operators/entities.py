@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
 from ..functions import text as tx
+from ..functions.bind import let, unnest
 from ..functions.literals import empty_strings, sql_str, str_array
 
 # FIXED VALUES: entity patterns, currency marks and month names.
@@ -42,7 +43,7 @@ def _around(text: Column, pattern: str, reach: int) -> tuple[Column, Column, Col
     The context is captured by look-around, so it never consumes text that a
     later match needs.
     """
-    regex = f"(?s)(?<=(\\A.{{0,{reach - 1}}}|.{{{reach}}}))({pattern})(?=(.{{0,{reach}}}))"
+    regex = f"(?s)(?={pattern})(?<=(\\A.{{0,{reach - 1}}}|.{{{reach}}}))({pattern})(?=(.{{0,{reach}}}))"
     return tuple(F.regexp_extract_all(text, F.lit(regex), F.lit(g)) for g in (2, 1, 3))
 
 
@@ -83,7 +84,7 @@ def extract_urls(df: DataFrame, text: str = "body") -> DataFrame:
 def merge_explicit_urls(df: DataFrame) -> DataFrame:
     """URLs of the text followed by submitted ones not already among them (in extracted form)."""
     extra = F.transform(
-        F.filter("urls", lambda u: ~F.array_contains("found_urls", u)),
+        let(lambda x: F.filter(x["urls"], lambda u: ~F.array_contains(x["found"], u)), urls="urls", found="found_urls"),
         lambda u: F.coalesce(F.get(urls_in(u), F.lit(0)), u),
     )
     return df.withColumn("all_urls", F.concat("found_urls", extra))
@@ -188,8 +189,9 @@ def extract_brands(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT, compat: bool = F
     the exact word-boundary test.  ``compat`` matches aliases inside words too.
     """
     low = F.col(text)
-    known = F.filter(_brand_table(lex), lambda b: F.array_contains("hits", b["key"]) & F.rlike(
-        low, F.concat(F.lit(r"(?U)\b"), b["key"], F.lit(r"\b"))))
+    table = _brand_table(lex)
+    known = let(lambda x: F.filter(table, lambda b: F.array_contains(x["hits"], b["key"]) & F.rlike(
+        x["low"], F.concat(F.lit(r"(?U)\b"), b["key"], F.lit(r"\b")))), hits="hits", low=low)
     df = df.withColumn("brands", known)
     kinds = {k: kind for k, kind, _ in lex.brands}
     seen_aliases: dict[str, Column] = {}
@@ -220,7 +222,10 @@ def _item(bucket: str, kind: Column | str, value: Column, context: Column | str,
 
 def collect_entities(df: DataFrame) -> DataFrame:
     """All entity columns as one array of structs, in bucket order."""
-    url_context = lambda u: F.when(F.array_contains("found_urls", u), "message text").otherwise("explicit submission")
+    def url_items(x):
+        source = lambda u: F.when(F.array_contains(x["found"], u), "message text").otherwise("explicit submission")
+        return F.transform(x["all"], lambda u: _item("urls", "url", u, source(u)))
+
 
     def named(bucket):
         return F.transform(F.filter("brands", lambda b: b["bucket"] == bucket),
@@ -228,7 +233,7 @@ def collect_entities(df: DataFrame) -> DataFrame:
 
     brands = [named(b) for b in ("companies", "banks", "organizations")]
     return df.withColumn("entities", F.concat(
-        F.transform("all_urls", lambda u: _item("urls", "url", u, url_context(u))),
+        let(url_items, all="all_urls", found="found_urls"),
         F.transform("emails", lambda e: _item("emails", "email", e, "message text")),
         F.transform("phones", lambda p: _item("phones", "phone", p["value"], p["context"])),
         *brands,
@@ -239,11 +244,11 @@ def collect_entities(df: DataFrame) -> DataFrame:
 
 
 def entities_long(df: DataFrame) -> DataFrame:
-    return df.select("msg_id", F.posexplode("entities").alias("ord", "e")).select("msg_id", "ord", "e.*")
+    return unnest(df, "entities", "msg_id")
 
 
 def entity_counts(df: DataFrame) -> DataFrame:
     """Number of entities per message and bucket; counted inside the row, without a shuffle."""
-    counts = F.transform(str_array(BUCKETS), lambda b: F.struct(
-        b.alias("bucket"), F.size(F.filter("entities.bucket", lambda x: x == b)).alias("n")))
-    return df.select("msg_id", F.inline(counts))
+    counts = let(lambda x: F.transform(str_array(BUCKETS), lambda b: F.struct(
+        b.alias("bucket"), F.size(F.filter(x["buckets"], lambda y: y == b)).alias("n"))), buckets="entities.bucket")
+    return unnest(df, counts, "msg_id").drop("ord")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import lexicon as lx
+from ..functions.bind import unnest
 from .rules import category_label
 
 CHILD_TABLES = ["evidence", "entities", "analyses", "risk", "reports"]
@@ -13,7 +14,7 @@ def result_tables(triaged: DataFrame) -> dict[str, DataFrame]:
     """The six result tables of a triaged batch, keyed on msg_id."""
     keep = [c for c in ("msg_id", "user_id", "ts", "title", "source_label") if c in triaged.columns]
     day = F.to_date("ts").alias("day") if "ts" in triaged.columns else F.current_date().alias("day")
-    long = lambda column: triaged.select("msg_id", day, F.posexplode(column).alias("ord", "e")).select("msg_id", "day", "ord", "e.*")
+    long = lambda column: unnest(triaged, column, "msg_id", day)
     stages = F.array_compact(F.array(
         F.lit("parse"), F.lit("analyze"), F.when(F.col("ambiguous"), F.lit("llm_classify")),
         F.when(F.size("url_facts") > 0, F.lit("url_analysis")), F.when(F.size("brands") > 0, F.lit("entity_analysis")),
@@ -24,7 +25,7 @@ def result_tables(triaged: DataFrame) -> dict[str, DataFrame]:
                                          "sufficiency", "probability", "ml_label", "ml_model", "ml_is_mock"),
         "evidence": long("evidence"),
         "entities": long("entities"),
-        "analyses": triaged.select("msg_id", day, F.posexplode(stages).alias("ord", "stage")),
+        "analyses": unnest(triaged, stages, "msg_id", day, item="stage"),
         "risk": triaged.select("msg_id", day, "score", "raw_score", "level", "confidence", "contributors"),
         "reports": triaged.select("msg_id", day, "primary", "alternatives", "class_confidence", "summary", "objective",
                                   "objective_confidence", "recommendations", "limitations", "conclusion", "sections"),

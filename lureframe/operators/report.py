@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.bind import unnest
 from .risk import severity_rank
 from .rules import category_label
 
@@ -20,8 +21,8 @@ def ranked_evidence(df: DataFrame) -> DataFrame:
 
 def top_evidence(df: DataFrame, k: int) -> DataFrame:
     """Long form of the first ``k`` ranked items per message."""
-    return ranked_evidence(df).select("msg_id", F.posexplode(F.slice("ranked", 1, k)).alias("pos", "e")).select(
-        "msg_id", (F.col("pos") + 1).alias("rank"), "e.*")
+    top = unnest(ranked_evidence(df), F.slice("ranked", 1, k), "msg_id", pos="pos")
+    return top.withColumn("rank", F.col("pos") + 1).drop("pos")
 
 
 def _signal(prefix: str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as uf
+from ..functions.bind import unnest
 from .signals import evidence
 
 BROADCAST_LIMIT = 64 * 1024 * 1024
@@ -65,7 +66,7 @@ def split_lookupable(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def _listed_hosts(urls: DataFrame, feed: DataFrame, id_col: str) -> DataFrame:
-    keyed = urls.select(id_col, F.posexplode(uf.suffixes_of(F.col("host"))).alias("depth", "entry"))
+    keyed = unnest(urls, uf.suffixes_of(F.col("host")), id_col, pos="depth", item="entry")
     return feed_join(keyed, feed, "entry", F.struct(id_col, "depth"), how="inner")
 
 
@@ -180,8 +181,8 @@ def attach_reputation(df: DataFrame, reputation: DataFrame | None, blocklist: li
         return df.withColumn("intel", F.transform("url_facts", local))
 
     feed = reputation.select("entry", F.struct("verdict", "status", "risk_score", "is_mock", "provider", "reputation").alias("r"))
-    asked = df.select("msg_id", F.posexplode(F.col("url_facts.suffixes")).alias("i", "s")).select(
-        "msg_id", "i", F.posexplode("s").alias("depth", "entry"))
+    per_link = unnest(df, F.col("url_facts.suffixes"), "msg_id", pos="i", item="s")
+    asked = unnest(per_link, "s", "msg_id", "i", pos="depth", item="entry")
     listed = feed_join(asked, feed, "entry", F.struct("msg_id", "i"), how="inner")
     per_url = listed.groupBy("msg_id", "i").agg(F.min_by("r", "depth").alias("r"))
     per_msg = per_url.groupBy("msg_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("_intel"))

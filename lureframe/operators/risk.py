@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
+from ..functions.bind import let, unnest
 from ..functions.literals import str_map
 from ..functions.rounding import clamp
 from ..functions.text import first_by
@@ -29,7 +30,7 @@ def union_evidence(df: DataFrame, **parts: Column) -> DataFrame:
 
 
 def evidence_long(df: DataFrame, column: str = "evidence") -> DataFrame:
-    return df.select("msg_id", F.posexplode(column).alias("ord", "e")).select("msg_id", "ord", "e.*")
+    return unnest(df, column, "msg_id")
 
 
 def dedup_evidence(df: DataFrame) -> DataFrame:
@@ -53,11 +54,14 @@ def themes(df: DataFrame) -> DataFrame:
     the themes whose worst severity is at least medium."""
     df = df.withColumn("_t", F.transform("unique_evidence", lambda e: F.struct(
         theme_of(e["source"]).alias("theme"), severity_rank(e["severity"]).alias("rank"))))
-    df = df.withColumn("themes", F.transform(F.array_distinct("_t.theme"), lambda t: F.struct(
-        t.alias("theme"),
-        F.array_max(F.transform(F.filter("_t", lambda x: x["theme"] == t), lambda x: x["rank"])).alias("worst"),
-        F.size(F.filter("_t", lambda x: x["theme"] == t)).alias("items"),
-    )))
+    def gather(rows):
+        def one(t):
+            mine = F.filter(rows, lambda x: x["theme"] == t)
+            return F.struct(t.alias("theme"), F.array_max(F.transform(mine, lambda x: x["rank"])).alias("worst"), F.size(mine).alias("items"))
+
+        return F.transform(F.array_distinct(rows["theme"]), one)
+
+    df = df.withColumn("themes", let(lambda x: gather(x["rows"]), rows="_t"))
     return df.withColumn("corroborating", F.transform(
         F.filter("themes", lambda t: t["worst"] >= 2), lambda t: theme_label(t["theme"]))).drop("_t")
 

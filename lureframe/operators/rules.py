@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
+from ..functions.bind import let
 from ..functions.literals import sql_array, sql_str, str_array, str_map
 from .signals import evidence
 
@@ -24,12 +25,13 @@ def _rule_table(lex: lx.Lexicon) -> Column:
 
 def rule_hits(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT) -> DataFrame:
     """``raw_matches``: rules with at least one keyword or pattern in the text, before any gate."""
-    hit = F.transform(_rule_table(lex), lambda r: F.struct(
-        *[r[f].alias(f) for f in ("id", "category", "name", "description", "weight", "severity", "confidence",
-                                  "required", "needs_request", "alarm")],
-        F.array_intersect(r["keywords"], F.col("hits")).alias("keywords"),
-        F.array_intersect(r["patterns"], F.col("pattern_hits")).alias("patterns"),
-    ))
+    fields = ("id", "category", "name", "description", "weight", "severity", "confidence", "required", "needs_request", "alarm")
+    table = _rule_table(lex)
+    hit = let(lambda x: F.transform(table, lambda r: F.struct(
+        *[r[f].alias(f) for f in fields],
+        F.array_intersect(r["keywords"], x["hits"]).alias("keywords"),
+        F.array_intersect(r["patterns"], x["pattern_hits"]).alias("patterns"),
+    )), hits="hits", pattern_hits="pattern_hits")
     return df.withColumn("raw_matches", F.filter(hit, lambda m: F.size(m["keywords"]) + F.size(m["patterns"]) > 0))
 
 
@@ -59,11 +61,9 @@ def apply_gates(df: DataFrame) -> DataFrame:
         "request_context": request_context(),
         "alarm_silenced": alarm_silenced(),
     })
-    return df.withColumn("matches", F.filter("raw_matches", lambda m: (
-        entity_gate(m, F.col("entity_types"))
-        & (~m["needs_request"] | F.col("request_context"))
-        & ~(m["alarm"] & F.col("alarm_silenced"))
-    )))
+    return df.withColumn("matches", let(lambda x: F.filter(x["raw"], lambda m: (
+        entity_gate(m, x["types"]) & (~m["needs_request"] | x["asks"]) & ~(m["alarm"] & x["silenced"])
+    )), raw="raw_matches", types="entity_types", asks="request_context", silenced="alarm_silenced"))
 
 
 def match_rules(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT) -> DataFrame:
@@ -94,15 +94,18 @@ def classify_categories(df: DataFrame) -> DataFrame:
     )
     df = df.withColumn("votes", votes)
 
-    def tally(c, i):
-        mine = F.filter("votes", lambda v: v["category"] == c)
-        return F.struct(
-            (-F.aggregate(mine, F.lit(0.0), lambda a, v: a + v["weight"])).alias("neg_score"),
-            (-F.aggregate(mine, F.lit(0), lambda a, v: a + v["n"])).alias("neg_hits"),
-            i.alias("ord"), c.alias("category"),
-        )
+    def tally(votes):
+        def one(c, i):
+            mine = F.filter(votes, lambda v: v["category"] == c)
+            return F.struct(
+                (-F.aggregate(mine, F.lit(0.0), lambda a, v: a + v["weight"])).alias("neg_score"),
+                (-F.aggregate(mine, F.lit(0), lambda a, v: a + v["n"])).alias("neg_hits"),
+                i.alias("ord"), c.alias("category"),
+            )
+
+        return F.transform(F.array_distinct(votes["category"]), one)
 
-    df = df.withColumn("ranking", F.array_sort(F.transform(F.array_distinct("votes.category"), tally)))
+    df = df.withColumn("ranking", F.array_sort(let(lambda x: tally(x["votes"]), votes="votes")))
     n = F.size("ranking")
     first = F.get(F.col("ranking"), F.lit(0))
     total = F.aggregate("ranking", F.lit(0.0), lambda a, x: a + x["neg_score"])

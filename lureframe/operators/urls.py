@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
 from ..functions import urls as uf
+from ..functions.bind import let, unnest
 from ..functions.literals import array_map, str_array
 from ..functions.rounding import percent
 from ..functions.steps import derive, derive_array
@@ -74,7 +75,7 @@ def official_owners(hosts: DataFrame, lex: lx.Lexicon = lx.DEFAULT, host: str =
     The broadcast side is the brand dimension (about a hundred rows by construction).
     """
     dim = hosts.sparkSession.createDataFrame([(k, h) for _, k, h in official_pairs(lex)], "brand string, entry string")
-    keyed = hosts.select(host, F.explode(uf.suffixes_of(F.col(host))).alias("entry"))
+    keyed = unnest(hosts, uf.suffixes_of(F.col(host)), host, item="entry")
     return keyed.join(F.broadcast(dim), "entry").select(host, "brand").distinct()
 
 
@@ -94,8 +95,9 @@ def brand_impersonation(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT, compat: boo
 
     named = F.transform(hosts, lambda u: F.struct(
         u["host"].alias("host"), u["suffixes"].alias("suffixes"), brand_of_host(u["host"], u["suffixes"], lex).alias("host_brand")))
-    pairs = F.flatten(F.transform(F.array_distinct("brands.key"), lambda b: F.transform(
-        F.col("_hosts"), lambda u: F.struct(b.alias("brand"), u["host"].alias("host"), judge(u, b).alias("signal")))))
+    pairs = F.flatten(let(lambda x: F.transform(F.array_distinct(x["keys"]), lambda b: F.transform(
+        x["hosts"], lambda u: F.struct(b.alias("brand"), u["host"].alias("host"), judge(u, b).alias("signal")))),
+        keys="brands.key", hosts="_hosts"))
     hit = F.filter(pairs, lambda p: p["signal"].isNotNull())
     if compat:
         hit = F.filter(hit, lambda _: F.lit(False))

@@ -2,7 +2,7 @@
 
 RE2 has no look-around, so boundaries are consuming groups and negated verbs
 are removed before verbs are searched.  ``low`` is the lower-cased body;
-``loww`` the same with non-ASCII letters replaced by ``z``, so that RE2's ASCII
+``loww`` the same with non-ASCII letters replaced by ``_``, so that RE2's ASCII
 ``\\b`` sees the word boundaries of the original.
 """
 from __future__ import annotations
@@ -108,7 +108,7 @@ CTES: dict[str, tuple[list[str], str]] = {
 SELECT *, {REJECT} AS reject_reason, {norm('text')} AS body FROM (
  SELECT * REPLACE (list_filter(list_transform(coalesce(urls, []::VARCHAR[]), lambda u: {trim('u')}), lambda u: u <> '') AS urls) FROM messages)"""),
     "acc": (["checked"], "SELECT * FROM checked WHERE reject_reason IS NULL"),
-    "txt": (["acc"], r"SELECT msg_id, body, lower(body) AS low, regexp_replace(lower(body), '[^\x00-\x7F\P{L}]', 'z', 'g') AS loww FROM acc"),
+    "txt": (["acc"], r"SELECT msg_id, body, lower(body) AS low, regexp_replace(lower(body), '[^\x00-\x7F\P{L}]', '_', 'g') AS loww FROM acc"),
     "hits": (["txt"], f"SELECT msg_id, {cases((term_case('low', t), t) for t in lx.DEFAULT.terms())} AS hits FROM txt"),
     "pats": (["txt"], "SELECT msg_id, " + cases((f"regexp_matches(loww, {s(p)})", p) for p in ALL_PATTERNS) + " AS pats,\n"
              f"regexp_matches(regexp_replace(loww, {s('(never|do not|don' + chr(39) + '?t|won' + chr(39) + '?t|should not|must not|will never)' + chr(92) + 's*(?:' + VERBS + ')')}, '\\1 ', 'g'), {s(VERBS)}) AS ask FROM txt"),

@@ -5,15 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lureframe import lexicon as lx
-from lureframe.functions import text as tx, urls as uf
-from lureframe.operators import (
-    datasets as ds, entities as en, evaluate as ev, history as hi, ingest, model as ml, report as rp, reputation as rep, risk,
-    rules, signals, urls,
-)
+from lureframe.functions import urls as uf
+from lureframe.functions.bind import unnest
+from lureframe.operators import datasets as ds, entities as en, evaluate as ev, model as ml, rules, signals, urls
 from lureframe.plans import triage as plan
-from lureframe.sources import labelled as lab, results as res, synthetic as syn
-from lureframe.streaming import rate_limit, triage_stream
+from lureframe.sources import results as res
 
 from . import fixture as fx
 
@@ -81,14 +77,14 @@ class Stages:
 
     @property
     def url_table(self):
-        raw = en.merge_explicit_urls(en.extract_urls(self.body)).select(F.explode("all_urls").alias("url")).distinct()
-        return self._get("url_table", lambda: urls.analyze_urls(raw))
+        raw = lambda: unnest(en.merge_explicit_urls(en.extract_urls(self.body)), "all_urls", item="url").select("url").distinct()
+        return self._get("url_table", lambda: urls.analyze_urls(raw()))
 
     @property
     def host_rows(self):
         """Every URL occurrence with an id and its host."""
-        rows = en.merge_explicit_urls(en.extract_urls(self.body)).select("msg_id", F.posexplode("all_urls").alias("ord", "raw_url"))
-        return self._get("host_rows", lambda: rows.select(
+        rows = lambda: unnest(en.merge_explicit_urls(en.extract_urls(self.body)), "all_urls", "msg_id", item="raw_url")
+        return self._get("host_rows", lambda: rows().select(
             (F.col("msg_id") * 100 + F.col("ord")).alias("url_id"), uf.host_of(uf.absolute(F.col("raw_url"))).alias("host")))
 
     @property
