@@ -56,7 +56,7 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.col("features")[n].alias(f"f_{n}") for n in lx.FEATURES])
 
 
-def train_classifier(df: DataFrame, label: str = "label", c: float = 0.8, max_iter: int = 2000) -> PipelineModel:
+def train_classifier(df: DataFrame, label: str = "label", c: float = 0.8, max_iter: int = 2000, tol: float = 1e-4) -> PipelineModel:
     """Standardised logistic regression with balanced class weights.
 
     Class sizes are one aggregate; the rest is Spark ML's distributed solver.
@@ -75,7 +75,7 @@ def train_classifier(df: DataFrame, label: str = "label", c: float = 0.8, max_it
     stages = [
         VectorAssembler(inputCols=[f"f_{f}" for f in lx.FEATURES], outputCol="raw_vector"),
         StandardScaler(inputCol="raw_vector", outputCol="vector", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="vector", labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / (c * n),
+        LogisticRegression(featuresCol="vector", labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / (c * n), tol=tol,
                            elasticNetParam=0.0, standardization=False, probabilityCol="p", predictionCol="predicted",
                            rawPredictionCol="margin"),
     ]

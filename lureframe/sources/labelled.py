@@ -80,9 +80,9 @@ def read_tsv_labelled(spark: SparkSession, path: str, **options) -> tuple[DataFr
     return parse_tsv_labelled(lines, **options)
 
 
-def read_eval_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases with the expectation flattened."""
-    cases = spark.read.schema(EVAL_SCHEMA).json(path, multiLine=True)
+def read_eval_corpus(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Evaluation cases (a JSON list, or JSON lines with ``multiline=False``) with the expectation flattened."""
+    cases = spark.read.schema(EVAL_SCHEMA).json(path, multiLine=multiline)
     if cases.isEmpty():
         raise ValueError(f"evaluation corpus is empty: {path}")
     return cases.select(

@@ -22,7 +22,7 @@ def s(v: str) -> str:
 
 
 def lst(values) -> str:
-    return "[" + ", ".join(s(v) for v in values) + "]::VARCHAR[]"
+    return "([" + ", ".join(s(v) for v in values) + "]::VARCHAR[])"
 
 
 WS = s(WHITESPACE)

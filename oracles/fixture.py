@@ -120,10 +120,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def spread_stream(df: DataFrame) -> DataFrame:
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "event_id")
-
-
 def from_events(events: DataFrame) -> DataFrame:
     spark = events.sparkSession
     tpl = spark.createDataFrame(

@@ -24,29 +24,22 @@ def m2(spark, d):
     return stages(spark, d).predicted.select("msg_id", "probability", F.col("ml_label").alias("label"))
 
 
-def _training(spark, d):
-    rows = stages(spark, d).featured.where("is_scam is not null")
-    return ds.stratified_split(rows.select(F.col("msg_id").alias("id"), "features", F.when(F.col("is_scam"), "scam").otherwise("benign").alias("label")))
-
-
 @register("m3_train_classifier")
 def m3(spark, d):
-    rows = _training(spark, d)
-    model = ml.train_classifier(rows.where("split = 'train'"))
-    scored = ml.predict_model(rows.where("split = 'test'"), model)
-    return ev.model_metrics(scored)
+    st = stages(spark, d)
+    return ev.model_metrics(ml.predict_model(st.training.where("split = 'test'"), st.model))
 
 
 @register("m4_score_classifier")
 def m4(spark, d):
-    rows = _training(spark, d)
-    model = ml.train_classifier(rows.where("split = 'train'"))
-    return ml.predict_model(rows.where("split <> 'train'"), model).select("id", "split", "label", "probability", "ml_label")
+    st = stages(spark, d)
+    scored = ml.predict_model(st.training.where("split <> 'train'"), st.model)
+    return scored.select("id", "split", "label", "probability", "ml_label")
 
 
 @register("m4_feature_importance")
 def m4_importance(spark, d):
-    return ml.feature_importance(spark, ml.train_classifier(_training(spark, d).where("split = 'train'")))
+    return ml.feature_importance(spark, stages(spark, d).model)
 
 
 @register("m5_ml_evidence", q("SELECT msg_id, CASE WHEN probability >= 0.5e0 THEN 'ml_probability_high' ELSE 'ml_probability_low' END AS signal, CASE WHEN probability >= 0.5e0 THEN 'medium' ELSE 'info' END AS severity, round(least(0.9e0, 0.4e0 + probability), 6) AS confidence FROM ml", "ml"))

@@ -90,17 +90,17 @@ def h7(spark, d):
 
 
 STAGE_NAMES = [x for x, _ in lx.STAGES]
-STAGE_LOG = f"SELECT user_id AS msg_id, {c.lst(STAGE_NAMES + ['other'])}[event_id % 13 + 1] AS stage, ts AS at, CAST(floor(value) AS BIGINT) AS duration_ms FROM events"
+STAGE_LOG = f"SELECT user_id AS msg_id, {c.lst(STAGE_NAMES + ['other'])}[event_id % 13 + 1] AS stage, ts AS started, CAST(floor(value) AS BIGINT) AS duration_ms FROM events"
 
 
-@register("h8_stage_timeline", q(f"""SELECT msg_id, stage, CAST(list_position({c.lst(STAGE_NAMES)}, stage) - 1 AS BIGINT) AS stage_order, {c.lst([t for _, t in lx.STAGES])}[list_position({c.lst(STAGE_NAMES)}, stage)] AS label, strftime(at, '%Y-%m-%d %H:%M:%S') AS at, duration_ms
- FROM (SELECT *, row_number() OVER (PARTITION BY msg_id, stage ORDER BY at, duration_ms) AS rn FROM log WHERE stage <> 'other') WHERE rn = 1""", extra={"log": STAGE_LOG}))
+@register("h8_stage_timeline", q(f"""SELECT msg_id, stage, CAST(list_position({c.lst(STAGE_NAMES)}, stage) - 1 AS BIGINT) AS stage_order, {c.lst([t for _, t in lx.STAGES])}[list_position({c.lst(STAGE_NAMES)}, stage)] AS label, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, duration_ms
+ FROM (SELECT *, row_number() OVER (PARTITION BY msg_id, stage ORDER BY started, duration_ms) AS rn FROM log WHERE stage <> 'other') WHERE rn = 1""", extra={"log": STAGE_LOG}))
 def h8(spark, d):
     e = stages(spark, d).table("events")
     log = e.select(F.col("user_id").alias("msg_id"), F.element_at(F.array(*[F.lit(x) for x in STAGE_NAMES + ["other"]]), (F.col("event_id") % 13 + 1).cast("int")).alias("stage"),
                    F.col("ts").alias("at"), F.floor("value").cast("bigint").alias("duration_ms"))
     out = hi.stage_timeline(log)
-    return out.select("msg_id", "stage", n(F.col("stage_order")).alias("stage_order"), "label", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "duration_ms")
+    return out.select("msg_id", "stage", n(F.col("stage_order")).alias("stage_order"), "label", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("started"), "duration_ms")
 
 
 @register("h9_merge_metadata", "SELECT user_id AS msg_id, event_type AS section, 'k' || CAST(event_id % 3 AS VARCHAR) AS key, arg_max(CAST(event_id AS VARCHAR), event_id) AS value FROM events GROUP BY ALL")
@@ -260,7 +260,7 @@ def s3(spark, d):
     m = stages(spark, d).messages.where("is_scam is not null")
     m.select(F.col("msg_id").cast("string").alias("id"), F.lit("text").alias("input_type"), "text", "urls", F.struct(
         "is_scam", F.col("expected_category").alias("primary_category"), F.col("min_level").alias("minimum_risk_level"), "note").alias("expected")).write.json(path)
-    return lab.read_eval_corpus(spark, path).select("id", "is_scam", "expected_category", "min_level")
+    return lab.read_eval_corpus(spark, path, multiline=False).select("id", "is_scam", "expected_category", "min_level")
 
 
 @register("s4_write_results", q("SELECT 'evidence' AS name, count(*) AS n FROM ev UNION ALL SELECT 'investigations', count(*) FROM acc UNION ALL SELECT 'risk', count(*) FROM scored UNION ALL SELECT 'reports', count(*) FROM scored", "ev", "acc", "scored"))
@@ -326,7 +326,7 @@ def x1(spark, d):
     path, mark = res.shared_folder(spark, "stream"), res.shared_folder(spark, "mark")
     schema = stages(spark, d).table("events").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    run = triage_stream.score_stream(fx.from_events(fx.spread_stream(arriving)), path, mark, once=True, with_report=True)
+    run = triage_stream.score_stream(fx.from_events(arriving.repartition(spark.sparkContext.defaultParallelism, "event_id")), path, mark, once=True, with_report=True)
     run.awaitTermination()
     return spark.read.parquet(f"{path}/risk").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 

@@ -44,12 +44,18 @@ class Stages:
             self._plans[name] = make()
         return self._plans[name]
 
+    def _store(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a derived table once per session and read it back: a short plan, and nothing is recomputed."""
+        path = res.shared_folder(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def table(self, name: str) -> DataFrame:
         return fx.table(self.spark, self.dir, name)
 
     @property
     def messages(self):
-        return self._get("messages", lambda: fx.messages(self.spark, self.dir))
+        return self._get("messages", lambda: self._store("messages", fx.messages(self.spark, self.dir)))
 
     @property
     def body(self):
@@ -103,6 +109,17 @@ class Stages:
     def featured(self):
         return self._get("featured", lambda: ml.features(self.matched))
 
+    @property
+    def training(self):
+        """Features of the template messages with their label, stored because training reads them often."""
+        rows = lambda: self.featured.where("is_scam is not null").select(
+            F.col("msg_id").alias("id"), "features", F.when(F.col("is_scam"), "scam").otherwise("benign").alias("label"))
+        return self._get("training", lambda: ds.stratified_split(self._store("features", rows())))
+
+    @property
+    def model(self):
+        return self._get("model", lambda: ml.train_classifier(self.training.where("split = 'train'")))
+
     @property
     def predicted(self):
         return self._get("predicted", lambda: ml.predict_heuristic(self.featured))
