@@ -51,26 +51,53 @@ def collapse_key(c: Column) -> Column:
     return strip(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def anchor_of(pattern: str) -> str:
-    """The longest literal every match of ``pattern`` must contain ('' when there is none)."""
+def anchors_of(pattern: str) -> tuple[str, ...]:
+    """Literals of which every match of ``pattern`` contains at least one (empty when unknown).
+
+    Either the longest literal run that no alternative can skip, or the longest
+    run of each alternative of a leading group.
+    """
+    parsed = list(re._parser.parse(pattern))
+    best = _longest_literal(parsed)
+    if best:
+        return (best,)
+    for op, arg in parsed:
+        if str(op) == "AT":
+            continue
+        body = list(arg[3]) if str(op) == "SUBPATTERN" else [(op, arg)]
+        alternatives = body[0][1][1] if str(body[0][0]) == "BRANCH" else [body]
+        return tuple(dict.fromkeys(_longest_literal(alt) for alt in alternatives))
+    return ()
+
+
+def _longest_literal(items) -> str:
     best = run = ""
-    for op, arg in re._parser.parse(pattern):
+    for op, arg in items:
         run = run + chr(arg) if str(op) == "LITERAL" else ""
-        best = max(best, run, key=len)
+        best = max(best, run.strip(), key=len)
     return best
 
 
+def contains_any(c: Column, literals: Iterable[str]) -> Column:
+    """Substring tests joined by OR; a literal that contains another one is redundant."""
+    found = sorted(set(literals), key=len)
+    needed = [x for i, x in enumerate(found) if not any(y in x for y in found[:i])]
+    out = c.contains(needed[0])
+    for x in needed[1:]:
+        out = out | c.contains(x)
+    return out
+
+
 def matches(lower: Column, pattern: str) -> Column:
-    """``rlike`` behind a plain substring test, which rejects most rows without the regex engine."""
+    """``rlike`` behind a cheap literal test, which rejects most rows without the full regex."""
     hit = lower.rlike("(?U)" + pattern)
-    anchor = anchor_of(pattern).strip()
-    return lower.contains(anchor) & hit if anchor else hit
+    anchors = anchors_of(pattern)
+    return contains_any(lower, anchors) & hit if anchors and all(anchors) else hit
 
 
 def pattern_hits(lower: Column, patterns: Iterable[str]) -> Column:
     """The patterns found in the text, as an array in the given order."""
-    found = [F.when(matches(lower, p), F.lit(p)) for p in dict.fromkeys(patterns)]
-    return F.array_compact(F.array(*found))
+    return F.array_compact(F.array(*[F.when(matches(lower, p), F.lit(p)) for p in dict.fromkeys(patterns)]))
 
 
 def _trie_regex(terms: Iterable[str], boundary: str) -> str:
@@ -132,7 +159,9 @@ def requestive(lower: Column, patterns: Sequence[str], negations: Sequence[str],
     for word in negations:
         for form in ([word.replace("'?", "'"), word.replace("'?", "")] if "'?" in word else [word]):
             guards.append(f"{form}\\s{{0,{reach - len(form)}}}")
-    return lower.rlike(f"(?U)(?={'|'.join(patterns)})(?<!{'|'.join(guards)})")
+    exact = lower.rlike(f"(?U)(?={'|'.join(patterns)})(?<!{'|'.join(guards)})")
+    stems = [a for p in patterns for a in anchors_of(p)]
+    return contains_any(lower, stems) & exact if all(stems) else exact
 
 
 def first_by(values: Column, key: Column) -> Column:

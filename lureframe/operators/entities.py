@@ -174,12 +174,16 @@ def brand_terms(lex: lx.Lexicon) -> list[str]:
 def _brand_table(lex: lx.Lexicon) -> Column:
     bucket = {"company": "companies", "bank": "banks"}
     rows = [
-        f"named_struct('key', {sql_str(key)}, 'kind', {sql_str(kind)}, "
+        f"{sql_str(key)}, named_struct('key', {sql_str(key)}, 'kind', {sql_str(kind)}, "
         f"'value', {sql_str(key.upper() if kind != 'company' and len(key) <= 4 else key.title())}, "
         f"'bucket', {sql_str(bucket.get(kind, 'organizations'))}, 'context', 'claimed organization in message')"
-        for key, kind, _ in sorted(lex.brands, key=lambda b: len(b[0]), reverse=True)
+        for key, kind, _ in _by_length(lex)
     ]
-    return F.expr("array(" + ", ".join(rows) + ")")
+    return F.expr("map(" + ", ".join(rows) + ")")
+
+
+def _by_length(lex: lx.Lexicon) -> list:
+    return sorted(lex.brands, key=lambda b: len(b[0]), reverse=True)
 
 
 def extract_brands(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT, compat: bool = False, text: str = "lower_body") -> DataFrame:
@@ -190,8 +194,10 @@ def extract_brands(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT, compat: bool = F
     """
     low = F.col(text)
     table = _brand_table(lex)
-    known = let(lambda x: F.filter(table, lambda b: F.array_contains(x["hits"], b["key"]) & F.rlike(
-        x["low"], F.concat(F.lit(r"(?U)\b"), b["key"], F.lit(r"\b")))), hits="hits", low=low)
+    candidates = tx.listed([b[0] for b in _by_length(lex)], F.col("hits"))
+    known = let(lambda x: F.transform(
+        F.filter(x["keys"], lambda k: F.rlike(x["low"], F.concat(F.lit(r"(?U)\b"), k, F.lit(r"\b")))),
+        lambda k: F.element_at(table, k)), keys=candidates, low=low)
     df = df.withColumn("brands", known)
     kinds = {k: kind for k, kind, _ in lex.brands}
     seen_aliases: dict[str, Column] = {}

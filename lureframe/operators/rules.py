@@ -23,16 +23,32 @@ def _rule_table(lex: lx.Lexicon) -> Column:
     return F.expr("array(" + ", ".join(rows) + ")")
 
 
+def _rule_index(lex: lx.Lexicon) -> Column:
+    """Constant map from keyword or pattern to the positions of the rules that use it."""
+    at: dict[str, list[int]] = {}
+    for i, rule in enumerate(lex.rules):
+        for w in (*rule.keywords, *rule.patterns):
+            at.setdefault(w, []).append(i + 1)
+    return F.expr("map(" + ", ".join(f"{sql_str(w)}, array({', '.join(map(str, ix))})" for w, ix in at.items()) + ")")
+
+
 def rule_hits(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT) -> DataFrame:
     """``raw_matches``: rules with at least one keyword or pattern in the text, before any gate."""
     fields = ("id", "category", "name", "description", "weight", "severity", "confidence", "required", "needs_request", "alarm")
-    table = _rule_table(lex)
-    hit = let(lambda x: F.transform(table, lambda r: F.struct(
-        *[r[f].alias(f) for f in fields],
-        F.array_intersect(r["keywords"], x["hits"]).alias("keywords"),
-        F.array_intersect(r["patterns"], x["pattern_hits"]).alias("patterns"),
-    )), hits="hits", pattern_hits="pattern_hits")
-    return df.withColumn("raw_matches", F.filter(hit, lambda m: F.size(m["keywords"]) + F.size(m["patterns"]) > 0))
+    table, index = _rule_table(lex), _rule_index(lex)
+    words = [k for r in lex.rules for k in r.keywords]
+    patterns = [p for r in lex.rules for p in r.patterns]
+
+    def build(x):
+        at = F.array_sort(F.array_distinct(F.flatten(F.transform(x["found"], lambda w: F.element_at(index, w)))))
+        return F.transform(at, lambda i: let(lambda y: F.struct(
+            *[y["rule"][f].alias(f) for f in fields],
+            F.array_intersect(y["rule"]["keywords"], x["found"]).alias("keywords"),
+            F.array_intersect(y["rule"]["patterns"], x["found"]).alias("patterns"),
+        ), rule=F.element_at(table, i)))
+
+    found = F.concat(F.array_intersect("hits", str_array(words)), F.array_intersect("pattern_hits", str_array(patterns)))
+    return df.withColumn("raw_matches", let(build, found=found))
 
 
 def entity_gate(m: Column, entity_types: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lureframe.operators.reputation import estimated_bytes
+
 # (is_scam, category, minimum level, text or None, urls separated by blanks, note)
 TEMPLATES: list[tuple[bool, str, str, str | None, str, str]] = [
     (True, "job_scam", "MEDIUM", "You have been selected for an online job. No experience needed, earn up to ${amt} daily. Pay the registration fee of ${n} to confirm your seat. Reply on WhatsApp.", "", ""),
@@ -115,9 +117,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on inputs with fewer splits than cores (small files); large inputs are left alone."""
+    """Even out a small input over all cores; an input with work for every core is not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores, key) if estimated_bytes(df) < cores * 128 * 1024 * 1024 else df
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -145,13 +147,12 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = from_events(spread(table(spark, sf_dir, "events"), "event_id"))
+    made = from_events(table(spark, sf_dir, "events"))
     no_urls = F.expr("cast(array() as array<string>)")
     blank = [F.lit(None).cast("boolean").alias("is_scam"), *[F.lit(None).cast("string").alias(c) for c in ("expected_category", "min_level", "note")]]
     at = lambda start, hours: (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours.cast("int"))).cast("timestamp").alias("ts")
     nothing = F.lit(None).cast("string")
     doc, conv, page = (table(spark, sf_dir, t) for t in ("documents", "conversations", "pages"))
-    doc, page = spread(doc.select("doc_id", "source", "text"), "doc_id"), page.select("page_id", "url")
     d = doc.select((F.col("doc_id") + 1000000000).alias("msg_id"), (F.col("doc_id") % 97).alias("user_id"),
                    at("2024-02-01 08:00:00", F.col("doc_id") % 600), F.col("source").alias("source_label"), nothing.alias("title"),
                    "text", no_urls.alias("urls"), *blank)
@@ -161,4 +162,4 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = page.select((F.col("page_id") + 3000000000).alias("msg_id"), (F.col("page_id") % 97).alias("user_id"),
                     at("2024-02-20 08:00:00", F.col("page_id") % 200), F.lit("web").alias("source_label"), nothing.alias("title"),
                     nothing.alias("text"), F.array("url").alias("urls"), *blank)
-    return made.unionByName(d).unionByName(c).unionByName(p)
+    return spread(made.unionByName(d).unionByName(c).unionByName(p), "msg_id")
