@@ -159,8 +159,10 @@ def requestive(lower: Column, patterns: Sequence[str], negations: Sequence[str],
     for word in negations:
         for form in ([word.replace("'?", "'"), word.replace("'?", "")] if "'?" in word else [word]):
             guards.append(f"{form}\\s{{0,{reach - len(form)}}}")
-    exact = lower.rlike(f"(?U)(?={'|'.join(patterns)})(?<!{'|'.join(guards)})")
     stems = [a for p in patterns for a in anchors_of(p)]
+    # every verb starts a word: look no further where that cannot be
+    start = f"(?<![a-z0-9])(?=[{''.join(sorted({x[0] for x in stems if x}))}])" if all(p.startswith(r"\b") for p in patterns) else ""
+    exact = lower.rlike(f"(?U){start}(?={'|'.join(patterns)})(?<!{'|'.join(guards)})")
     return contains_any(lower, stems) & exact if all(stems) else exact
 
 

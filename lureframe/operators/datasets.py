@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import lexicon as lx
 from ..functions.text import collapse_key, strip
+from .reputation import feed_join
 
 # FIXED VALUES: accepted labels and category names a benign row may carry.
 VALID_LABELS = ["scam", "benign"]
@@ -49,7 +50,8 @@ def validate_dataset(df: DataFrame, require_categories: bool = True) -> DataFram
 def contamination_guard(df: DataFrame, evaluation_ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(clean rows, rows whose id belongs to the evaluation set)."""
     ids = evaluation_ids.select(F.col(evaluation_ids.columns[0]).cast("string").alias(key)).where(F.col(key) != "").distinct()
-    return df.join(ids, key, "left_anti"), df.join(ids, key, "left_semi")
+    spread = F.struct(*df.columns)  # rows that share an id, or have none, must not meet in one task
+    return tuple(feed_join(df, ids, key, spread, how).select(df.columns) for how in ("left_anti", "left_semi"))
 
 
 def refuse_evaluation_path(path: str, evaluation_dir: str) -> None:

@@ -23,8 +23,9 @@ ANCHORING = ["suspicious", "malicious"]
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a DataFrame, from file sizes and plan statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of a DataFrame, from file sizes and plan statistics (huge when unknown)."""
+    plan = getattr(df, "_jdf", None)
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) if plan is not None else 1 << 62
 
 
 def feed_join(left: DataFrame, feed: DataFrame, on: str, spread: Column, how: str = "left",
@@ -128,6 +129,7 @@ def engine_stats_verdicts(urls: DataFrame, stats: DataFrame, key: str = "host",
 def merge_verdicts(results: DataFrame, key: str = "url", order: str = "provider_ord") -> DataFrame:
     """One verdict per key from all providers: the worst by (verdict, risk), first provider on ties.
 
+    ``results`` holds one row per key and provider (look up distinct URLs, not occurrences).
     Failures never count as clean: the status is ``ok`` once any provider gave a
     real verdict, otherwise the worst failure.  Providers per key are few, so the
     lists collected here are bounded by the number of feeds.

@@ -204,3 +204,12 @@ def test_synthetic_shares(spark):
     assert 0.82 < len(scam) / len(rows) < 0.90 and len({r["category"] for r in scam}) == 10
     assert not any(re.search(r"\{[a-z]+\}", r["text"].lower()) for r in rows)
     assert 0.4 < sum(r["text"].isupper() for r in scam) / len(scam) < 0.6
+
+
+def test_contamination_guard_broadcast_and_salted(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "" if i % 3 else f"e{i}") for i in range(60)], "ord int, id string")
+    ids = spark.createDataFrame([("e0",), ("e3",), ("",)], "id string")
+    for limit in (1 << 40, 0):
+        monkeypatch.setattr(rep.feed_join, "__defaults__", ("left", limit, 4))
+        clean, bad = ds.contamination_guard(df, ids)
+        assert sorted(r["ord"] for r in bad.collect()) == [0, 3] and clean.count() == 58
