@@ -116,10 +116,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, *inputs: DataFrame) -> DataFrame:
     """Even out a small input over all cores; an input with work for every core is not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if estimated_bytes(df) < cores * 128 * 1024 * 1024 else df
+    return df.repartition(2 * cores, key) if sum(map(estimated_bytes, inputs)) < cores * 128 * 1024 * 1024 else df
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -147,7 +147,8 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = from_events(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
+    made = from_events(events)
     no_urls = F.expr("cast(array() as array<string>)")
     blank = [F.lit(None).cast("boolean").alias("is_scam"), *[F.lit(None).cast("string").alias(c) for c in ("expected_category", "min_level", "note")]]
     at = lambda start, hours: (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours.cast("int"))).cast("timestamp").alias("ts")
@@ -162,4 +163,4 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = page.select((F.col("page_id") + 3000000000).alias("msg_id"), (F.col("page_id") % 97).alias("user_id"),
                     at("2024-02-20 08:00:00", F.col("page_id") % 200), F.lit("web").alias("source_label"), nothing.alias("title"),
                     nothing.alias("text"), F.array("url").alias("urls"), *blank)
-    return spread(made.unionByName(d).unionByName(c).unionByName(p), "msg_id")
+    return spread(made.unionByName(d).unionByName(c).unionByName(p), "msg_id", events, doc, conv, page)
