@@ -6,8 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, quality, sharding, token_files, url_reputation
-from .common import ascii_lower, shared_path, stored, table
+from . import decontaminate, quality, sharding, simhash, token_files, url_reputation
+from .common import shared_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -61,3 +61,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_spaced_seeds")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_simhash_anchors")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
