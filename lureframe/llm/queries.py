@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, quality, sharding, simhash, token_files, url_reputation
+from . import decontaminate, packing, quality, sharding, simhash, token_files, url_reputation
 from .common import shared_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_simhash_anchors")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
+
+
+@register("op6_local_search_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
