@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, quality, sharding, simhash, token_files, url_reputation
+from . import decontaminate, packing, quality, sharding, simhash, substring_dedup, token_files, url_reputation
 from .common import shared_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_local_search_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op2_unit_hash_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), removed="removed")
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return found.select("doc_id", "text", F.array_join(spans, ",").alias("removed_spans"),
+                        F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"))
