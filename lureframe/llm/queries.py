@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, quality, sharding, simhash, substring_dedup, token_files, url_reputation
+from . import decontaminate, packing, quality, sharding, simhash, substring_dedup, suffix_tree_lm, token_files, url_reputation
 from .common import shared_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return found.select("doc_id", "text", F.array_join(spans, ",").alias("removed_spans"),
                         F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"))
+
+
+@register("op3_suffix_tree_lm")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scored = suffix_tree_lm.score_documents(spark, docs, ~held)
+    return scored.select("doc_id", (~F.col("in_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
