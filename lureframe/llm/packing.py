@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
-from .tokens import batches_of, encoder
+from .tokens import encoder, slices_of
 
 #: Pieces of a group on average, bins that give tokens in one pass of the search, and rounds after which all bins are closed.
 GROUP, DONORS, ROUNDS = 20_000, 48, 8
@@ -35,10 +35,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
         code, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches_of(texts):
+            for b in slices_of(batch):
                 out = []
-                for d, raw in zip(docs_[a:b], code.encode(texts[a:b])):
+                for d, raw in zip(b.column(0).to_pylist(), code.encode(b.column(1).to_pylist())):
                     flat = raw + end
                     for p, at in enumerate(range(0, len(flat), 4 * capacity)):
                         part = flat[at:at + 4 * capacity]

@@ -14,6 +14,8 @@ import zlib
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK = 512
+#: Ids coded at a time (whole blocks), which bounds the memory of coding.
+STEP = 512 * BLOCK
 MAGIC, VERSION = b"LS8B", 1
 
 
@@ -21,11 +23,21 @@ def encode(ids):
     """(words uint64, block offsets int64) of an array of unsigned 64-bit ids; the last offset is the number of words."""
     import numpy as np
 
+    words, offsets, at = [], [np.zeros(1, np.int64)], 0
+    for k in range(0, len(ids), STEP):
+        w, o = _encode_step(ids[k:k + STEP])
+        words.append(w)
+        offsets.append(o[1:] + at)
+        at += len(w)
+    return np.concatenate(words) if words else np.zeros(0, np.uint64), np.concatenate(offsets)
+
+
+def _encode_step(ids):
+    import numpy as np
+
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     blocks = -(-n // BLOCK)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     # bit widths, exact for any value: halves are small enough for floats
     high = (ids >> np.uint64(32)).astype(np.float64)
     low = (ids & np.uint64(0xFFFFFFFF)).astype(np.float64)
@@ -37,13 +49,11 @@ def encode(ids):
     wide = np.zeros((blocks, BLOCK + 64), np.uint8)
     wide[:, :BLOCK] = rows
     most, reach, fits = wide.copy(), 1, np.zeros((blocks, BLOCK), np.uint8)
-    tops = {}
     for count in reversed(COUNTS):  # ascending; the widest of the next ``count`` widths
         while reach < count:
             step = min(reach, count - reach)
             most[:, :-step] = np.maximum(most[:, :-step], most[:, step:])
             reach += step
-        tops[count] = True
         fits += most[:, :BLOCK] <= 60 // count
     counts = np.array((0, *reversed(COUNTS)), np.int64)  # by how many selectors fit: 0 is the escape
     last = np.full(blocks, BLOCK)

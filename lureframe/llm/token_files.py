@@ -8,25 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import simple8b
 from .common import stored
-from .tokens import batches_of, encoder
+from .tokens import encoder, slices_of
 
 #: A shard file is closed when it has this many ids (its last document may pass that).
 SHARD_IDS = 1 << 20
 
 
-def _nullable_ids(run):
-    """Keep a null id null (pandas would make the column a float)."""
-
-    def go(parts: Iterator) -> Iterator:
-        def whole(pdf):
-            pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-            return pdf
-
-        return run(whole(p) for p in parts)
-
-    return go
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, partitions: int | None = None,
                       id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``path``/part-PPPPP-NNNN.ls8b: documents ascend by id inside a file and over the files in name order.
@@ -45,46 +32,43 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         import uuid
 
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow import fs
 
         files, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
         files.create_dir(folder, recursive=True)
-        docs_, known, sizes, ids, held, made, part = [], [], [], [], 0, 0, 0
+        code, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        keys, sizes, ids, held, made, part = [], [], [], 0, 0, 0
 
         def close():
             nonlocal held, made
-            data = simple8b.pack_shard(docs_, known, sizes, np.concatenate(ids))
+            data = simple8b.pack_shard([k or 0 for k in keys], [k is not None for k in keys], sizes, np.frombuffer(b"".join(ids), "<u4"))
             name = f"part-{part:05d}-{made:06d}.ls8b"
             aside = f"{folder}/_{name}-{uuid.uuid4().hex[:8]}"
             with files.open_output_stream(aside) as out:
                 out.write(data)
             files.move(aside, f"{folder}/{name}")
-            row = pd.DataFrame({"file": [name], "docs": [len(docs_)], "ids": [sum(sizes)], "bytes": [len(data)]})
-            for x in (docs_, known, sizes, ids):
+            row = pa.RecordBatch.from_pydict({"file": [name], "docs": [len(keys)], "ids": [held], "bytes": [len(data)]})
+            for x in (keys, sizes, ids):
                 x.clear()
             held, made = 0, made + 1
             return row
 
-        code, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            part = int(pdf["part"].iloc[0]) if len(pdf) else part
-            keys, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-            for a, b in batches_of(texts):
-                for d, raw in zip(keys[a:b], code.encode(texts[a:b])):
-                    got = np.frombuffer(raw + end, "<u4")
-                    known.append(d is not pd.NA)
-                    docs_.append(0 if d is pd.NA else d)
-                    sizes.append(len(got))
-                    ids.append(got)
-                    held += len(got)
+        for batch in batches:
+            for b in slices_of(batch):
+                part = b.column("part")[0].as_py()
+                for d, raw in zip(b.column("doc_id").to_pylist(), code.encode(b.column("text").to_pylist())):
+                    keys.append(d)
+                    sizes.append(len(raw) // 4 + 1)
+                    ids.append(raw + end)
+                    held += sizes[-1]
                     if held >= SHARD_IDS:
                         yield close()
-        if docs_:
+        if keys:
             yield close()
 
     # the manifest is written as a table: an action that touches every file once
-    stored(ordered.mapInPandas(_nullable_ids(run), "file string, docs long, ids long, bytes long"), "manifest")
+    stored(ordered.mapInArrow(run, "file string, docs long, ids long, bytes long"), "manifest")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -92,24 +76,23 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"]):
-                docs, known, lengths, ids = simple8b.unpack_shard(data)
+        for b in batches:
+            for k in range(b.num_rows):
+                docs, known, lengths, ids = simple8b.unpack_shard(b.column("content")[k].as_py())
                 flat = memoryview(ids.astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 cut = [flat[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]
-                out = {"file": name.rsplit("/", 1)[-1], "at": np.arange(len(docs)), "doc_id": pd.array(docs, "Int64"),
-                       "n_tokens": lengths, "ids_crc32": [zlib.crc32(c) for c in cut]}
-                out["doc_id"][~known] = pd.NA
+                out = {"file": pa.array([b.column("path")[k].as_py().rsplit("/", 1)[-1]] * len(docs)), "at": pa.array(np.arange(len(docs))),
+                       "doc_id": pa.array(docs, mask=~known), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(map(zlib.crc32, cut), pa.int64())}
                 if with_ids:
-                    out["ids"] = [bytes(c) for c in cut]
-                yield pd.DataFrame(out)
+                    out["ids"] = pa.array(map(bytes, cut), pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
     schema = "file string, at long, doc_id long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ls8b").load(path).select("path", "content")
-    return found.mapInPandas(run, schema)
+    return found.mapInArrow(run, schema)
 
 
 def token_ranges(rows: DataFrame) -> DataFrame:
