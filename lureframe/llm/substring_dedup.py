@@ -99,6 +99,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     seen = table.select("no_id", "id", "crc", F.posexplode(F.arrays_zip("h1", "h2")).alias("unit", "h")).select(
         "no_id", "id", "crc", "unit", "h.h1", "h.h2").where("h1 <> 0 or h2 <> 0")
     firsts = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("first")).where("times > 1").select("h1", "h2", "first")
+    firsts = stored(firsts, "firsts")  # the join's sides are then plain shuffles, whose large partitions Spark splits
     marked = seen.join(firsts, ["h1", "h2"]).where(at != F.col("first")).groupBy("no_id", "id", "crc").agg(
         F.collect_set("unit").alias("marked"))
     touched = table.select("no_id", "id", "crc", "words", "ends").join(stored(marked, "marked"), ["no_id", "id", "crc"])
