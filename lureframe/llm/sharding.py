@@ -48,9 +48,9 @@ def first_map(weights: dict[int, int], shards: int, slots: int = SLOTS) -> dict[
 
 
 def rebalance(old: dict[int, int], weights: dict[int, int], shards: int, tolerance: float = 0.01) -> dict[int, int]:
-    """The edited map: few slots move, each from the fullest shard to the emptiest, until all are within tolerance.
+    """The edited map: few slots move, each from the fullest shard to the emptiest, until none is emptier than ``tolerance`` below the mean.
 
-    A new shard (``shards`` one more than before) therefore takes slots only into itself while the others stay above the mean.
+    A new shard (``shards`` one more than before) therefore takes slots only into itself, since the others start above the mean.
     Slots of shards that no longer exist move first.  Stops where no single move narrows the gap.
     """
     new = dict(old)
@@ -75,7 +75,7 @@ def rebalance(old: dict[int, int], weights: dict[int, int], shards: int, toleran
     while True:
         low, high = min(load, key=lambda s: (load[s], s)), max(load, key=lambda s: (load[s], -s))
         gap = load[high] - load[low]
-        if gap <= tolerance * mean:
+        if load[low] >= (1 - tolerance) * mean:
             return new
         fits = [s for s in held[high] if 0 < weights.get(s, 0) < gap]
         if not fits:

@@ -10,11 +10,12 @@ below it stays).  Distributions are smoothed by interpolation with the suffix
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import stored
+from .tokens import slices_of
 
 #: Bytes of the longest context.
 DEPTH = 6
@@ -25,8 +26,8 @@ GAIN = 1.0
 MAX_ROWS = 4_000_000
 #: Words whose counts tasks share, at most; the counts of all other words are joined.
 SHARED_WORDS = 150_000
-#: Bytes of text handled at a time.
-CHUNK = 6_000_000
+#: Bytes of text counted and scored at a time, and rows of counts held by a counting task.
+COUNT_CHUNK, SCORE_CHUNK, COUNT_ROWS = 4_000_000, 1_500_000, 3_000_000
 END = 10
 
 
@@ -55,24 +56,24 @@ def grams(parts: list[bytes]):
     return code[keep], np.cumsum(sizes) - sizes
 
 
-def merged(codes: list, counts: list):
-    """Sum of several (codes, counts)."""
+def summed(every, n):
+    """Distinct codes, rising, and the sums of their counts."""
     import numpy as np
 
-    if len(codes) == 1:
-        return codes[0], counts[0]
-    every, n = np.concatenate(codes), np.concatenate(counts)
-    out, where = np.unique(every, return_inverse=True)
-    return out, np.bincount(where, n, len(out)).astype(np.int64)
+    order = np.argsort(every)
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])[:len(every)]
+    return every[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def chunks(texts: list[str]) -> Iterator[list[bytes]]:
+def chunks(texts: Iterable[str], most: int) -> Iterator[list[bytes]]:
+    """Symbols of consecutive texts, ``most`` bytes or more in all but the last part."""
     held, size = [], 0
     for t in texts:
         s = symbols(t)
         held.append(s)
         size += len(s)
-        if size >= CHUNK:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -89,16 +90,18 @@ def count_grams(docs: DataFrame) -> DataFrame:
         codes, counts = [], []
 
         def out():
-            c, n = merged(codes, counts)
+            c, n = summed(np.concatenate(codes), np.concatenate(counts))
+            codes.clear()
+            counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["gram", "n"])
 
-        for b in batches:
-            for parts in chunks(b.column("text").to_pylist()):
-                c, n = np.unique(grams(parts)[0], return_counts=True)
-                codes, counts = ([x] for x in merged([*codes, c], [*counts, n]))
-                if len(codes[0]) > 8_000_000:
-                    yield out()
-                    codes, counts = [], []
+        texts = (t for b in batches for s in slices_of(b, 512) for t in s.column("text").to_pylist())
+        for parts in chunks(texts, COUNT_CHUNK):
+            c, n = np.unique(grams(parts)[0], return_counts=True)
+            codes.append(c)
+            counts.append(n)
+            if sum(map(len, codes)) > COUNT_ROWS:
+                yield out()
         if codes:
             yield out()
 
@@ -118,7 +121,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
-        for b in batches:
+        for b in (s for batch in batches for s in slices_of(batch, 512)):
             for t in b.column("text").to_pylist():
                 seen.update(t.encode().lower().split())
             if len(seen) > 600_000:
@@ -156,7 +159,7 @@ def _grow(p1):
         below = None  # probabilities of the level before, by code
         for k in range(2, DEPTH + 1):
             mask = (1 << 8 * (k + 1)) - 1
-            codes, n = merged([grams_ & mask, grams_[:0]], [counts, counts[:0]])
+            codes, n = summed(grams_ & mask, counts)
             ctx, at = np.unique(codes >> 8, return_inverse=True)
             total, kinds = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
             if below is None:
@@ -295,10 +298,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, training, id_col: str
         import pyarrow as pa
 
         model, value = tree.value, often.value
-        for b in batches:
-            texts, sure, known, rare = b.column("text").to_pylist(), [], [], []
-            counts, score = [], []
-            for parts in chunks(texts):
+        for b in (s for batch in batches for s in slices_of(batch, 512)):
+            sure, known, rare, counts, score = [], [], [], [], []
+            for parts in chunks(b.column("text").to_pylist(), SCORE_CHUNK):
                 score += model.scores(parts).tolist()
                 for s in parts:
                     w = s.split()

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import simple8b
-from .common import stored
 from .tokens import encoder, slices_of
 
 #: A shard file is closed when it has this many ids (its last document may pass that).
@@ -16,7 +15,7 @@ SHARD_IDS = 1 << 20
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, partitions: int | None = None,
                       id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``path``/part-PPPPP-NNNN.ls8b: documents ascend by id inside a file and over the files in name order.
+    """Write ``path``/part-PPPPP-NNNNNN.ls8b and a manifest table: documents ascend by id inside a file and over the files in name order.
 
     Rows are dealt by ranges of the id, and a task encodes its range as it writes it.  A file appears under its name when it is whole,
     and a task that runs again writes the same bytes to the same names, so lost executors do no harm.  A null id comes first; rows that
@@ -67,8 +66,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if keys:
             yield close()
 
-    # the manifest is written as a table: an action that touches every file once
-    stored(ordered.mapInArrow(run, "file string, docs long, ids long, bytes long"), "manifest")
+    ordered.mapInArrow(run, "file string, docs long, ids long, bytes long").write.parquet(f"{path}/_manifest")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
