@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, packing, quality, sharding, simhash, substring_dedup, suffix_tree_lm, token_files, url_reputation
+from . import decontaminate, html_text, oracles, packing, quality, sharding, simhash, substring_dedup, suffix_tree_lm, token_files, url_reputation
 from .common import shared_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register("op4_quality_cascade")
+@register("op4_quality_cascade", oracles.OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     order = [m.rule for m in quality.measure_rules(docs)]
@@ -42,7 +42,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
-@register("op8_url_reputation")
+@register("op8_url_reputation", oracles.OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label of a page's number tells its outcome: bad if of low quality or toxic."""
     labels = table(spark, sf_dir, "labels")
@@ -58,9 +58,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
-@register("op10_spaced_seeds")
+@register("op10_spaced_seeds", oracles.op10_sql(decontaminate.MASKS, decontaminate.MIN_SCORE))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "score")
 
 
 @register("op5_simhash_anchors")
