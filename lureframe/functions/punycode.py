@@ -54,6 +54,7 @@ def _consume(s: Column, ch: Column) -> Column:
 
 
 def decode_label(label: Column) -> Column:
+    """The decoded label; one that is not valid, or longer than a label may be (63), stays as it is."""
     body = F.substring(label, 5, 63)
     basic = F.when(body.contains("-"), F.regexp_extract(body, "^(.*)-[^-]*$", 1)).otherwise(F.lit(""))
     tail = F.substring_index(body, "-", -1)
@@ -72,7 +73,7 @@ def decode_label(label: Column) -> Column:
             F.array_join(F.transform(s.out, lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")), ""),
         ),
     )
-    return F.coalesce(done, label)
+    return F.when(F.length(label) <= 63, F.coalesce(done, label)).otherwise(label)
 
 
 def decode_host(host: Column) -> Column:

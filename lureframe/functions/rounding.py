@@ -4,10 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def r(c: Column, places: int) -> Column:
-    return F.bround(c, places)
-
-
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -54,28 +54,55 @@ def collapse_key(c: Column) -> Column:
 def anchors_of(pattern: str) -> tuple[str, ...]:
     """Literals of which every match of ``pattern`` contains at least one (empty when unknown).
 
-    Either the longest literal run that no alternative can skip, or the longest
-    run of each alternative of a leading group.
+    The longest literal run outside groups that nothing makes optional; without
+    one, the longest run of each alternative of the first group.
     """
-    parsed = list(re._parser.parse(pattern))
-    best = _longest_literal(parsed)
+    runs, groups, run, depth, i = [], [], "", 0, 0
+    while i < len(pattern):
+        token = pattern[i:i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(token)
+        if token == "[":
+            i = pattern.index("]", i + 1) + 1
+        if token in "()" or depth:
+            if token == "(" and not depth:
+                opened = i
+            depth += (token == "(") - (token == ")")
+            if token == ")" and not depth:
+                groups.append((pattern[opened:i - 1].removeprefix("?:"), pattern[i:i + 1]))
+            literal = ""
+        elif token == "|":
+            return ()
+        elif len(token) == 2:
+            literal = token[1] if not token[1].isalnum() else ""
+            if token == "\\b":
+                continue
+        else:
+            literal = token if token.isalnum() or token in " %'-" else ""
+        if literal and pattern[i:i + 1] not in ("?", "*", "{"):
+            run += literal
+            continue
+        runs.append(run)
+        run = ""
+        if pattern[i:i + 1] == "{":
+            i = pattern.index("}", i) + 1
+    best = max([*runs, run], key=lambda x: len(x.strip())).strip()
     if best:
         return (best,)
-    for op, arg in parsed:
-        if str(op) == "AT":
-            continue
-        body = list(arg[3]) if str(op) == "SUBPATTERN" else [(op, arg)]
-        alternatives = body[0][1][1] if str(body[0][0]) == "BRANCH" else [body]
-        return tuple(dict.fromkeys(_longest_literal(alt) for alt in alternatives))
-    return ()
-
-
-def _longest_literal(items) -> str:
-    best = run = ""
-    for op, arg in items:
-        run = run + chr(arg) if str(op) == "LITERAL" else ""
-        best = max(best, run.strip(), key=len)
-    return best
+    if not groups or groups[0][1] in ("?", "*", "{"):
+        return ()
+    found = [anchors_of(alternative) for alternative in _alternatives(groups[0][0])]
+    return tuple(dict.fromkeys(x[0] for x in found)) if all(len(x) == 1 for x in found) else ()
+
+
+def _alternatives(body: str) -> list[str]:
+    out, depth = [""], 0
+    for ch in body:
+        depth += (ch in "([") - (ch in ")]")
+        if ch == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
 
 
 def contains_any(c: Column, literals: Iterable[str]) -> Column:
@@ -169,8 +196,3 @@ def requestive(lower: Column, patterns: Sequence[str], negations: Sequence[str],
 def first_by(values: Column, key: Column) -> Column:
     """Elements of ``values`` whose parallel ``key`` occurs for the first time, order kept."""
     return let(lambda b: F.filter(b["v"], lambda x, i: F.array_position(b["k"], F.get(b["k"], i)) == i + 1), v=values, k=key)
-
-
-def weighted(flags: Mapping[str, Column]) -> Column:
-    """Names of the true flags, in order."""
-    return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()]))

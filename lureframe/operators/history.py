@@ -11,7 +11,9 @@ CHILD_TABLES = ["evidence", "entities", "analyses", "risk", "reports"]
 
 
 def result_tables(triaged: DataFrame) -> dict[str, DataFrame]:
-    """The six result tables of a triaged batch, keyed on msg_id."""
+    """The six result tables of a triaged batch, keyed on msg_id; rejected messages have no rows."""
+    if "reject_reason" in triaged.columns:
+        triaged = triaged.where("reject_reason is null")
     keep = [c for c in ("msg_id", "user_id", "ts", "title", "source_label") if c in triaged.columns]
     day = F.to_date("ts").alias("day") if "ts" in triaged.columns else F.current_date().alias("day")
     long = lambda column: unnest(triaged, column, "msg_id", day)

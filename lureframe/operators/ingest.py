@@ -5,9 +5,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 
-MAX_TEXT, MAX_URLS, MAX_TITLE, MAX_LABEL = 50_000, 20, 255, 64
-
-
 def clean_urls(urls):
     """Explicit URLs with blanks removed and ends stripped; never null."""
     given = F.coalesce(urls, F.expr("cast(array() as array<string>)"))
@@ -18,24 +15,26 @@ def _optional(df: DataFrame, name: str, kind: str = "string"):
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
-def validate_submissions(df: DataFrame) -> DataFrame:
-    """Adds ``reject_reason`` (null when the submission is accepted) and cleans ``urls``."""
+def validate_submissions(df: DataFrame, *, max_text: int | None = None, max_urls: int | None = None,
+                         max_title: int | None = None, max_label: int | None = None) -> DataFrame:
+    """Cleans ``urls`` and adds ``reject_reason`` (``no_content``, else null) and ``limit_flags``.
+
+    Limits are those of an input form: none unless given, and what exceeds one is
+    flagged, never dropped.
+    """
     df = df.withColumn("urls", clean_urls(F.col("urls")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    image = _optional(df, "image_ref")
-    return df.withColumn(
-        "reject_reason",
-        F.when(F.length(text) > MAX_TEXT, "text_too_long")
-        .when(F.size("urls") > MAX_URLS, "too_many_urls")
-        .when(F.length(_optional(df, "title")) > MAX_TITLE, "title_too_long")
-        .when(F.length(_optional(df, "source_label")) > MAX_LABEL, "source_label_too_long")
-        .when((tx.strip(text) == "") & (F.size("urls") == 0) & image.isNull(), "no_content"),
+    over = (
+        (max_text, F.length(text), "text_too_long"), (max_urls, F.size("urls"), "too_many_urls"),
+        (max_title, F.length(_optional(df, "title")), "title_too_long"),
+        (max_label, F.length(_optional(df, "source_label")), "source_label_too_long"),
     )
-
-
-def split_submissions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    checked = validate_submissions(df)
-    return checked.where("reject_reason is null").drop("reject_reason"), checked.where("reject_reason is not null")
+    flags = [F.when(size > most, name) for most, size, name in over if most is not None]
+    empty = (tx.strip(text) == "") & (F.size("urls") == 0) & _optional(df, "image_ref").isNull()
+    return df.withColumns({
+        "limit_flags": F.array_compact(F.array(*flags)) if flags else F.expr("cast(array() as array<string>)"),
+        "reject_reason": F.when(empty, "no_content"),
+    })
 
 
 def combine_text(df: DataFrame) -> DataFrame:

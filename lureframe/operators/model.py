@@ -61,9 +61,13 @@ def train_classifier(df: DataFrame, label: str = "label", c: float = 0.8, max_it
 
     Class sizes are one aggregate; the rest is Spark ML's distributed solver.
     The penalty 1/(C * sum of weights) equals the usual ``C`` parametrisation,
-    since balanced weights sum to the number of rows.
+    since balanced weights sum to the number of rows.  Spark scales by the sample
+    deviation; the factor (n - 1) / n of the penalty makes that the population's.
     """
-    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = F.col(label).isin("scam", "benign")
+    if df.where(~F.coalesce(known, F.lit(False))).limit(1).count():
+        raise ValueError("labels other than scam and benign")
+    sizes = {r[label]: r["n"] for r in df.where(known).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(sizes) != {"scam", "benign"}:
         raise ValueError("training needs rows of both labels")
     n = sum(sizes.values())
@@ -75,7 +79,7 @@ def train_classifier(df: DataFrame, label: str = "label", c: float = 0.8, max_it
     stages = [
         VectorAssembler(inputCols=[f"f_{f}" for f in lx.FEATURES], outputCol="raw_vector"),
         StandardScaler(inputCol="raw_vector", outputCol="vector", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="vector", labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / (c * n), tol=tol,
+        LogisticRegression(featuresCol="vector", labelCol="y", weightCol="w", maxIter=max_iter, regParam=(n - 1) / n / (c * n), tol=tol,
                            elasticNetParam=0.0, standardization=False, probabilityCol="p", predictionCol="predicted",
                            rawPredictionCol="margin"),
     ]

@@ -13,8 +13,8 @@ from ..operators import entities as en, ingest, model as ml, report as rp, reput
 
 
 def ingest_stage(messages: DataFrame) -> DataFrame:
-    accepted, _ = ingest.split_submissions(messages)
-    return ingest.describe_submissions(ingest.combine_text(accepted))
+    """Every message, with ``reject_reason`` where there is nothing to assess."""
+    return ingest.describe_submissions(ingest.combine_text(ingest.validate_submissions(messages)))
 
 
 def entity_stage(df: DataFrame, lex: lx.Lexicon = lx.DEFAULT, compat: bool = False) -> DataFrame:
@@ -39,7 +39,10 @@ def refine_stage(df: DataFrame, suggestions: DataFrame | None = None) -> DataFra
     if suggestions is None:
         df = df.withColumns({"suggested_category": F.lit(None).cast("string"), "suggested_confidence": F.lit(None).cast("double")})
     else:
-        offered = suggestions.select("msg_id", "suggested_category", "suggested_confidence")
+        # one suggestion for a message: the most confident, ties by category
+        best = F.struct("suggested_confidence", F.col("suggested_category").alias("category"))
+        offered = suggestions.groupBy("msg_id").agg(F.max(best).alias("s")).select(
+            "msg_id", F.col("s.category").alias("suggested_category"), F.col("s.suggested_confidence").alias("suggested_confidence"))
         df = df.join(offered, "msg_id", "left")
     return rules.adjudicate_labels(df)
 
@@ -61,7 +64,9 @@ def triage(
     suggestions: DataFrame | None = None, model: PipelineModel | None = None, compat: bool = False,
     with_report: bool = True,
 ) -> DataFrame:
-    """Assess every accepted message.
+    """Assess every message: one row out for each row in, whatever its length.
+
+    A message without content has ``reject_reason`` set; its assessment says nothing and stays out of the result tables.
 
     ``messages``: msg_id, text, urls and optionally user_id, ts, title, source_label, ocr_text, image_ref.
     ``compat`` reproduces reference behaviour that looks unintended (see README).

@@ -97,9 +97,11 @@ def on_sql(k: str) -> str:
 WEIGHT_SUM = " + ".join(["0e0"] + [f"CASE WHEN {on_sql(k)} THEN {w}e0 ELSE 0e0 END" for k, w in CHANNELS])
 BASE_SUM = " + ".join(["0e0"] + [f"CASE WHEN {on_sql(k)} THEN {w}e0 * {clamp01(k)} ELSE 0e0 END" for k, w in CHANNELS if k != "consistency"])
 
-REJECT = REJECT_SQL = """CASE WHEN length(coalesce(text, '')) > 50000 THEN 'text_too_long' WHEN len(urls) > 20 THEN 'too_many_urls'
- WHEN length(title) > 255 THEN 'title_too_long' WHEN length(source_label) > 64 THEN 'source_label_too_long'
- WHEN """ + trim("coalesce(text, '')") + """ = '' AND len(urls) = 0 THEN 'no_content' END"""
+REJECT = "CASE WHEN " + trim("coalesce(text, '')") + " = '' AND len(urls) = 0 THEN 'no_content' END"
+#: Limits of the input form, as p4 asks for them.
+FORM_LIMITS = {"max_text": 50_000, "max_urls": 20, "max_title": 255, "max_label": 64}
+LIMIT_FLAGS = cases([("length(coalesce(text, '')) > 50000", "text_too_long"), ("len(urls) > 20", "too_many_urls"),
+                     ("length(title) > 255", "title_too_long"), ("length(source_label) > 64", "source_label_too_long")])
 
 CTES: dict[str, tuple[list[str], str]] = {
     "templates": ([], templates_sql()),

@@ -32,10 +32,12 @@ def p3(spark, d):
     return stages(spark, d).messages.select("msg_id", tx.fingerprint(F.col("text")).alias("fingerprint"), tx.preview(F.col("text")).alias("preview"))
 
 
-@register("p4_validate_submissions", q("SELECT msg_id, coalesce(reject_reason, 'accepted') AS outcome, CAST(len(urls) AS BIGINT) AS n_urls FROM checked", "checked"))
+@register("p4_validate_submissions", q(f"""SELECT msg_id, coalesce(reject_reason, 'accepted') AS outcome, CAST(len(urls) AS BIGINT) AS n_urls,
+ array_to_string({c.LIMIT_FLAGS}, '|') AS limit_flags FROM checked""", "checked"))
 def p4(spark, d):
-    checked = ingest.validate_submissions(stages(spark, d).messages)
-    return checked.select("msg_id", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"), n(F.size("urls")).alias("n_urls"))
+    checked = ingest.validate_submissions(stages(spark, d).messages, **c.FORM_LIMITS)
+    return checked.select("msg_id", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"), n(F.size("urls")).alias("n_urls"),
+                          joined("limit_flags").alias("limit_flags"))
 
 
 @register("p5_input_types", q("SELECT msg_id, array_to_string(list_filter([CASE WHEN body <> '' THEN 'text' END, CASE WHEN len(urls) > 0 THEN 'url' END], lambda x: x IS NOT NULL), '|') AS input_types FROM acc", "acc"))

@@ -59,7 +59,7 @@ class Stages:
 
     @property
     def body(self):
-        return self._get("body", lambda: plan.ingest_stage(self.messages))
+        return self._get("body", lambda: plan.ingest_stage(self.messages).where("reject_reason is null"))
 
     @property
     def scanned(self):
@@ -126,7 +126,7 @@ class Stages:
 
     @property
     def triaged(self):
-        return self._get("triaged", lambda: plan.triage(self.messages))
+        return self._get("triaged", lambda: plan.triage(self.messages).where("reject_reason is null"))
 
     @property
     def stored(self) -> dict[str, DataFrame]:

@@ -43,7 +43,8 @@ def assessed(spark):
         ("document_link", "The shared document is at https://docs.example.org/view", []),
         ("sparse", "Check this.", []),
         ("empty", "  ", ["  "]),
-        ("too_long", "a" * 50_001, []),
+        ("long_scam", "filler words " * 16_000 + "Reply with the one-time code 123456 immediately and verify your account.", []),
+        ("many_urls", "look", [f"http://paypa1-login.example.com/{i}" for i in range(50)]),
     ]
     df = spark.createDataFrame(rows, "msg_id string, text string, urls array<string>").repartition(4, "msg_id")
     return {r["msg_id"]: r for r in triage(df).collect()}

@@ -34,9 +34,16 @@ def test_counts_of_the_dimensions():
     assert len(lx.BRANDS) == 81 and len(lx.FEATURES) == 18
 
 
-def test_expand_family():
-    assert lx.expand_family("{|debit }card {was|is} blocked") == [
-        "card was blocked", "card is blocked", "debit card was blocked", "debit card is blocked"]
+def test_keywords_stand_in_rule_order():
+    of = {r.id: r.keywords for r in lx.RULES}
+    assert of["bank_card_blocked"] == (
+        "card will be blocked", "card has been blocked", "card was blocked", "your card is blocked", "card blocked",
+        "card will be frozen", "card has been frozen", "debit card blocked")
+    assert of["bank_otp_request"][:4] == ("otp", "otp code", "one-time code", "one time code") and of["bank_otp_request"][-1] == "enter the code"
+    assert of["crypto_wallet_drain"] == (
+        "private key", "seed phrase", "wallet address", "send btc", "send usdt", "recovery phrase", "import your wallet", "bc1", "btc to",
+        "crypto address")
+    assert of["impersonation_executive"][0] == "the ceo" and of["impersonation_executive"][-1] == "the executive"
 
 
 def test_term_hits_equal_one_regex_per_term(texts):

@@ -5,8 +5,10 @@ from lureframe import lexicon as lx
 from lureframe.operators import risk
 
 
-def test_rejected_rows_are_not_assessed(assessed):
-    assert "empty" not in assessed and "too_long" not in assessed
+def test_every_row_comes_out(assessed):
+    assert {k for k, r in assessed.items() if r["reject_reason"]} == {"empty"} and assessed["empty"]["reject_reason"] == "no_content"
+    assert assessed["long_scam"]["primary"] == "banking_scam" and assessed["long_scam"]["level"] != "LOW"
+    assert len(assessed["many_urls"]["all_urls"]) == 50 and assessed["many_urls"]["level"] != "LOW"
 
 
 def test_hard_negatives_stay_low(assessed):
