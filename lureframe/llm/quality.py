@@ -20,8 +20,8 @@ from .common import SPACE_SET, words_of
 SYMBOLS = "#*$%&|<>"
 #: Words of a window that counts as repeated when the text has it twice.
 WINDOW = 8
-#: Rows of the sample that orders the rules (only the order depends on it).
-SAMPLE_ROWS = 2000
+#: Rows of the sample that orders the rules, and the longest text in it: only the order depends on them.
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 50_000
 
 
 # -- measures of one document; ``words`` is the array of its words ------------------------------------------------------
@@ -140,10 +140,12 @@ class Measured:
 def measure_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
     """Cost and selectivity of each rule on at most ``sample_rows`` rows, best first.
 
-    The sample is whatever rows come first: it decides an order of evaluation and nothing else.
+    The sample is whatever rows come first, taken partition by partition until there are enough: it decides an order of
+    evaluation and nothing else, and its size does not depend on the table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(text.alias("text")).limit(sample_rows).withColumn("words", words_of(F.col("text"))).cache()
+    taken = docs.select(text.alias("text")).where(F.length("text") <= SAMPLE_CHARS).take(sample_rows)
+    rows = docs.sparkSession.createDataFrame(taken, "text string").withColumn("words", words_of(F.col("text"))).cache()
     total = rows.count()
     found = []
     for rule in rules:
