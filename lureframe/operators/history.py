@@ -5,83 +5,113 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import lexicon as lx
 from ..functions.bind import unnest
+from .report import suspicious_indicators
 from .rules import category_label
 
 CHILD_TABLES = ["evidence", "entities", "analyses", "risk", "reports"]
 
 
-def result_tables(triaged: DataFrame) -> dict[str, DataFrame]:
-    """The six result tables of a triaged batch, keyed on msg_id; rejected messages have no rows."""
+def between_days(table: DataFrame, days: tuple[str, str] | None) -> DataFrame:
+    """Rows of the days from first to last; a filter on the partition column, which skips the folders of all other days."""
+    return table if days is None else table.where(F.col("day").between(F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date")))
+
+
+def result_tables(triaged: DataFrame, weights: dict[str, float] | None = None) -> dict[str, DataFrame]:
+    """The six result tables of a triaged batch, keyed on (day, msg_id); rejected messages have no rows.
+
+    ``weights``: the channel weights that the scores were made with.  Stages of
+    one batch run together: they carry the time of the run and no duration.
+    """
     if "reject_reason" in triaged.columns:
         triaged = triaged.where("reject_reason is null")
     keep = [c for c in ("msg_id", "user_id", "ts", "title", "source_label") if c in triaged.columns]
     day = F.to_date("ts").alias("day") if "ts" in triaged.columns else F.current_date().alias("day")
     long = lambda column: unnest(triaged, column, "msg_id", day)
-    stages = F.array_compact(F.array(
+    ran = F.array_compact(F.array(
         F.lit("parse"), F.lit("analyze"), F.when(F.col("ambiguous"), F.lit("llm_classify")),
         F.when(F.size("url_facts") > 0, F.lit("url_analysis")), F.when(F.size("brands") > 0, F.lit("entity_analysis")),
         F.when(F.size("url_facts") > 0, F.lit("threat_intel")), F.lit("ml"), F.lit("correlate"), F.lit("risk"),
         F.lit("explain"), F.lit("report")))
+    label = F.create_map(*[F.lit(x) for pair in lx.STAGES for x in pair])
+    stages = F.transform(ran, lambda s: F.struct(
+        s.alias("stage"), label[s].alias("label"), F.current_timestamp().alias("at"), F.lit(0).cast("bigint").alias("duration_ms")))
+    used = F.create_map(*[x for k, v in (weights or lx.CHANNEL_WEIGHTS).items() for x in (F.lit(k), F.lit(float(v)))])
+    warned = warnings(triaged)
     return {
-        "investigations": triaged.select(*keep, day, "input_types", "preview", "fingerprint", F.lit("completed").alias("status"),
-                                         "sufficiency", "probability", "ml_label", "ml_model", "ml_is_mock"),
+        "investigations": warned.select(*keep, day, "input_types", "preview", "fingerprint", F.lit("completed").alias("status"),
+                                        "sufficiency", "probability", "ml_label", "ml_model", "ml_is_mock", "warnings"),
         "evidence": long("evidence"),
         "entities": long("entities"),
-        "analyses": unnest(triaged, stages, "msg_id", day, item="stage"),
-        "risk": triaged.select("msg_id", day, "score", "raw_score", "level", "confidence", "contributors"),
+        "analyses": unnest(triaged, stages, "msg_id", day),
+        "risk": triaged.select("msg_id", day, "score", "raw_score", "level", "confidence", "contributors", used.alias("weights_used")),
         "reports": triaged.select("msg_id", day, "primary", "alternatives", "class_confidence", "summary", "objective",
-                                  "objective_confidence", "recommendations", "limitations", "conclusion", "sections"),
+                                  "objective_confidence", "recommendations", suspicious_indicators(8).alias("suspicious_indicators"),
+                                  "limitations", "conclusion", "sections"),
     }
 
 
 def history(investigations: DataFrame, risk: DataFrame, reports: DataFrame, user_id, *, search: str | None = None,
-            risk_level: str | None = None, scam_type: str | None = None, input_type: str | None = None) -> DataFrame:
-    """The owner's submissions that pass the filters, unordered (filters reach the scans)."""
-    rows = investigations.where(F.col("user_id") == user_id)
+            risk_level: str | None = None, scam_type: str | None = None, input_type: str | None = None,
+            days: tuple[str, str] | None = None) -> DataFrame:
+    """The owner's submissions that pass the filters, unordered (filters reach the scans).
+
+    Tables meet on (run, day, msg_id): the partitions of the owner's rows prune the scans of the other two, and
+    ``days`` (first, last) prunes all three.
+    """
+    rows = between_days(investigations, days).where(F.col("user_id") == user_id)
     if search:
         rows = rows.where(F.col("title").ilike(f"%{search}%"))
     if input_type:
         rows = rows.where(F.array_contains("input_types", input_type.lower()))
-    r = risk.select("msg_id", "score", "level")
-    p = reports.select("msg_id", "primary")
+    keys = [c for c in ("run", "day") if c in investigations.columns and c in risk.columns] + ["msg_id"]
+    r = between_days(risk, days).select(*keys, "score", "level")
+    p = between_days(reports, days).select(*keys, "primary")
     if risk_level:
         r = r.where(F.col("level") == risk_level.upper())
     if scam_type:
         p = p.where(F.col("primary") == scam_type)
-    return rows.join(r, "msg_id", "inner" if risk_level else "left").join(p, "msg_id", "inner" if scam_type else "left")
+    return rows.join(r, keys, "inner" if risk_level else "left").join(p, keys, "inner" if scam_type else "left")
+
 
+def history_page(found: DataFrame, page: int = 1, page_size: int = 20, after: tuple | None = None) -> DataFrame:
+    """One page, newest first (ties by id), planned as a top-k.
 
-def history_page(found: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page, newest first (ties by id); planned as a top-k, not a full sort."""
+    ``after`` (ts, msg_id of the last row seen) continues from there and holds one page only, however deep; ``page``
+    counts pages from the start and holds all rows before it as well.
+    """
     cols = [c for c in ("msg_id", "title", "status", "score", "level", "primary", "input_types", "sufficiency", "ts") if c in found.columns]
-    return (
-        found.select(*cols).withColumn("scam_type", category_label(F.col("primary")))
-        .orderBy(F.col("ts").desc(), "msg_id").offset((page - 1) * page_size).limit(page_size)
-    )
+    rows = found.select(*cols).withColumn("scam_type", category_label(F.col("primary")))
+    if after is not None:
+        ts, msg_id = F.lit(after[0]), F.lit(after[1])
+        return rows.where((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("msg_id") > msg_id))).orderBy(
+            F.col("ts").desc(), "msg_id").limit(page_size)
+    return rows.orderBy(F.col("ts").desc(), "msg_id").offset((page - 1) * page_size).limit(page_size)
 
 
 def history_total(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total"))
 
 
-def investigation_view(tables: dict[str, DataFrame], user_id, msg_id=None) -> DataFrame:
-    """One nested row per owned submission (all of them when ``msg_id`` is None)."""
+def investigation_view(tables: dict[str, DataFrame], user_id, msg_id=None, days: tuple[str, str] | None = None) -> DataFrame:
+    """One nested row per owned submission (all of them when ``msg_id`` is None); ``days`` prunes all six scans."""
+    tables = {name: between_days(t, days) for name, t in tables.items() if name != "triaged"}
+    keys = [c for c in ("run", "day") if c in tables["investigations"].columns] + ["msg_id"]
     own = tables["investigations"].where(F.col("user_id") == user_id)
     if msg_id is not None:
         own = own.where(F.col("msg_id") == msg_id)
-    ids = own.select("msg_id")
+    ids = own.select(*keys)
 
     def nested(name, fields):
         t = tables[name] if msg_id is None else tables[name].where(F.col("msg_id") == msg_id)
         items = F.sort_array(F.collect_list(F.struct("ord", *fields)))
-        return t.join(ids, "msg_id", "left_semi").groupBy("msg_id").agg(items.alias(name))
+        return t.join(ids, keys, "left_semi").groupBy(*keys).agg(items.alias(name))
 
     out = own
-    out = out.join(nested("evidence", ["source", "signal", "severity", "confidence", "description"]), "msg_id", "left")
-    out = out.join(nested("entities", ["bucket", "entity_type", "value", "context"]), "msg_id", "left")
-    out = out.join(nested("analyses", ["stage"]), "msg_id", "left")
-    out = out.join(tables["risk"].drop("day"), "msg_id", "left")
-    return out.join(tables["reports"].drop("day"), "msg_id", "left")
+    out = out.join(nested("evidence", ["source", "signal", "severity", "confidence", "description"]), keys, "left")
+    out = out.join(nested("entities", ["bucket", "entity_type", "value", "context"]), keys, "left")
+    out = out.join(nested("analyses", ["stage", "label", "at", "duration_ms"]), keys, "left")
+    out = out.join(tables["risk"], keys, "left")
+    return out.join(tables["reports"], keys, "left").drop("run", "day")
 
 
 def purge(tables: dict[str, DataFrame], ids: DataFrame, user_id) -> dict[str, DataFrame]:

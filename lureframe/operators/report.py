@@ -95,10 +95,15 @@ def summary(df: DataFrame) -> DataFrame:
     return df.withColumn("summary", F.concat_ws(" ", opening, category, key, model))
 
 
+def suspicious_indicators(k: int) -> Column:
+    """The first ``k`` ranked items in words."""
+    return F.transform(F.slice("ranked", 1, k), lambda e: F.concat(
+        e["description"], F.lit(" (severity "), e["severity"], F.lit(", confidence "), _whole(e["confidence"] * 100), F.lit("%)")))
+
+
 def sections(df: DataFrame) -> DataFrame:
     lines = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat(F.lit("- "), s)), "\n")
-    flagged = F.transform(F.slice("ranked", 1, 8), lambda e: F.concat(
-        e["description"], F.lit(" (severity "), e["severity"], F.lit(", confidence "), _whole(e["confidence"] * 100), F.lit("%)")))
+    flagged = suspicious_indicators(8)
     section = lambda title, content, kind: F.struct(F.lit(title).alias("title"), content.alias("content"), F.lit(kind).alias("kind"))
     steps = "1. Submission received\n2. Entities extracted\n3. Evidence gathered\n4. Evidence correlated\n5. Risk assessed\n6. Report written"
     return df.withColumn("sections", F.array_compact(F.array(

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import lexicon as lx
-from ..operators.history import result_tables
+from ..operators.history import between_days, result_tables
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -26,26 +26,74 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 TABLES = ["investigations", "evidence", "entities", "analyses", "risk", "reports"]
 
 
-def write_results(triaged: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Write the six result tables, partitioned by day.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever the cluster's file system has it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
-    The assessed batch is computed once into ``_triaged`` and the tables are
-    projections of it, so losing an executor never repeats the analysis of
-    finished parts.  With ``batch_id`` every table goes to its own batch folder
-    with overwrite, which makes a repeated batch harmless.
+
+def write_results(triaged: DataFrame, path: str, run: str | None = None, *, weights: dict[str, float] | None = None,
+                  keep_staged: bool = False) -> str:
+    """Append the six result tables of an assessed batch, partitioned by run and day; gives the run's name.
+
+    A run adds its own partitions and never touches those of other runs; a run
+    written again under its name replaces itself.  The batch is computed once
+    into ``_staged`` (removed after success) and the tables are projections of
+    it, so losing an executor never repeats the analysis of finished parts.
+    Rows are rebalanced by day: a day's files follow its size, not the number
+    of tasks, and a huge day is split.
     """
-    part = "" if batch_id is None else f"/batch={batch_id}"
+    run = run or f"r{uuid.uuid4().hex[:16]}"
     spark = triaged.sparkSession
-    staged = f"{path}/_triaged{part}"
+    staged = f"{path}/_staged/run={run}"
     triaged.write.mode("overwrite").parquet(staged)
-    for name, table in result_tables(spark.read.parquet(staged)).items():
-        table.write.mode("overwrite").partitionBy("day").parquet(f"{path}/{name}{part}")
+    for name, table in result_tables(spark.read.parquet(staged), weights).items():
+        table.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/{name}/run={run}")
+    if not keep_staged:
+        remove_folder(spark, staged)
+    return run
 
 
 def read_results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
 
 
+def purge_results(spark: SparkSession, path: str, ids: DataFrame, user_id, days: tuple[str, str] | None = None) -> int:
+    """Delete the given submissions, as far as the user owns them, from all six stored tables; gives how many.
+
+    Only the (run, day) partitions that hold one of them are rewritten.  ``days``
+    (first, last) narrows the search when the caller knows the dates.
+    """
+    tables = read_results(spark, path)
+    own = between_days(tables["investigations"], days).where(F.col("user_id") == user_id)
+    doomed = own.join(ids.select("msg_id").distinct(), "msg_id", "left_semi").select("msg_id", "run", "day")
+    # written out: the tables that it is read from change below
+    aside = shared_folder(spark, "purge")
+    doomed.write.parquet(aside)
+    doomed = spark.read.parquet(aside)
+    gone = doomed.select("msg_id").distinct().count()
+    touched = [(r["run"], r["day"]) for r in doomed.select("run", "day").distinct().collect()]  # days of one owner's submissions
+    for name, table in tables.items():
+        for run in sorted({r for r, _ in touched}):
+            for day in [d for r, d in touched if r == run]:
+                here = (F.col("run") == run) & F.col("day").eqNullSafe(F.lit(day))
+                left = table.where(here).drop("run", "day").join(doomed.where(here).select("msg_id"), "msg_id", "left_anti")
+                part = f"{path}/{name}/run={run}/day={day if day is not None else '__HIVE_DEFAULT_PARTITION__'}"
+                fresh = f"{path}/_purge/{name}-{uuid.uuid4().hex[:12]}"
+                left.write.parquet(fresh)
+                rename_over(spark, fresh, part)
+    remove_folder(spark, aside)
+    spark.catalog.refreshByPath(path)
+    return gone
+
+
+def rename_over(spark: SparkSession, source: str, target: str) -> None:
+    """Put a written folder in the place of another."""
+    remove_folder(spark, target)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    place(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(place(source), place(target))
+
+
 def write_canonical_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     df.select(*(columns or [c for c in lx.DATASET_COLUMNS if c in df.columns])).write.mode("overwrite").csv(
         path, header=True, escape='"', quoteAll=False)

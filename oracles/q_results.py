@@ -80,15 +80,6 @@ def h6(spark, d):
                        n(F.coalesce(F.size(F.filter("entities.bucket", lambda b: b == "urls")), F.lit(0))).alias("n_urls"), F.col("primary").alias("primary_category"))
 
 
-@register("h7_purge", q("""SELECT 'evidence' AS name, count(*) AS n FROM ev WHERE msg_id NOT IN (SELECT msg_id FROM gone) UNION ALL SELECT 'investigations', count(*) FROM acc WHERE msg_id NOT IN (SELECT msg_id FROM gone)
- UNION ALL SELECT 'risk', count(*) FROM scored WHERE msg_id NOT IN (SELECT msg_id FROM gone)""", "ev", "acc", "scored", extra={"gone": "SELECT msg_id FROM acc WHERE user_id = 8 AND msg_id % 2 = 0"}))
-def h7(spark, d):
-    t = stages(spark, d).stored
-    left = hi.purge({k: t[k] for k in ("investigations", "evidence", "risk")}, t["investigations"].where("msg_id % 2 = 0").select("msg_id"), 8)
-    out = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k, df in left.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
 STAGE_NAMES = [x for x, _ in lx.STAGES]
 STAGE_LOG = f"SELECT user_id AS msg_id, {c.lst(STAGE_NAMES + ['other'])}[event_id % 13 + 1] AS stage, ts AS started, CAST(floor(value) AS BIGINT) AS duration_ms FROM events"
 
@@ -263,14 +254,34 @@ def s3(spark, d):
     return lab.read_eval_corpus(spark, path, multiline=False).select("id", "is_scam", "expected_category", "min_level")
 
 
-@register("s4_write_results", q("SELECT 'evidence' AS name, count(*) AS n FROM ev UNION ALL SELECT 'investigations', count(*) FROM acc UNION ALL SELECT 'risk', count(*) FROM scored UNION ALL SELECT 'reports', count(*) FROM scored", "ev", "acc", "scored"))
+#: Stages of each message: seven always, a second opinion where the category is unsure, two for URLs, one for brands.
+STAGE_ROWS = """SELECT msg_id, 7 + CASE WHEN primary_category IN ('unknown', 'other') OR confidence < 0.5e0 THEN 1 ELSE 0 END + CASE WHEN u.msg_id IS NULL THEN 0 ELSE 2 END
+ + CASE WHEN b.msg_id IS NULL THEN 0 ELSE 1 END AS n FROM cls LEFT JOIN (SELECT DISTINCT msg_id FROM mu) u USING (msg_id) LEFT JOIN (SELECT DISTINCT msg_id FROM brands) b USING (msg_id)"""
+STORED = ("evidence", "analyses", "investigations", "risk", "reports")
+
+
+def stored_sql(where: str) -> str:
+    return f"""SELECT 'evidence' AS name, CAST(count(*) AS BIGINT) AS n FROM ev WHERE {where} UNION ALL SELECT 'analyses', CAST(sum(n) AS BIGINT) FROM stage_rows WHERE {where}
+ UNION ALL SELECT 'investigations', count(*) FROM acc WHERE {where} UNION ALL SELECT 'risk', count(*) FROM scored WHERE {where} UNION ALL SELECT 'reports', count(*) FROM scored WHERE {where}"""
+
+
+def table_sizes(tables):
+    out = [tables[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k in STORED]
+    for one in out[1:]:
+        out[0] = out[0].unionByName(one)
+    return out[0]
+
+
+@register("s4_write_results", q(stored_sql("TRUE"), "ev", "acc", "scored", "cls", "mu", "brands", extra={"stage_rows": STAGE_ROWS}))
 def s4(spark, d):
-    t = stages(spark, d).stored
-    out = None
-    for k in ("evidence", "investigations", "risk", "reports"):
-        one = t[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return table_sizes(stages(spark, d).stored)
+
+
+@register("h7_purge", q(stored_sql("msg_id NOT IN (SELECT msg_id FROM gone)"), "ev", "acc", "scored", "cls", "mu", "brands",
+                        extra={"stage_rows": STAGE_ROWS, "gone": "SELECT msg_id FROM acc WHERE user_id = 8 AND msg_id % 2 = 0"}))
+def h7(spark, d):
+    t = {k: v for k, v in stages(spark, d).stored.items() if k != "triaged"}
+    return table_sizes(hi.purge(t, t["investigations"].where("msg_id % 2 = 0").select("msg_id"), 8))
 
 
 @register("s5_write_canonical_csv", "SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS id, md5(regexp_replace(text, '\\s+', ' ', 'g')) AS text_md5, lang AS language FROM documents")

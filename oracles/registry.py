@@ -133,8 +133,8 @@ class Stages:
         """The six result tables, written once per session and read back."""
         if "stored" not in self._plans:
             path = res.shared_folder(self.spark, "results")
-            res.write_results(self.triaged, path)
-            self._plans["stored"] = {**res.read_results(self.spark, path), "triaged": self.spark.read.parquet(f"{path}/_triaged")}
+            run = res.write_results(self.triaged, path, keep_staged=True)
+            self._plans["stored"] = {**res.read_results(self.spark, path), "triaged": self.spark.read.parquet(f"{path}/_staged/run={run}")}
         return self._plans["stored"]
 
     @property

@@ -213,3 +213,65 @@ def test_contamination_guard_broadcast_and_salted(spark, monkeypatch):
         monkeypatch.setattr(rep.feed_join, "__defaults__", ("left", limit, 4))
         clean, bad = ds.contamination_guard(df, ids)
         assert sorted(r["ord"] for r in bad.collect()) == [0, 3] and clean.count() == 58
+
+
+def small_batch(spark, ids, first=1_700_000_000):
+    from lureframe.plans.triage import triage
+
+    texts = ["Hi Bo, lunch at noon?", "Your card will be blocked, verify your account and reply with the otp 123456 immediately", "see https://bit.ly/x", "  "]
+    rows = [(i, i % 2, texts[i % 4]) for i in ids]
+    frame = spark.createDataFrame(rows, "msg_id long, user_id long, text string").withColumns(
+        {"urls": F.expr("cast(array() as array<string>)"), "ts": F.timestamp_seconds(F.col("msg_id") * 40_000 + first)})
+    return triage(frame)
+
+
+def test_results_append_and_replace(spark, tmp_path):
+    out = str(tmp_path / "store")
+    first = res.write_results(small_batch(spark, range(8)), out)
+    res.write_results(small_batch(spark, range(8, 16)), out)
+    res.write_results(small_batch(spark, range(4)), out, first)
+    t = res.read_results(spark, out)
+    ids = {r["msg_id"] for r in t["risk"].select("msg_id").collect()}
+    assert ids == {i for i in [*range(4), *range(8, 16)] if i % 4 != 3}  # rejected rows stay out, both runs are there
+    assert not (tmp_path / "store" / "_staged" / f"run={first}").exists()
+    row = t["risk"].where("msg_id = 9").head()
+    assert row["weights_used"] == lx.CHANNEL_WEIGHTS
+    assert t["reports"].where("msg_id = 9").head()["suspicious_indicators"]
+    stages = t["analyses"].where("msg_id = 10").orderBy("ord").collect()
+    assert [s["stage"] for s in stages][:2] == ["parse", "analyze"] and all(s["label"] and s["at"] for s in stages)
+    assert t["investigations"].where("msg_id = 10").head()["warnings"]
+
+
+def test_reads_of_the_store_skip_other_days(spark, tmp_path):
+    out = str(tmp_path / "store")
+    res.write_results(small_batch(spark, range(24)), out)
+    t = res.read_results(spark, out)
+    days = ("2023-11-16", "2023-11-17")
+    found = hi.history(t["investigations"], t["risk"], t["reports"], 0, days=days)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("\n") if "FileScan" in x]
+    assert len(scans) >= 3 and all("PartitionFilters: [isnotnull(day" in x for x in scans) and "dynamicpruning" in plan
+    every = hi.history(t["investigations"], t["risk"], t["reports"], 0)
+    inside = [r["msg_id"] for r in every.where(F.col("day").between(*[F.lit(d).cast("date") for d in days])).collect()]
+    assert sorted(r["msg_id"] for r in found.collect()) == sorted(inside) and 0 < len(inside) < every.count()
+    whole = [(r["ts"], r["msg_id"]) for r in hi.history_page(every, 1, 100).collect()]
+    pages, after = [], None
+    while True:
+        page = [(r["ts"], r["msg_id"]) for r in hi.history_page(every, 1, 4, after=after).collect()]
+        if not page:
+            break
+        pages += page
+        after = page[-1]
+    assert pages == whole
+
+
+def test_purge_of_the_store(spark, tmp_path):
+    out = str(tmp_path / "store")
+    res.write_results(small_batch(spark, range(24)), out)
+    before = {name: {(r["msg_id"]) for r in t.select("msg_id").collect()} for name, t in res.read_results(spark, out).items()}
+    stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    assert res.purge_results(spark, out, spark.createDataFrame([(2,), (2,), (3,), (5,)], "msg_id long"), 0) == 1
+    for name, t in res.read_results(spark, out).items():
+        assert {r["msg_id"] for r in t.select("msg_id").collect()} == before[name] - {2}, name
+    kept = [p for p in stamp if p.exists() and p.stat().st_mtime_ns == stamp[p]]
+    assert 0 < len(kept) < len(stamp)  # days without a purged row keep their files
