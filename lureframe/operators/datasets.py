@@ -51,7 +51,8 @@ def contamination_guard(df: DataFrame, evaluation_ids: DataFrame, key: str = "id
     """(clean rows, rows whose id belongs to the evaluation set)."""
     ids = evaluation_ids.select(F.col(evaluation_ids.columns[0]).cast("string").alias(key)).where(F.col(key) != "").distinct()
     spread = F.struct(*df.columns)  # rows that share an id, or have none, must not meet in one task
-    return tuple(feed_join(df, ids, key, spread, how).select(df.columns) for how in ("left_anti", "left_semi"))
+    flagged = feed_join(df, ids.withColumn("_seen", F.lit(True)), key, spread, "left")
+    return flagged.where("_seen is null").select(df.columns), flagged.where("_seen").select(df.columns)
 
 
 def refuse_evaluation_path(path: str, evaluation_dir: str) -> None:
@@ -72,14 +73,13 @@ def dedup_key(order: str) -> Column:
 
 
 def dedup_first(df: DataFrame, order: str = "ord") -> DataFrame:
-    """Keep the first row per id, or per normalised text where there is no id.
+    """Keep the first row per id, or per normalised text where there is no id.  ``order`` is unique.
 
-    ``min_by`` combines on the map side, so a group of copies that holds a large
-    share of all rows is reduced before it is shuffled.
+    Only keys and order values are aggregated (hashed, combined on the map side);
+    whole rows are neither sorted nor shuffled for it.
     """
-    cols = df.columns
-    first = df.groupBy(dedup_key(order).alias("_key")).agg(F.min_by(F.struct(*cols), F.col(order)).alias("r"))
-    return first.select("r.*")
+    first = df.groupBy(dedup_key(order).alias("_key")).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi")
 
 
 def dataset_stats(df: DataFrame) -> DataFrame:
@@ -103,16 +103,21 @@ def dataset_totals(raw: DataFrame, valid: DataFrame, kept: DataFrame, malformed:
         "duplicates_removed": F.col("valid_rows") - F.col("rows_after_dedup"), "malformed_rows": F.lit(malformed)})
 
 
-def stratified_split(df: DataFrame, key: str = "id", label: str = "label", test: float = 0.2, val: float = 0.1,
+def split_hash(key: str, seed: int) -> Column:
+    """60 hash bits of a key."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("bigint")
+
+
+def stratified_split(df: DataFrame, key: str = "ord", label: str = "label", test: float = 0.2, val: float = 0.1,
                      seed: int = 42, bits: int = 16) -> DataFrame:
     """``split``: train / val / test with exact shares per label, reproducible for a seed.
 
-    Rows are ordered by a seeded hash.  A histogram over the leading hash bits
-    finds the one bin per label in which each cut falls; only rows of those bins
-    are ranked, so no task ever sees a whole label.
+    ``key`` is unique and never blank.  Rows are ordered by a seeded hash.  A
+    histogram over the leading hash bits finds the one bin per label in which each
+    cut falls, the rows of those bins give the exact cut, and the split itself is a
+    comparison with the label's two cuts: no row is moved for it.
     """
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    rows = df.withColumns({"_h": h, "_bin": F.shiftrightunsigned(h, 64 - bits)})
+    rows = df.withColumn("_h", split_hash(key, seed)).withColumn("_bin", F.shiftright("_h", 60 - bits))
     bins = rows.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("n"))
     by_bin = W.partitionBy(label).orderBy("_bin")  # at most 2^bits rows per label
     cum = bins.withColumns({"upto": F.sum("n").over(by_bin), "total": F.sum("n").over(W.partitionBy(label))})
@@ -120,18 +125,18 @@ def stratified_split(df: DataFrame, key: str = "id", label: str = "label", test:
     cut_test = F.ceil(F.col("total") * F.lit(test))
     cut_val = cut_test + F.ceil(F.col("total") * F.lit(val))
     holds = lambda c: (F.col("before") < c) & (F.col("upto") >= c)
-    cuts = cum.groupBy(label).agg(
+    near = cum.groupBy(label).agg(
         F.max(F.when(holds(cut_test), F.struct("_bin", (cut_test - F.col("before")).alias("need")))).alias("t"),
         F.max(F.when(holds(cut_val), F.struct("_bin", (cut_val - F.col("before")).alias("need")))).alias("v"),
     )
-    near = rows.join(F.broadcast(cuts), label)  # one row per label
-    edge = (F.col("_bin") == F.col("t._bin")) | (F.col("_bin") == F.col("v._bin"))
-    ranked = near.where(edge).withColumn("_rank", F.row_number().over(W.partitionBy(label, "_bin").orderBy("_h", key)))
-    inner = near.where(~edge).withColumn("_rank", F.lit(None).cast("int"))
-    within = lambda c: (F.col("_bin") < F.col(f"{c}._bin")) | ((F.col("_bin") == F.col(f"{c}._bin")) & (F.col("_rank") <= F.col(f"{c}.need")))
-    return ranked.unionByName(inner).withColumn(
-        "split", F.when(within("t"), "test").when(within("v"), "val").otherwise("train")
-    ).drop("_h", "_bin", "_rank", "t", "v")
+    edge = rows.select(label, "_h", "_bin", key).join(F.broadcast(near), label).where(  # one row per label
+        (F.col("_bin") == F.col("t._bin")) | (F.col("_bin") == F.col("v._bin")))
+    ranked = edge.withColumn("_rank", F.row_number().over(W.partitionBy(label, "_bin").orderBy("_h", key)))
+    here = lambda c: (F.col("_bin") == F.col(f"{c}._bin")) & (F.col("_rank") == F.col(f"{c}.need"))
+    cuts = ranked.groupBy(label).agg(*[F.max(F.when(here(c), F.struct("_h", key))).alias(f"_{c}") for c in ("t", "v")])
+    at = F.struct("_h", F.col(key))
+    return rows.join(F.broadcast(cuts), label, "left").withColumn(
+        "split", F.when(at <= F.col("_t"), "test").when(at <= F.col("_v"), "val").otherwise("train")).drop("_h", "_bin", "_t", "_v")
 
 
 def sequence_numbers(df: DataFrame, order: str, name: str = "seq", width: int = 1 << 20) -> DataFrame:
@@ -148,28 +153,35 @@ def sequence_numbers(df: DataFrame, order: str, name: str = "seq", width: int =
         name, F.col("_offset") + F.col("_rank")).drop("_range", "_rank", "_offset")
 
 
-def score_histogram(df: DataFrame, score: str, positive: Column, places: int = 4) -> DataFrame:
-    """Positives and negatives per rounded score: at most 10^places + 1 rows for scores in 0..1."""
-    return df.groupBy(F.bround(score, places).alias("score")).agg(
-        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+def score_ranks(df: DataFrame, score: str, positive: Column, slots: int = 1 << 14) -> DataFrame:
+    """Positives and negatives at each distinct score, of all lower scores (``pos_below``, ``neg_below``) and of all, exactly.
+
+    Scores in 0..1 are dealt into slots; a small table of slot totals carries the sums over, so no task orders all scores.
+    """
+    at = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    at = at.withColumn("_slot", F.floor(F.col("score") * slots))
+    per = at.groupBy("_slot").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    lower = W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)  # at most slots + 1 rows
+    zero = F.lit(0)
+    every = W.partitionBy(F.lit(1))
+    carried = per.select("_slot", F.coalesce(F.sum("p").over(lower), zero).alias("p"), F.coalesce(F.sum("n").over(lower), zero).alias("n"),
+                         F.sum("p").over(every).alias("all_pos"), F.sum("n").over(every).alias("all_neg"))
+    inside = W.partitionBy("_slot").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    return at.join(F.broadcast(carried), "_slot").select(
+        "score", "pos", "neg", (F.col("p") + F.coalesce(F.sum("pos").over(inside), zero)).alias("pos_below"),
+        (F.col("n") + F.coalesce(F.sum("neg").over(inside), zero)).alias("neg_below"), "all_pos", "all_neg")
 
 
 def best_threshold(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """The score threshold (predict positive at or above it) with the highest F1; lowest one on ties."""
-    hist = score_histogram(df, score, positive)
-    down = W.orderBy(F.col("score").desc())  # bounded by the histogram size
-    every = W.partitionBy(F.lit(1))
-    curve = hist.select(
-        "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"))
-    f1 = F.lit(2.0) * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p"))
-    return curve.withColumn("f1", f1).orderBy(F.col("f1").desc(), "score").limit(1).select(
-        F.col("score").alias("threshold"), F.bround("f1", 6).alias("f1"))
+    curve = score_ranks(df, score, positive)
+    tp, fp = F.col("all_pos") - F.col("pos_below"), F.col("all_neg") - F.col("neg_below")
+    f1 = F.lit(2.0) * tp / (tp + fp + F.col("all_pos"))
+    best = curve.select(f1.alias("f1"), "score").agg(F.max(F.struct("f1", (-F.col("score")).alias("low"))).alias("b"))
+    return best.where("b is not null").select((-F.col("b.low")).alias("threshold"), F.bround("b.f1", 6).alias("f1"))
 
 
 def roc_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve from rank sums; ties count half."""
-    hist = score_histogram(df, score, positive)
-    up = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    below = hist.select("pos", "neg", F.coalesce(F.sum("neg").over(up), F.lit(0)).alias("neg_below"))
-    return below.agg(F.bround(
+    return score_ranks(df, score, positive).agg(F.bround(
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg")), 6).alias("roc_auc"))

@@ -48,7 +48,7 @@ def predict_heuristic(df: DataFrame, threshold: float = lx.ML_THRESHOLD) -> Data
     df = df.withColumn("_p", heuristic_probability(F.col("features")))
     return df.withColumns({
         "probability": F.bround("_p", 4), "ml_label": F.when(F.col("_p") >= threshold, "scam").otherwise("benign"),
-        "ml_model": F.lit("none"), "ml_is_mock": F.lit(True),
+        "raw_probability": F.col("_p"), "ml_model": F.lit("none"), "ml_is_mock": F.lit(True),
     }).drop("_p")
 
 
@@ -91,7 +91,7 @@ def predict_model(df: DataFrame, model: PipelineModel, threshold: float = lx.ML_
     out = model.transform(_flat(df)).withColumn("_p", vector_to_array("p")[1])
     return out.withColumns({
         "probability": F.bround("_p", 4), "ml_label": F.when(F.col("_p") >= threshold, "scam").otherwise("benign"),
-        "ml_model": F.lit("LogisticRegression"), "ml_is_mock": F.lit(False),
+        "raw_probability": F.col("_p"), "ml_model": F.lit("LogisticRegression"), "ml_is_mock": F.lit(False),
     }).drop(*drop)
 
 

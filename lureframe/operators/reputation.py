@@ -13,7 +13,8 @@ from ..functions.bind import unnest
 from .signals import evidence
 
 BROADCAST_LIMIT = 64 * 1024 * 1024
-SALTS = 16
+#: Salts at least and at most, and bytes of the fact side for each.
+SALTS, MAX_SALTS, SALT_BYTES = 16, 4096, 256 * 1024 * 1024
 
 # FIXED VALUES: verdict and status order, informative and anchoring verdicts.
 VERDICT_RANK = {"safe": 0, "unknown": 1, "suspicious": 2, "malicious": 3}
@@ -29,13 +30,17 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def feed_join(left: DataFrame, feed: DataFrame, on: str, spread: Column, how: str = "left",
-              limit: int = BROADCAST_LIMIT, salts: int = SALTS) -> DataFrame:
+              limit: int = BROADCAST_LIMIT, salts: int | None = None) -> DataFrame:
     """Join a fact table to a feed on one key without a hot task, whatever the sizes are.
 
     ``spread`` is any evenly distributed column of the fact side (its row id).
+    Unless given, the number of salts follows the fact side's size, so that a key
+    with a third of all rows is cut into parts of bounded size.
     """
     if estimated_bytes(feed) <= limit:
         return left.join(F.broadcast(feed), on, how)
+    if salts is None:
+        salts = max(SALTS, min(MAX_SALTS, estimated_bytes(left) // SALT_BYTES))
     copies = feed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
@@ -66,20 +71,22 @@ def split_lookupable(df: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def _listed_hosts(urls: DataFrame, feed: DataFrame, id_col: str) -> DataFrame:
-    keyed = unnest(urls, uf.suffixes_of(F.col("host")), id_col, pos="depth", item="entry")
-    return feed_join(keyed, feed, "entry", F.struct(id_col, "depth"), how="inner")
+def _listed_hosts(urls: DataFrame, feed: DataFrame) -> DataFrame:
+    """host and category of the distinct hosts that the feed lists, by themselves or by the nearest parent domain."""
+    hosts = urls.select("host").where("host is not null").distinct()
+    keyed = unnest(hosts, uf.suffixes_of(F.col("host")), "host", pos="depth", item="entry")
+    return feed_join(keyed, feed, "entry", F.struct("host", "depth"), how="inner").groupBy("host").agg(
+        F.min_by("category", "depth").alias("category"))
 
 
 def blocklist_join(urls: DataFrame, blocklist: DataFrame, id_col: str = "url_id") -> DataFrame:
     """Verdict per URL: suspicious when the host or any parent domain is listed, else unknown.
 
-    ``blocklist`` has columns ``entry`` (domain) and ``category``.  Only listed
-    rows are aggregated; the result is joined back on the unique id.
+    ``blocklist`` has columns ``entry`` (domain) and ``category``.  Distinct hosts
+    are looked up; occurrences then meet the listed hosts only.
     """
     feed = blocklist.select("entry", "category").dropDuplicates(["entry"])
-    hit = _listed_hosts(urls, feed, id_col).groupBy(id_col).agg(F.min_by("category", "depth").alias("category"))
-    out = urls.join(hit, id_col, "left")
+    out = feed_join(urls, _listed_hosts(urls, feed), "host", F.col(id_col))
     listed = F.col("category").isNotNull()
     return out.withColumns({
         "provider": F.lit("mock"), "is_mock": F.lit(True),
@@ -129,12 +136,14 @@ def engine_stats_verdicts(urls: DataFrame, stats: DataFrame, key: str = "host",
 def merge_verdicts(results: DataFrame, key: str = "url", order: str = "provider_ord") -> DataFrame:
     """One verdict per key from all providers: the worst by (verdict, risk), first provider on ties.
 
-    ``results`` holds one row per key and provider (look up distinct URLs, not occurrences).
-    Failures never count as clean: the status is ``ok`` once any provider gave a
-    real verdict, otherwise the worst failure.  Providers per key are few, so the
-    lists collected here are bounded by the number of feeds.
+    Of several rows of one key and provider the worst counts, so the lists
+    collected here are bounded by the number of feeds.  Failures never count as clean: the status is ``ok`` once any provider gave a
+    real verdict, otherwise the worst failure.
     """
     ranked = results.withColumns({"_v": rank_of(F.col("verdict"), VERDICT_RANK), "_s": rank_of(F.col("status"), STATUS_RANK)})
+    worst = F.struct("_v", "risk_score", "_s", "hits", "verdict", "status")
+    ranked = ranked.groupBy(key, order).agg(F.max_by(F.struct(*[c for c in ranked.columns if c not in (key, order)]), worst).alias("r")).select(
+        key, order, "r.*")
     best = F.struct("_v", "risk_score", (-F.col(order)).alias("_o"))
     informative = (F.col("status") == "ok") & F.col("verdict").isin(INFORMATIVE)
     listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "provider", "verdict", "status", "risk_score", "categories")))

@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import lexicon as lx
 from ..operators import entities as en, ingest, model as ml, report as rp, reputation as rep, risk, rules, signals, urls
+from ..sources.results import shared_folder
+
+
+def stored_stage(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ingest_stage(messages: DataFrame) -> DataFrame:
@@ -75,6 +82,8 @@ def triage(
     df = refine_stage(df, suggestions)
     df = ml.features(df)
     df = ml.predict_heuristic(df) if model is None else ml.predict_model(df, model)
+    if reputation is not None:  # two branches read it: computed once, and a branch reads only the columns it needs
+        df = stored_stage(df)
     df = rep.attach_reputation(df, reputation)
     df = risk.assess(risk.risk_inputs(risk.correlate(evidence_stage(df))), lex.weights)
     return rp.report(df) if with_report else df

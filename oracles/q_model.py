@@ -95,10 +95,11 @@ def d4_totals(spark, d):
     return ds.dataset_totals(st.labelled, st.valid_rows, ds.dedup_first(st.valid_rows)).drop("malformed_rows")
 
 
-@register("d5_stratified_split", q("""SELECT label, split, CASE split WHEN 'test' THEN t WHEN 'val' THEN v ELSE n - t - v END AS n FROM (SELECT label, count(*) AS n, CAST(ceil(count(*) * 0.2e0) AS BIGINT) AS t, CAST(ceil(count(*) * 0.1e0) AS BIGINT) AS v FROM valid GROUP BY label),
- (VALUES ('test'), ('val'), ('train')) s(split)""", extra=BASE))
+@register("d5_stratified_split", q("""SELECT ord, label, CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'val' ELSE 'train' END AS split FROM (
+ SELECT ord, label, row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('42:' || CAST(ord AS VARCHAR)), 1, 15))::BIGINT, ord) AS r,
+ ceil(count(*) OVER (PARTITION BY label) * 0.2e0) AS t, ceil(count(*) OVER (PARTITION BY label) * 0.1e0) AS v FROM valid)""", extra=BASE))
 def d5(spark, d):
-    return ds.stratified_split(stages(spark, d).valid_rows, key="ord").groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+    return ds.stratified_split(stages(spark, d).valid_rows, key="ord").select("ord", "label", "split")
 
 
 @register("d6_best_threshold", q(f"""SELECT score AS threshold, round(f1, 6) AS f1 FROM (SELECT score, 2e0 * tp / (tp + fp + p) AS f1 FROM (

@@ -114,7 +114,7 @@ class Stages:
         """Features of the template messages with their label, stored because training reads them often."""
         rows = lambda: self.featured.where("is_scam is not null").select(
             F.col("msg_id").alias("id"), "features", F.when(F.col("is_scam"), "scam").otherwise("benign").alias("label"))
-        return self._get("training", lambda: ds.stratified_split(self._store("features", rows())))
+        return self._get("training", lambda: ds.stratified_split(self._store("features", rows()), key="id"))
 
     @property
     def model(self):

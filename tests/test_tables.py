@@ -90,7 +90,7 @@ def test_dedup_keeps_the_first(spark):
 
 def test_split_is_exact_stratified_and_reproducible(spark):
     df = spark.createDataFrame([(f"r{i}", "scam" if i % 4 == 0 else "benign") for i in range(400)], "id string, label string")
-    a, b = ds.stratified_split(df, bits=4), ds.stratified_split(df.repartition(7), bits=4)
+    a, b = ds.stratified_split(df, "id", bits=4), ds.stratified_split(df.repartition(7), "id", bits=4)
     sizes = {(r["label"], r["split"]): r["count"] for r in a.groupBy("label", "split").count().collect()}
     assert sizes == {("scam", "test"): 20, ("scam", "val"): 10, ("scam", "train"): 70, ("benign", "test"): 60, ("benign", "val"): 30, ("benign", "train"): 210}
     pick = lambda d: {(r["id"], r["split"]) for r in d.select("id", "split").collect()}
