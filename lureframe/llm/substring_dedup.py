@@ -1,7 +1,7 @@
 """Substring de-duplication by hashed units.
 
-A text is cut into units at line and sentence ends; a long sentence also at
-commas.  Units are normalised (lower case, words only) and hashed to 128 bits.
+A text is cut into units at line and sentence ends, a long sentence also at
+places that depend on the words there alone.  Units are normalised (lower case, words only) and hashed to 128 bits.
 Over all documents the earliest occurrence of a digest stays; later ones are
 marked, and a run of marked units with enough words is cut out of the text.
 Offsets of what was cut refer to the original text.
@@ -9,6 +9,7 @@ Offsets of what was cut refer to the original text.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -16,30 +17,36 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
-CLAUSE = re.compile(r"[^,;:]*[,;:]+\s*|[^,;:]+")
 WORD = re.compile(r"\w+")
-#: Words after which a comma ends a unit, and words of a run of marked units that is cut.
-CLAUSE_WORDS, MIN_WORDS = 8, 20
+WORD_AND_COMMA = re.compile(r"(\w+)(,\s*)?")
+#: Words from which a unit may end without punctuation, words of the longest unit, and words of a run of marked units that is cut.
+MANY_WORDS, MOST_WORDS, MIN_WORDS = 8, 24, 16
 
 
 def units(text: str) -> list[tuple[int, list[str]]]:
-    """(end, normalised words) of each unit in order; units cover the whole text, some have no words."""
-    out = []
+    """(end, normalised words) of each unit in order; units cover the whole text, some have no words.
+
+    A long sentence is cut behind words that their own hash picks (every second one before a comma, every fourth one
+    elsewhere once a unit has MANY_WORDS words), so that a passage is cut alike whatever it is glued to.
+    """
+    out: list[tuple[int, list[str]]] = []
     for m in SENTENCE.finditer(text):
         words = WORD.findall(m[0].lower())
-        if len(words) < 2 * CLAUSE_WORDS:
+        if len(words) < 2 * MANY_WORDS:
             out.append((m.end(), words))
             continue
         held: list[str] = []
-        end = m.start()
-        for c in CLAUSE.finditer(m[0]):
-            held += WORD.findall(c[0].lower())
-            end = m.start() + c.end()
-            if len(held) >= CLAUSE_WORDS:
-                out.append((end, held))
+        for w in WORD_AND_COMMA.finditer(m[0]):
+            word = w[1].lower()
+            held.append(word)
+            pick = zlib.crc32(word.encode())
+            if w[2] and pick % 2 == 0 or len(held) >= MANY_WORDS and pick % 4 == 0 or len(held) == MOST_WORDS:
+                out.append((m.start() + w.end(), held))
                 held = []
-        if held or not out or out[-1][0] < end:
-            out.append((end, held))
+        if held:
+            out.append((m.end(), held))
+        else:
+            out[-1] = (m.end(), out[-1][1])
     return out
 
 
