@@ -349,7 +349,13 @@ def x2(spark, d):
     return out.select("event_id", "recent", "over_limit")
 
 
-@register("x2_exact_limiter")
+RECENT = "list_filter(r.taken, lambda t: e.us - t < 43200000000)"
+
+
+@register("x2_exact_limiter", f"""WITH RECURSIVE e AS (SELECT user_id AS client, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+ r AS (SELECT client, id, rn, TRUE AS accepted, [us] AS taken FROM e WHERE rn = 1 UNION ALL
+ SELECT e.client, e.id, e.rn, len({RECENT}) < 2, CASE WHEN len({RECENT}) < 2 THEN list_append({RECENT}, e.us) ELSE {RECENT} END FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1)
+ SELECT id, client, accepted FROM r""")
 def x2_exact(spark, d):
     mark = res.shared_folder(spark, "limit-mark")
     path = res.shared_folder(spark, "limit")
