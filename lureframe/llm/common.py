@@ -43,6 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that may be broadcast: some tens of MB at most.
+SMALL_ROWS = 400_000
+
+
+def if_small(derived: DataFrame) -> DataFrame:
+    """A stored narrow table for the small side of a join: broadcast if it has few rows, by count, else joined by shuffle.
+
+    The other side then holds whole texts, which stay where they are in the first case.
+    """
+    return F.broadcast(derived) if derived.count() <= SMALL_ROWS else derived
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

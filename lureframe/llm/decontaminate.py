@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bind import let
-from .common import row_keys, stored
+from .common import if_small, row_keys, stored
 
 #: Masks: 1 counts, 0 is ignored.  Each spans 12 words and counts 8 of them.
 MASKS = ("110110110011", "111001011011")
@@ -92,7 +92,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
         "k1", "k2", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     found = stored(hits, "hits")
     # only texts with a hit are opened again; each is cut to the stretch beside the item
-    near = rows.join(found.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select(
+    near = rows.join(if_small(stored(found.select("k1", "k2").distinct(), "near")), ["k1", "k2"], "left_semi").select(
         "k1", "k2", "doc_id", normal_words(F.col("text")).alias("words"))
     pairs = near.join(found, ["k1", "k2"]).join(
         items.withColumn("item_key", F.xxhash64("item_words")), ["item_id", "item_key"])
@@ -122,4 +122,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     names = docs.columns
     key1, key2 = (k for k in row_keys(id_col, text_col))
     keyed = docs.select("*", key1.alias("_k1"), key2.alias("_k2"))
-    return keyed.join(bad, (F.col("_k1") == bad["k1"]) & (F.col("_k2") == bad["k2"]), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    return keyed.join(if_small(bad), (F.col("_k1") == bad["k1"]) & (F.col("_k2") == bad["k2"]), "left_anti").select(*[F.col(f"`{c}`") for c in names])

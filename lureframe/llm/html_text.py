@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_keys, stored
+from .common import if_small, row_keys, stored
 from .url_reputation import host_of, path_of
 
 #: Kinds of lines: plain line of a declared article, line that differencing may delete, template slot.
@@ -273,7 +273,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     keyed = rows.select(*row_keys("page_id", "url", "html"), "page_id", "url", "html")
     gone = stored(template_lines(keyed.select("k1", "k2", "url", "html")), "gone")
-    joined = keyed.join(gone, ["k1", "k2"], "left").select("page_id", "url", "html", "gone")
+    joined = keyed.join(if_small(gone), ["k1", "k2"], "left").select("page_id", "url", "html", "gone")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

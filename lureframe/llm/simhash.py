@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_keys, stored
+from .common import if_small, row_keys, stored
 from .components import components
 
 #: Homes of one anchor that a task compares; an anchor with more is dealt to several tasks.
@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
                     .withColumn("node", F.monotonically_increasing_id()), "points")
     proposed = stored(links(points.where("n > 0").select("node", "n", *fs), WIDE, WIDE_R, WIDE_BITS, similarity), "proposed")
     ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(points.select("node", "k1", "k2"), "node")
-    texts = stored(rows.select("k1", "k2", "text").join(stored(ends, "ends"), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = stored(rows.select("k1", "k2", "text").join(if_small(stored(ends, "ends")), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
     roots = components(jaccard_links(proposed, texts, width, similarity))
     named = points.join(roots, "node", "left").select("node", "k1", "k2", "first", F.coalesce("root", "node").alias("root"))
     named = stored(named, "roots")
@@ -346,6 +346,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     Null and empty texts are equal texts.
     """
     groups = near_duplicates(docs, width, similarity, id_col, text_col).where("k1 = kept_k1 and k2 = kept_k2").select("k1", "k2", "first")
+    groups = if_small(stored(groups, "groups"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.struct("*").alias("row"), *[F.xxhash64(F.lit(s), text).alias(k) for s, k in ((1, "k1"), (2, "k2"))])
     same = keyed.join(groups, ["k1", "k2"]).where(F.col(f"row.{id_col}").eqNullSafe(F.col("first")))

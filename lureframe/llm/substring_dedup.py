@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import if_small, stored
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -106,10 +106,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     seen = table.select("no_id", "id", "crc", F.posexplode(F.arrays_zip("h1", "h2")).alias("unit", "h")).select(
         "no_id", "id", "crc", "unit", "h.h1", "h.h2").where("h1 <> 0 or h2 <> 0")
     firsts = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("first")).where("times > 1").select("h1", "h2", "first")
-    firsts = stored(firsts, "firsts")  # the join's sides are then plain shuffles, whose large partitions Spark splits
+    # written first, the join's sides are plain shuffles, whose large partitions Spark splits
+    firsts = stored(firsts, "firsts").hint("merge")
     marked = seen.join(firsts, ["h1", "h2"]).where(at != F.col("first")).groupBy("no_id", "id", "crc").agg(
         F.collect_set("unit").alias("marked"))
-    touched = table.select("no_id", "id", "crc", "words", "ends").join(stored(marked, "marked"), ["no_id", "id", "crc"])
+    marked = stored(marked, "marked")
+    who = ["no_id", "id", "crc"]
+    touched = table.select(*who, "words", "ends").join(if_small(marked.select(*who)), who, "left_semi").join(marked, who)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -138,7 +141,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.xxhash64(text)).alias("id"),
                         F.hash(text).alias("crc"))
-    rows = keyed.join(cuts, ["no_id", "id", "crc"], "left")
+    rows = keyed.join(if_small(cuts), ["no_id", "id", "crc"], "left")
     whole = F.col(f"row.{text_col}")
     cut = F.col("cut")
     # what stands before each span and after the last one
