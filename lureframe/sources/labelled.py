@@ -1,7 +1,7 @@
 """Readers for labelled data and evaluation cases."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import collapse_key, strip
 from ..operators.datasets import sequence_numbers
@@ -13,6 +13,24 @@ EVAL_SCHEMA = (
 )
 
 
+#: Rows of one file split that keep numbers of their own.
+SPLIT_ROWS = 1 << 33
+
+
+def in_reading_order(rows: DataFrame, within=None, name: str = "ord") -> DataFrame:
+    """``name``: rising in the order of file names, file splits and rows, whatever tasks the splits went to.
+
+    ``rows`` come straight from a file scan.  The running id of a task rises inside a split; splits are numbered in a
+    table of one row each.  ``within`` replaces the running id where a row of the scan holds several.
+    """
+    at = {"_file": F.input_file_name(), "_block": F.input_file_block_start(), "_row": F.monotonically_increasing_id()}
+    placed = rows.withColumns(at)
+    splits = placed.select("_file", "_block").distinct().withColumn("_no", F.row_number().over(Window.orderBy("_file", "_block")) - 1)
+    row = F.col("_row").bitwiseAND(SPLIT_ROWS - 1) if within is None else within
+    return placed.join(F.broadcast(splits), ["_file", "_block"]).withColumn(
+        name, F.col("_no").cast("bigint") * SPLIT_ROWS + row).drop(*at, "_no")
+
+
 def _spread(rows: DataFrame, names: list[str]) -> DataFrame:
     """Object texts -> one string column per name, plus ``malformed`` for non-objects."""
     parsed = rows.withColumn("_m", F.from_json("item", T.MapType(T.StringType(), T.StringType())))
@@ -36,16 +54,18 @@ def read_labelled(spark: SparkSession, path: str, fmt: str | None = None, column
         raw = spark.read.csv(path, header=True, multiLine=multiline, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False)
         named = [(c, c.replace("\ufeff", "").strip()) for c in raw.columns]
         cols = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in named if n]
-        return raw.select(F.monotonically_increasing_id().alias("ord"), F.lit(False).alias("malformed"), *cols)
+        return in_reading_order(raw.select(F.lit(False).alias("malformed"), *cols)).select(
+            "ord", "malformed", *[n for _, n in named if n])
     if fmt == "json":
         docs = spark.read.text(path, wholetext=True)
         listed = F.from_json("value", T.ArrayType(T.StringType()))
         inside = F.from_json(F.get_json_object("value", "$.rows"), T.ArrayType(T.StringType()))
-        items = docs.select(F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(inside)).alias("ord", "item"))
-        return _spread(items, names)
+        files = in_reading_order(docs, F.lit(0))  # one row each
+        items = files.select("ord", F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(inside)).alias("_pos", "item"))
+        return _spread(items.withColumn("ord", F.col("ord") + F.col("_pos")), names)
     if fmt in ("jsonl", "ndjson"):
-        lines = spark.read.text(path).where(strip(F.col("value")) != "")
-        return _spread(lines.select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("item")), names)
+        lines = in_reading_order(spark.read.text(path)).where(strip(F.col("value")) != "")
+        return _spread(lines.select("ord", F.col("value").alias("item")), names)
     raise ValueError(f"unsupported dataset format: {fmt} (use csv, json or jsonl)")
 
 
@@ -64,9 +84,8 @@ def parse_tsv_labelled(lines: DataFrame, label_map: dict[str, str] = SMS_LABELS,
         F.when(cut > 0, strip(F.expr(f"substring({line}, instr({line}, '\\t') + 1)"))).alias("text"),
     )
     good = F.coalesce(F.col("raw_label").isin(list(label_map)) & (F.col("text") != ""), F.lit(False))
-    first = parts.where(good).groupBy(F.sha2(collapse_key(F.col("text")), 256).alias("_key")).agg(
-        F.min_by(F.struct(order, "raw_label", "text"), F.col(order)).alias("r")).select("r.*")
-    numbered = sequence_numbers(first, order)
+    first = parts.where(good).groupBy(F.sha2(collapse_key(F.col("text")), 256).alias("_key")).agg(F.min(order).alias(order)).select(order)
+    numbered = sequence_numbers(parts.where(good).join(first, order, "left_semi"), order)
     mapping = F.create_map(*[x for k, v in label_map.items() for x in (F.lit(k), F.lit(v))])
     rows = numbered.select(
         F.format_string(id_format, F.col("seq")).alias("id"), "text", mapping[F.col("raw_label")].alias("label"),
@@ -76,7 +95,7 @@ def parse_tsv_labelled(lines: DataFrame, label_map: dict[str, str] = SMS_LABELS,
 
 
 def read_tsv_labelled(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
+    lines = in_reading_order(spark.read.text(path)).select("value", "ord")
     return parse_tsv_labelled(lines, **options)
 
 

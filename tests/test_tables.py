@@ -82,6 +82,22 @@ def test_sequence_numbers_across_ranges(spark):
     assert got == list(range(1, 101))
 
 
+def test_reading_order_follows_files_and_lines(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    want = []
+    for k in range(9):  # sizes differ, so Spark packs the splits in another order
+        lines = [f"{k:02d}-{i:04d} " + "x" * (k % 4) * 50 for i in range(30 + 400 * (k % 3))]
+        (folder / f"f{k}.jsonl").write_text("\n".join(json.dumps({"id": x.split()[0], "text": x}) for x in lines) + "\n")
+        want += [x.split()[0] for x in lines]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = lab.read_labelled(spark, str(folder), "jsonl").select("ord", "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["ord"])] == want and len({r["ord"] for r in rows}) == len(rows)
+
+
 def test_dedup_keeps_the_first(spark):
     rows = [(1, "a", "x"), (2, "a", "y"), (3, "", "Same  Text"), (4, "", "same text"), (5, "", ""), (6, "", "")]
     df = spark.createDataFrame(rows, "ord long, id string, text string")
