@@ -1,6 +1,7 @@
 """Submission rate per client: a windowed count in batch, an exact limiter on a stream."""
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,16 +39,17 @@ def limit_stream(df: DataFrame, key: str = "user_id", ts: str = "ts", row_id: st
         if state.hasTimedOut:
             state.remove()
             return
-        accepted = list(state.get[0]) if state.exists else []
+        accepted = deque(state.get[0] if state.exists else ())
         rows = pd.concat(list(chunks)).sort_values(["us", "id"], kind="stable")
         verdicts = []
         for us in rows["us"]:
-            accepted = [t for t in accepted if us - t < width]
+            while accepted and us - accepted[0] >= width:
+                accepted.popleft()
             ok = len(accepted) < limit
             if ok:
                 accepted.append(int(us))
             verdicts.append(ok)
-        state.update((accepted,))
+        state.update((list(accepted),))
         if accepted:
             state.setTimeoutTimestamp(max(max(accepted) // 1000 + window_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": k[0], "id": rows["id"].values, "us": rows["us"].values, "accepted": verdicts})

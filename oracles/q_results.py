@@ -8,7 +8,7 @@ from lureframe.operators import evaluate as ev, history as hi, report as rp
 from lureframe.sources import labelled as lab, results as res, synthetic as syn
 from lureframe.streaming import rate_limit, triage_stream
 
-from . import ctes as c, fixture as fx
+from . import ctes as c
 from .registry import joined, n, register, stages
 
 q = c.query
@@ -329,15 +329,12 @@ def s7(spark, d):
     return res.weights_table(spark, r.select(F.when(k == 0, "url_risk").when(k == 1, "urgency").otherwise(F.col("r_name")).alias("channel"), ((k + 1) / F.lit(10.0)).alias("weight")))
 
 
-TEMPLATE_ONLY = {"events_only": "SELECT * FROM scored WHERE msg_id < 1000000000"}
-
-
-@register("x1_score_stream", q("SELECT level, count(*) AS n FROM events_only GROUP BY level", "scored", extra=TEMPLATE_ONLY))
+@register("x1_score_stream", q("SELECT level, count(*) AS n FROM scored GROUP BY level", "scored"))
 def x1(spark, d):
-    path, mark = res.shared_folder(spark, "stream"), res.shared_folder(spark, "mark")
-    schema = stages(spark, d).table("events").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    run = triage_stream.score_stream(fx.from_events(arriving.repartition(spark.sparkContext.defaultParallelism, "event_id")), path, mark, once=True, with_report=True)
+    arrived, path, mark = res.shared_folder(spark, "arrived"), res.shared_folder(spark, "stream"), res.shared_folder(spark, "mark")
+    stages(spark, d).messages.write.parquet(arrived)
+    arriving = spark.readStream.schema(stages(spark, d).messages.schema).parquet(arrived)
+    run = triage_stream.score_stream(arriving, path, mark, once=True, with_report=True)
     run.awaitTermination()
     return spark.read.parquet(f"{path}/risk").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
