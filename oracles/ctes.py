@@ -212,9 +212,9 @@ def _feature_sql() -> str:
  length(regexp_replace(body, '[^_@%*&!]', '', 'g')) / {size} AS special_char_frequency, length(regexp_replace(body, '[^\\p{{Lu}}]', '', 'g')) / {size} AS uppercase_ratio,
  urgency_score, fear_threat_score, reward_score, pressure_score, least(1e0, 0.25e0 * len(g_authority)) AS authority_score,
  CAST(payment_request AS INTEGER)::DOUBLE AS payment_request, CAST(credential_request AS INTEGER)::DOUBLE AS credential_request, CAST(otp_request AS INTEGER)::DOUBLE AS otp_request,
- CAST(sensitive_request AS INTEGER)::DOUBLE AS sensitive_info_request, CAST(len(emails) > 0 AS INTEGER)::DOUBLE AS has_email, CAST(len(amounts) AS DOUBLE) AS amount_count,
+ CAST(sensitive_request AS INTEGER)::DOUBLE AS sensitive_info_request, CAST(len(emails) > 0 AS INTEGER)::DOUBLE AS has_email, CAST(p.msg_id IS NOT NULL AS INTEGER)::DOUBLE AS has_phone, CAST(len(amounts) AS DOUBLE) AS amount_count,
  CAST(coalesce(m.n, 0) AS DOUBLE) AS scam_keyword_hits, length(regexp_replace(body, '[^.,;:!?]', '', 'g')) / {size} AS punctuation_ratio
- FROM acc a JOIN sig USING (msg_id) JOIN emails USING (msg_id) JOIN amounts USING (msg_id) LEFT JOIN (SELECT msg_id, count(*) AS n FROM matches GROUP BY msg_id) m USING (msg_id)"""
+ FROM acc a JOIN sig USING (msg_id) JOIN emails USING (msg_id) JOIN amounts USING (msg_id) LEFT JOIN (SELECT msg_id, count(*) AS n FROM matches GROUP BY msg_id) m USING (msg_id) LEFT JOIN (SELECT DISTINCT msg_id FROM phones) p USING (msg_id)"""
 
 
 HEURISTIC = ("greatest(0e0, least(1e0, 0.22e0 * scam_keyword_hits * 0.33e0 + 0.2e0 * payment_request + 0.2e0 * credential_request + 0.15e0 * otp_request + 0.1e0 * sensitive_info_request"
@@ -224,7 +224,16 @@ THEME = "CASE source " + " ".join(f"WHEN {s(k)} THEN {s(v)}" for k, v in lx.THEM
 THEME_LABEL = THEME_LABEL_SQL = "CASE theme " + " ".join(f"WHEN {s(k)} THEN {s(v)}" for k, v in lx.THEME_LABELS.items()) + " END"
 
 CTES |= {
-    "feat": (["acc", "sig", "emails", "amounts", "matches"], _feature_sql()),
+    # RE2 has no look-around: possible starts are listed, matched at their place, and walked from one match to the next behind it
+    "phone_at": (["acc"], f"""SELECT msg_id, body, s, s + length(v) AS e, v FROM (SELECT msg_id, body, s, regexp_extract(substr(body, s, 60), {s("^(" + en.PHONE + ")(?:[^0-9]|$)")}, 1) AS v FROM (
+ SELECT msg_id, body, unnest(list_filter(range(1, len(ch) + 1), lambda i: regexp_matches(ch[i], '[0-9(+]') AND (i = 1 OR NOT regexp_matches(ch[i - 1], '[0-9+]')))) AS s
+ FROM (SELECT msg_id, body, string_split(body, '') AS ch FROM acc WHERE regexp_matches(body, '[0-9]')))) WHERE v <> ''"""),
+    "phone_next": (["phone_at"], """SELECT a.msg_id, a.s, min(b.s) AS n FROM phone_at a JOIN phone_at b ON a.msg_id = b.msg_id AND b.s >= a.e GROUP BY ALL"""),
+    "phone_walk": (["phone_next"], """SELECT msg_id, min(s) AS s FROM phone_at GROUP BY msg_id UNION ALL SELECT x.msg_id, x.n FROM phone_walk w JOIN phone_next x ON x.msg_id = w.msg_id AND x.s = w.s"""),
+    "phones": (["phone_walk"], f"""SELECT msg_id, value, context FROM (SELECT msg_id, s, {trim('v')} AS value,
+ replace(substr(body, greatest(1, s - 40), least(40, s - 1)) || v || substr(body, e, 40), chr(10), ' ') AS context, row_number() OVER (PARTITION BY msg_id, {trim('v')} ORDER BY s) AS rn
+ FROM phone_walk JOIN phone_at USING (msg_id, s) WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 7 AND 15) WHERE rn = 1"""),
+    "feat": (["acc", "sig", "emails", "amounts", "matches", "phones"], _feature_sql()),
     "ml": (["feat"], f"SELECT msg_id, {rnd(HEURISTIC, 4)} AS probability, CASE WHEN {HEURISTIC} >= 0.55e0 THEN 'scam' ELSE 'benign' END AS label FROM feat"),
     "lang": (["sig"], " UNION ALL ".join(
         f"SELECT msg_id, {i} AS i, {s(sig)} AS signal, {s(sev)} AS severity, {conf} AS confidence FROM sig WHERE {cond}"
@@ -281,4 +290,4 @@ def query(final: str, *needs: str, extra: dict[str, str] | None = None) -> str:
     for n in needs:
         visit(n)
     parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order] + [f"{n} AS MATERIALIZED ({q})" for n, q in (extra or {}).items()]
-    return f"WITH {', '.join(parts)}\n{final}" if parts else final
+    return f"WITH RECURSIVE {', '.join(parts)}\n{final}" if parts else final

@@ -11,7 +11,7 @@ from . import ctes as c
 from .registry import joined, n, register, stages
 
 q = c.query
-SHOWN = [f for f in lx.FEATURES if f != "has_phone"]  # phone patterns need look-around, which DuckDB lacks
+SHOWN = list(lx.FEATURES)
 
 
 @register("m1_features", q("SELECT msg_id, " + ", ".join(f"round({f}, 6) AS {f}" for f in SHOWN) + " FROM feat", "feat"))

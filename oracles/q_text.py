@@ -72,7 +72,7 @@ def e2(spark, d):
     return unnest(df, "emails", "msg_id", item="email").select("msg_id", "email", n(F.col("ord")).alias("ord"))
 
 
-@register("e3_extract_phones")
+@register("e3_extract_phones", q("SELECT msg_id, value, context FROM phones", "phones"))
 def e3(spark, d):
     return unnest(en.extract_phones(stages(spark, d).body), "phones", "msg_id").drop("ord")
 
@@ -95,12 +95,12 @@ def e6(spark, d):
     return unnest(en.extract_codes(stages(spark, d).body), "codes", "msg_id").drop("ord")
 
 
-ORACLE_BUCKETS = ["urls", "emails", "companies", "banks", "organizations", "amounts", "dates"]
+ORACLE_BUCKETS = ["urls", "emails", "phones", "companies", "banks", "organizations", "amounts", "dates"]
 
 
 @register("e7_entity_counts", q("""SELECT * FROM (SELECT msg_id, 'urls' AS bucket, CAST(len(all_urls) AS BIGINT) AS n FROM urls1 UNION ALL SELECT msg_id, 'emails', len(emails) FROM emails
- UNION ALL SELECT msg_id, 'amounts', len(amounts) FROM amounts UNION ALL SELECT msg_id, 'dates', len(dates) FROM dates
- UNION ALL SELECT msg_id, bucket, count(*) FROM brands GROUP BY ALL) WHERE n > 0""", "urls1", "emails", "amounts", "dates", "brands"))
+ UNION ALL SELECT msg_id, 'amounts', len(amounts) FROM amounts UNION ALL SELECT msg_id, 'dates', len(dates) FROM dates UNION ALL SELECT msg_id, 'phones', count(*) FROM phones GROUP BY msg_id
+ UNION ALL SELECT msg_id, bucket, count(*) FROM brands GROUP BY ALL) WHERE n > 0""", "urls1", "emails", "phones", "amounts", "dates", "brands"))
 def e7(spark, d):
     counts = en.entity_counts(stages(spark, d).entities)
     return counts.where(F.col("bucket").isin(ORACLE_BUCKETS) & (F.col("n") > 0)).select("msg_id", "bucket", n(F.col("n")).alias("n"))
