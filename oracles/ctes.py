@@ -103,6 +103,9 @@ FORM_LIMITS = {"max_text": 50_000, "max_urls": 20, "max_title": 255, "max_label"
 LIMIT_FLAGS = cases([("length(coalesce(text, '')) > 50000", "text_too_long"), ("len(urls) > 20", "too_many_urls"),
                      ("length(title) > 255", "title_too_long"), ("length(source_label) > 64", "source_label_too_long")])
 
+CODE_WORDS = en.CODE_TRIGGER.removeprefix(r"\b").removesuffix(r"\b")
+NO_WORD = r"[^\p{L}\p{M}\p{N}_]"
+
 CTES: dict[str, tuple[list[str], str]] = {
     "templates": ([], templates_sql()),
     "messages": (["templates"], messages_sql()),
@@ -233,6 +236,15 @@ CTES |= {
     "phones": (["phone_walk"], f"""SELECT msg_id, value, context FROM (SELECT msg_id, s, {trim('v')} AS value,
  replace(substr(body, greatest(1, s - 40), least(40, s - 1)) || v || substr(body, e, 40), chr(10), ' ') AS context, row_number() OVER (PARTITION BY msg_id, {trim('v')} ORDER BY s) AS rn
  FROM phone_walk JOIN phone_at USING (msg_id, s) WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 7 AND 15) WHERE rn = 1"""),
+    "code_at": (["acc"], f"""SELECT msg_id, body, s, s + length(v) AS e, v FROM (SELECT msg_id, body, s, regexp_extract(substr(body, s, 60), {s("(?i)^(" + CODE_WORDS + ")(?:" + NO_WORD + "|$)")}, 1) AS v FROM (
+ SELECT msg_id, body, unnest(list_filter(range(1, len(ch) + 1), lambda i: contains('ovsapcl', lower(ch[i])) AND (i = 1 OR regexp_matches(ch[i - 1], {s(NO_WORD)})))) AS s
+ FROM (SELECT msg_id, body, string_split(body, '') AS ch FROM acc WHERE regexp_matches(body, '[0-9][0-9][0-9][0-9]')))) WHERE v <> ''"""),
+    "code_next": (["code_at"], """SELECT a.msg_id, a.s, min(b.s) AS n FROM code_at a JOIN code_at b ON a.msg_id = b.msg_id AND b.s >= a.e GROUP BY ALL"""),
+    "code_walk": (["code_next"], """SELECT msg_id, min(s) AS s FROM code_at GROUP BY msg_id UNION ALL SELECT x.msg_id, x.n FROM code_walk w JOIN code_next x ON x.msg_id = w.msg_id AND x.s = w.s"""),
+    "codes": (["code_walk"], """SELECT msg_id, value, context FROM (SELECT *, row_number() OVER (PARTITION BY msg_id, value ORDER BY s, i) AS rn FROM (
+ SELECT msg_id, s, 'near ''' || v || '''' AS context, unnest(found) AS value, generate_subscripts(found, 1) AS i FROM (
+ SELECT *, list_filter(regexp_extract_all(substr(body, greatest(1, s - 25), least(25, s - 1)) || v || substr(body, e, 25), '[0-9]+'), lambda x: length(x) BETWEEN 4 AND 8) AS found
+ FROM code_walk JOIN code_at USING (msg_id, s)))) WHERE rn = 1"""),
     "feat": (["acc", "sig", "emails", "amounts", "matches", "phones"], _feature_sql()),
     "ml": (["feat"], f"SELECT msg_id, {rnd(HEURISTIC, 4)} AS probability, CASE WHEN {HEURISTIC} >= 0.55e0 THEN 'scam' ELSE 'benign' END AS label FROM feat"),
     "lang": (["sig"], " UNION ALL ".join(

@@ -90,7 +90,7 @@ def e5(spark, d):
     return unnest(df, "dates", "msg_id", item="date_text").select("msg_id", "date_text", n(F.col("ord")).alias("ord"))
 
 
-@register("e6_extract_codes")
+@register("e6_extract_codes", q("SELECT msg_id, value, context FROM codes", "codes"))
 def e6(spark, d):
     return unnest(en.extract_codes(stages(spark, d).body), "codes", "msg_id").drop("ord")
 
