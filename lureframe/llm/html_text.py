@@ -26,6 +26,8 @@ PLAIN, OPEN, SLOT = 0, 1, 2
 COPY = 0.8
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: The same without regard to quotes, from the first tag on whose quotes do not close.
+LOOSE_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object")}
@@ -71,7 +73,9 @@ def slot_name(tag: str, attributes: str, inside: bool) -> str | None:
 def lines_of(page: str) -> list[tuple[str, int, str]]:
     """(text, kind, slot) of each line in page order; white space is one blank, empty lines are left out."""
     out: list[list] = []
-    stack: list[tuple[str, str | None, bool, bool]] = []  # tag, slot, article, has a name
+    # tag, the slot it opens, has a name; then what holds inside it: slot, article
+    stack: list[tuple[str, str | None, bool, str | None, bool]] = []
+    count: dict[str, int] = {}
     held: list[str] = []
     slot, inside = None, False
 
@@ -81,21 +85,30 @@ def lines_of(page: str) -> list[tuple[str, int, str]]:
             held.clear()
             if text:
                 top = next((t for t in reversed(stack) if t[0] in BLOCK), None)
-                plain = inside and top is not None and (top[0] in TEXT_BLOCK or not top[3])
+                plain = inside and top is not None and (top[0] in TEXT_BLOCK or not top[2])
                 out.append([text, SLOT if slot else PLAIN if plain else OPEN, slot or "", inside])
 
-    def state():
-        return next((t[1] for t in stack if t[1]), None), any(t[2] for t in stack)
+    def close_from(k):
+        nonlocal slot, inside
+        for t in stack[k:]:
+            count[t[0]] -= 1
+        del stack[k:]
+        slot, inside = stack[-1][3:] if stack else (None, False)
 
-    at, end = 0, len(page)
+    at, end, last, pattern = 0, len(page), page.rfind(">"), TAG
     while at < end:
-        m = TAG.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last and not page.startswith("<!--", begin):
             held.append(page[at:])
             break
-        if m.start() > at:
-            held.append(page[at:m.start()])
-        at = m.end()
+        m = pattern.match(page, begin)
+        if not m and pattern is TAG and page[begin + 1:begin + 2].isalpha():
+            pattern = LOOSE_TAG
+            m = pattern.match(page, begin)
+        held.append(page[at:begin if m else begin + 1])
+        at = m.end() if m else begin + 1
+        if not m:
+            continue
         tag = (m[2] or "").lower()
         if not tag:
             continue
@@ -115,32 +128,29 @@ def lines_of(page: str) -> list[tuple[str, int, str]]:
         if block:
             flush()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if not block and any(s[1] for s in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    slot, inside = state()
-                    break
+            if count.get(tag):
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
+                if not block and any(t[1] for t in stack[k:]):
+                    flush()
+                close_from(k)
             continue
         if block:  # an open paragraph, or an item of the same list, ends here
             for k in range(len(stack) - 1, -1, -1):
                 t = stack[k][0]
                 if t == "p" or t == tag == "li":
-                    del stack[k:]
-                    slot, inside = state()
+                    close_from(k)
                     break
                 if t in BLOCK:
                     break
         mark = slot_name(tag, m[3], inside)
-        if tag in ("article", "main") and not mark and slot not in (None, "comments", "sidebar"):
+        if tag in ("article", "main") and not mark and slot in ("menu", "header", "advert", "notice"):
             # an article does not stand in a menu or advert: those were left open
-            first = next(k for k, t in enumerate(stack) if t[1])
-            del stack[first:]
+            close_from(next(k for k, t in enumerate(stack) if t[1]))
         if mark and not block:
             flush()
-        stack.append((tag, mark, tag in ("article", "main"), bool(m[3] and ATTRIBUTE.search(m[3]))))
-        slot, inside = state()
+        slot, inside = slot or mark, inside or tag in ("article", "main")
+        stack.append((tag, mark, bool(m[3] and ATTRIBUTE.search(m[3])), slot, inside))
+        count[tag] = count.get(tag, 0) + 1
     flush()
     declared = any(line[3] and line[1] != SLOT for line in out)
     # where the page says which part is its article, the rest is not

@@ -1,5 +1,6 @@
 """Page operators against hand-made pages and brute force."""
 import random
+import time
 
 import pytest
 
@@ -32,6 +33,14 @@ def test_odd_pages(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "a", "<p><b>x" * 50_000, "<a href=\"x" * 50_000, "<a href=\"x" * 50_001 + ">y", "<" * 200_000, "<!--" * 50_000,
+                                  "<i>" * 50_000 + "<p>a" * 2_000, "</x>" * 50_000, "<a b='" * 50_000 + ">"])
+def test_odd_pages_take_linear_time(page):
+    began = time.perf_counter()
+    ht.lines_of(page)
+    assert time.perf_counter() - began < 10
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     r = random.Random(3)
 
