@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import if_small, row_keys, stored
 from .components import components
+from .tokens import slices_of
 
 #: Homes of one anchor that a task compares; an anchor with more is dealt to several tasks.
 HOMES = 1024
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, text_col: str
         import xxhash
 
         digest = xxhash.xxh64_intdigest
-        for b in batches:
+        for b in (s for batch in batches for s in slices_of(batch, 512)):
             rows, sizes = [], []
             for text in b.column("_text").to_pylist():
                 cut = shingles(text, width)
@@ -303,7 +304,7 @@ def jaccard_links(pairs: DataFrame, texts: DataFrame, width: int, similarity: fl
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in (s for batch in batches for s in slices_of(batch)):
             keep = []
             for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
                 s, t = set(shingles(x, width)), set(shingles(y, width))
