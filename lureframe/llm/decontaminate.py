@@ -79,23 +79,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
     """k1, k2 (key of the row's id and text), doc_id, item_id, score, doc_from, doc_to, item_from: verified overlaps.
 
     Places are word numbers, ends exclusive; one row per (document, item, diagonal) that reaches ``min_score``.
-    Texts shorter than a mask, empty or null have no seeds and no overlaps.  Equal rows share one key.
+    Texts and items shorter than a mask, empty or null have no seeds and no overlaps.  Equal rows share one key.  An item
+    without an id counts like any other.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(*row_keys("doc_id", "text"), "doc_id", "text")
-    items = stored(benchmark.select(F.col(item_id).alias("item_id"), normal_words(F.col(item_text)).alias("item_words")).distinct(), "items")
-    keys = stored(items.select("item_id", F.xxhash64("item_words").alias("item_key"), F.explode(seeds(F.col("item_words"), masks)).alias("s"))
-                  .select("item_id", "item_key", F.col("s.place").alias("item_place"), F.col("s.hash").alias("hash")), "seeds")
+    items = benchmark.select(F.col(item_id).alias("item_id"), normal_words(F.col(item_text)).alias("item_words")).distinct()
+    items = stored(items.withColumn("item_key", F.xxhash64("item_id", "item_words")), "items")
+    keys = stored(items.select("item_key", F.explode(seeds(F.col("item_words"), masks)).alias("s"))
+                  .select("item_key", F.col("s.place").alias("item_place"), F.col("s.hash").alias("hash")), "seeds")
     few = keys.count() <= BROADCAST_SEEDS
     spots = rows.select("k1", "k2", F.explode(seeds(normal_words(F.col("text")), masks)).alias("s")).select(
         "k1", "k2", F.col("s.place").alias("place"), F.col("s.hash").alias("hash"))
     hits = spots.join(F.broadcast(keys) if few else keys, "hash").select(
-        "k1", "k2", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+        "k1", "k2", "item_key", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     found = stored(hits, "hits")
     # only texts with a hit are opened again; each is cut to the stretch beside the item
     near = rows.join(if_small(stored(found.select("k1", "k2").distinct(), "near")), ["k1", "k2"], "left_semi").select(
         "k1", "k2", "doc_id", normal_words(F.col("text")).alias("words"))
-    pairs = near.join(found, ["k1", "k2"]).join(
-        items.withColumn("item_key", F.xxhash64("item_words")), ["item_id", "item_key"])
+    pairs = near.join(found, ["k1", "k2"]).join(items, "item_key")
     low = F.greatest(F.col("shift"), F.lit(0))
     span = F.least(F.size("words") - low, F.size("item_words") - (low - F.col("shift")))
     cut = pairs.select("k1", "k2", "doc_id", "item_id", low.alias("low"), (low - F.col("shift")).alias("item_low"),

@@ -216,6 +216,8 @@ def test_decontamination(spark, make, words):
     best = {(r["doc_id"], r["item_id"]): r for r in dc.contaminated(docs, bench).collect()}
     at = best[n, 0]
     assert (at["score"], at["doc_from"], at["doc_to"]) == (30, 200, 230)
+    unnamed = spark.createDataFrame([(None, items[0]), (None, items[0])], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in dc.contaminated(docs, unnamed).collect()) == [n, n + 5, n + 6, n + 7]
     assert dc.contaminated(make([]), bench).count() == 0 and dc.contaminated(docs, bench.limit(0)).count() == 0
     assert dc.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
