@@ -21,9 +21,8 @@ from .tokens import slices_of
 DEPTH = 6
 #: A context stays if its log-likelihood gain over its suffix reaches this share of half a logarithm of its count per distinct next symbol.
 GAIN = 1.0
-#: Rows of the tree (next symbols and contexts) at most: the model that tasks share has this proven size, about 12 bytes a row.
-#: A corpus with more contexts worth keeping keeps those of the largest gain.
-MAX_ROWS = 4_000_000
+#: Grams whose log-probabilities tasks share, at most (12 bytes each): the most frequent ones; those of all other grams are joined.
+SHARED_GRAMS = 4_000_000
 #: Words whose counts tasks share, at most; the counts of all other words are joined.
 SHARED_WORDS = 150_000
 #: Bytes of text counted and scored at a time, and rows of counts held by a counting task.
@@ -81,31 +80,45 @@ def chunks(texts: Iterable[str], most: int) -> Iterator[list[bytes]]:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """gram, n over a table with a column ``text``: summed in each task first."""
+    """gram, n (in training texts), m (in all) over a table with columns ``in_training`` and ``text``: summed in each task first."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        codes, counts = [], []
+        keys, counts = [], []  # a key is the gram and a bit: of training texts
+        held: dict[bool, list] = {True: [], False: []}
+        size = {True: 0, False: 0}
+
+        def count(learn):
+            if held[learn]:
+                c, n = np.unique(grams(held[learn])[0], return_counts=True)
+                keys.append(c << 1 | int(learn))
+                counts.append(n)
+                held[learn], size[learn] = [], 0
 
         def out():
-            c, n = summed(np.concatenate(codes), np.concatenate(counts))
-            codes.clear()
+            k, n = summed(np.concatenate(keys), np.concatenate(counts))
+            keys.clear()
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["gram", "n"])
-
-        texts = (t for b in batches for s in slices_of(b, 512) for t in s.column("text").to_pylist())
-        for parts in chunks(texts, COUNT_CHUNK):
-            c, n = np.unique(grams(parts)[0], return_counts=True)
-            codes.append(c)
-            counts.append(n)
-            if sum(map(len, codes)) > COUNT_ROWS:
-                yield out()
-        if codes:
+            return pa.RecordBatch.from_arrays([pa.array(k >> 1), pa.array(np.where(k & 1, n, 0)), pa.array(n)], names=["gram", "n", "m"])
+
+        for b in (s for batch in batches for s in slices_of(batch, 512)):
+            for learn, t in zip(b.column("in_training").to_pylist(), b.column("text").to_pylist()):
+                learn = bool(learn)
+                s = symbols(t)
+                held[learn].append(s)
+                size[learn] += len(s)
+                if size[learn] >= COUNT_CHUNK:
+                    count(learn)
+                    if sum(map(len, keys)) > COUNT_ROWS:
+                        yield out()
+        count(True)
+        count(False)
+        if keys:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("in_training", "text").mapInArrow(run, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -198,7 +211,7 @@ def branches(counts: DataFrame, p1) -> DataFrame:
 
 
 class SuffixTree:
-    """The states that stay, in sorted arrays by level."""
+    """The states that stay (of a branch, or all), in sorted arrays by level."""
 
     def __init__(self, p1, rows):
         import numpy as np
@@ -247,61 +260,103 @@ class SuffixTree:
         return np.add.reduceat(self.of_codes(distinct)[where], starts)
 
 
-def fit(docs: DataFrame, gain: float = GAIN, max_rows: int = MAX_ROWS) -> SuffixTree:
-    """The tree of a table with a column ``text`` (not null).  An empty table gives the uniform model."""
+def fit(docs: DataFrame, gain: float = GAIN) -> SuffixTree:
+    """The tree of a table with a column ``text`` (not null), whole in the driver.  An empty table gives the uniform model."""
     import numpy as np
 
-    counts = stored(count_grams(docs), "grams")
+    counts = stored(count_grams(docs.select(F.lit(True).alias("in_training"), "text")), "grams")
     p1 = first_orders(counts)
-    states = stored(branches(counts, p1).where(F.col("worth") >= gain), "states")
-    # how many rows each step of worth has: a few hundred rows
-    step = F.floor(F.log2("worth") * 16).cast("int")
-    cut, seen = gain, 0
-    for r in sorted(states.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"]):
-        seen += r["n"]
-        if seen > max_rows:
-            cut = 2 ** ((r["s"] + 1) / 16)
-            break
-    kept = states.where(F.col("worth") >= cut).select("level", "code", "lp").toArrow()
+    kept = branches(counts, p1).where(F.col("worth") >= gain).select("level", "code", "lp").toArrow()
     return SuffixTree(p1, [kept.column(c).to_numpy() if kept.num_rows else np.zeros(0, t) for c, t in (
         ("level", np.int32), ("code", np.int64), ("lp", np.float32))])
 
 
+def gram_values(counts: DataFrame, gain: float = GAIN) -> DataFrame:
+    """gram, m, lp (log10 probability by the whole tree) of every gram of ``counts`` (gram, n, m).
+
+    All states that a gram can meet share the last two bytes of its context, so its value is settled where its branch is grown:
+    the tree is never gathered, no state is left out.
+    """
+    p1 = first_orders(counts)
+    grow = _grow(p1)
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        code = table.column("gram").to_numpy()
+        learnt = table.filter(pa.array(table.column("n").to_numpy() > 0))
+        rows = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+        if learnt.num_rows:
+            states = grow(learnt)
+            kept = states.column("worth").to_numpy() >= gain
+            rows = [states.column(c).to_numpy()[kept] for c in ("level", "code", "lp")]
+        return pa.table({"gram": code, "m": table.column("m").to_numpy(), "lp": SuffixTree(p1, rows).of_codes(code).astype(np.float32)})
+
+    rows = counts.withColumn("last2", F.shiftright("gram", 8).bitwiseAND(65535))
+    return rows.groupBy("last2").applyInArrow(run, "gram long, m long, lp float")
+
+
+def frequent(table: DataFrame, n: str, most: int) -> int:
+    """The least step (sixteenth of a binary logarithm of column ``n``) from which at most ``most`` rows remain."""
+    seen = 0
+    for r in sorted(table.groupBy(_step(n).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"]):
+        seen += r["n"]
+        if seen > most:
+            return r["s"] + 1
+    return -1
+
+
+def _step(n: str):
+    return F.floor(F.log2(n) * 16).cast("int")
+
+
 def score_documents(spark: SparkSession, docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, in_training, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     ``training`` is a boolean column over ``docs``.  Base: unigram with one added, over words and the end token; a word's count comes
-    from a shared table of the most frequent words (bounded) and from a join for all others.  Null text: empty, one end token.
-    Repeated rows count and stay.  No training rows: all words are unknown, symbols are uniform.
+    from a shared table of the most frequent words (bounded) and from a join for all others.  So does the value of a gram by the whole
+    tree.  Null text: empty, one end token.  Repeated rows count and stay.  No training rows: all words are unknown, symbols are uniform.
     """
+    import numpy as np
+
     rows = docs.select(F.col(id_col).alias("doc_id"), training.alias("in_training"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learn = rows.where("in_training").select("text")
-    tree = spark.sparkContext.broadcast(fit(learn))
+    counts = stored(count_grams(rows), "grams")
+    values = stored(gram_values(counts), "values")
+    common = frequent(values, "m", SHARED_GRAMS)
+    shared = values.where(_step("m") >= common).select("gram", "lp").toArrow()
+    code, lp = (shared.column(c).to_numpy() if shared.num_rows else np.zeros(0, t) for c, t in (("gram", np.int64), ("lp", np.float32)))
+    order = np.argsort(code)
+    model = spark.sparkContext.broadcast((code[order], lp[order]))
+    del shared, code, lp, order
     words = stored(count_words(learn), "words")
     ends = learn.count()
     size = words.agg(F.count(F.lit(1)), F.sum("n")).head()
     total, kinds = (size[1] or 0) + ends, size[0] + (ends > 0)
     denominator = math.log10(total + kinds + 1)
-    step = F.floor(F.log2("n") * 16).cast("int")
-    cut, seen = 0.0, 0
-    for r in sorted(words.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"]):
-        seen += r["n"]
-        if seen > SHARED_WORDS:
-            cut = r["s"] + 1
-            break
-    else:
-        cut = -1
-    often = spark.sparkContext.broadcast({bytes(r[0]): math.log10(r[1] + 1) for r in words.where(step >= cut).toLocalIterator()})
+    cut = frequent(words, "n", SHARED_WORDS)
+    often = spark.sparkContext.broadcast({bytes(r[0]): math.log10(r[1] + 1) for r in words.where(_step("n") >= cut).toLocalIterator()})
     end_value = math.log10(ends + 1)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model, value = tree.value, often.value
+        (known_codes, lps), value = model.value, often.value
         for b in (s for batch in batches for s in slices_of(batch, 512)):
-            sure, known, rare, counts, score = [], [], [], [], []
+            sure, known, rare, counts, score, others, where = [], [], [], [], [], [], [0]
             for parts in chunks(b.column("text").to_pylist(), SCORE_CHUNK):
-                score += model.scores(parts).tolist()
+                codes, starts = grams(parts)
+                distinct, back = np.unique(codes, return_inverse=True)
+                at = np.searchsorted(known_codes, distinct)
+                at[at == len(known_codes)] = 0
+                found = known_codes[at] == distinct if len(known_codes) else np.zeros(len(distinct), bool)
+                each = np.zeros(len(distinct))
+                each[found] = lps[at[found]]
+                score += np.add.reduceat(each[back], starts).tolist()
+                far = ~found[back]
+                others.append(codes[far])
+                where += (where[-1] + np.add.reduceat(far.astype(np.int64), starts).cumsum()).tolist()
                 for s in parts:
                     w = s.split()
                     found = list(map(value.get, w))
@@ -310,16 +365,24 @@ def score_documents(spark: SparkSession, docs: DataFrame, training, id_col: str
                     known.append(len(w) - len(other) + (ends > 0))
                     sure.append(sum(v for v in found if v is not None) + end_value)
                     rare.append(other)
+            others = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(np.concatenate(others) if others else [], pa.int64()))
             arrays = [b.column("doc_id"), b.column("in_training"), pa.array(counts, pa.int64()), pa.array(known, pa.int64()),
-                      pa.array(sure, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "in_training", "n_tokens", "known", "sure", "score", "rare"])
+                      pa.array(sure, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary())), others]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "in_training", "n_tokens", "known", "sure", "score", "rare", "grams"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    scored = stored(rows.mapInArrow(run, f"doc_id {kind}, in_training boolean, n_tokens long, known long, sure double, score double, rare array<binary>")
+    scored = stored(rows.mapInArrow(run, f"doc_id {kind}, in_training boolean, n_tokens long, known long, sure double, score double, rare array<binary>, grams array<long>")
                     .withColumn("row", F.monotonically_increasing_id()), "scored")
-    looked = scored.select("row", F.explode("rare").alias("word")).join(words.where(step < cut), "word").groupBy("row").agg(
+    looked = scored.select("row", F.explode("rare").alias("word")).join(words.where(_step("n") < cut), "word").groupBy("row").agg(
         F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("added"))
+    out = scored.drop("rare", "grams").join(looked, "row", "left")
+    score = F.col("score")
+    if common >= 0:
+        # written first, the join's sides are plain shuffles, whose large partitions Spark splits; no gram here is a frequent one
+        far = values.where(_step("m") < common).select("gram", "lp").hint("merge")
+        out = out.join(scored.select("row", F.explode("grams").alias("gram")).join(far, "gram").groupBy("row").agg(F.sum("lp").alias("rest")), "row", "left")
+        score = score + F.coalesce("rest", F.lit(0.0))
     more = F.coalesce("more", F.lit(0))
-    return scored.join(looked, "row", "left").select(
+    return out.select(
         "doc_id", "in_training", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("sure") + F.coalesce("added", F.lit(0.0)) - F.col("n_tokens") * denominator).alias("base_score"), "score")
+        (F.col("sure") + F.coalesce("added", F.lit(0.0)) - F.col("n_tokens") * denominator).alias("base_score"), score.alias("score"))

@@ -366,6 +366,17 @@ def test_scores_join_rare_words(make, words, monkeypatch):
         assert r["n_known"] == every[r["doc_id"]][3] and abs(r["base_score"] - every[r["doc_id"]][5]) < 1e-6
 
 
+def test_no_state_is_lost_beyond_the_shared_grams(make, words, monkeypatch):
+    texts = [*SMALL, *[" ".join(words(k, 40) + words(k % 5, 20)) for k in range(40)]]
+    docs, training = make(texts), F.col("doc_id") % 5 != 2
+    tree = lm.fit(docs.where(training).select(F.coalesce("text", F.lit("")).alias("text")))
+    want = tree.scores([lm.symbols(t or "") for t in texts])
+    for most in (lm.SHARED_GRAMS, 200, 0):
+        monkeypatch.setattr(lm, "SHARED_GRAMS", most)
+        got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs.sparkSession, docs, training).collect()}
+        assert len(got) == len(texts) and max(abs(got[i] - want[i]) for i in got) < 1e-3, most
+
+
 def test_scores_without_training(make):
     rows = lm.score_documents(make([]).sparkSession, make(["a b", None]), F.lit(False)).collect()
     assert [(r["n_known"], r["train_tokens"]) for r in rows] == [(0, 0)] * 2
