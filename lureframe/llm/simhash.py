@@ -60,8 +60,12 @@ def fingerprint(hashes, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` columns, n (shingles, repeats included) and f0, f1 ...: one pass over whole texts (null: empty, fingerprint zero)."""
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, text_col: str = "text", keep: Sequence[str] = (),
+                 distinct: bool = False) -> DataFrame:
+    """``keep`` columns, n (shingles) and f0, f1 ...: one pass over whole texts (null: empty, fingerprint zero).
+
+    Shingles that repeat count as often as they stand, or once with ``distinct``.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -73,6 +77,8 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, text_col: str
             rows, sizes = [], []
             for text in b.column("_text").to_pylist():
                 cut = shingles(text, width)
+                if distinct:
+                    cut = set(cut)
                 sizes.append(len(cut))
                 rows.append(fingerprint(np.array([digest(s, 42) for s in cut], np.uint64), words))
             arrays = [b.column(c) for c in keep] + [pa.array(sizes, pa.int64())]
@@ -320,14 +326,14 @@ def jaccard_links(pairs: DataFrame, texts: DataFrame, width: int, similarity: fl
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2 (key of the text), first (smallest id with that text), kept_k1, kept_k2: the text that stands for its group.
 
-    Equal texts are one from the start.  Wide SimHash fingerprints of word shingles propose links over anchors of 15-bit
+    Equal texts are one from the start.  Wide SimHash fingerprints of distinct word shingles propose links over anchors of 15-bit
     pieces; each proposed link is tested by the exact Jaccard similarity of the two shingle sets, and the components of the
     links that pass are the groups.  The text with the smallest id stands for a group (ties and null ids: by key).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         *row_keys("text"), "doc_id", "text")
     fs = [f"f{k}" for k in range(WIDE)]
-    seen = fingerprints(rows, width, WIDE, keep=["k1", "k2", "doc_id"])
+    seen = fingerprints(rows, width, WIDE, keep=["k1", "k2", "doc_id"], distinct=True)
     points = stored(seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", *fs)])
                     .withColumn("node", F.monotonically_increasing_id()), "points")
     proposed = stored(links(points.where("n > 0").select("node", "n", *fs), WIDE, WIDE_R, WIDE_BITS, similarity), "proposed")

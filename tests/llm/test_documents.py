@@ -139,6 +139,14 @@ def test_near_duplicates(make, words):
     assert simhash.drop_near_duplicates(make(["a b", "a b", "a b"], [1, 1, None])).count() == 1
 
 
+def test_near_duplicates_do_not_count_repeats(make, words):
+    base, again = words(21, 1000), words(22, 10)
+    texts = [" ".join(base + again), " ".join(base + again * 30)]
+    one, two = (set(simhash.shingles(t, 5)) for t in texts)
+    assert len(one & two) >= 0.95 * len(one | two)
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(make(texts)).collect()] == [0]
+
+
 def test_forest_is_spanning_and_lightest():
     r = np.random.default_rng(2)
     i, j, w = r.integers(0, 40, 300), r.integers(0, 40, 300), r.integers(0, 50, 300)
