@@ -127,8 +127,8 @@ def piece(f, k: int, r: int):
     return x & np.uint64((1 << size) - 1)
 
 
-def anchor_rows(points: DataFrame, words: int, r: int, homes_only: bool = False) -> DataFrame:
-    """bucket (piece and anchor), home, node, n, f0 ...: each point at its home and, unless ``homes_only``, at all anchors in reach."""
+def anchor_rows(points: DataFrame, words: int, r: int, homes_only: bool = False, extra: Sequence[str] = ()) -> DataFrame:
+    """bucket (piece and anchor), home, node, n, f0 ..., extra (longs): each point at its home and, unless ``homes_only``, at all anchors in reach."""
     pieces = 64 * words // (2**r - 1)
 
     def run(batches: Iterator) -> Iterator:
@@ -136,12 +136,12 @@ def anchor_rows(points: DataFrame, words: int, r: int, homes_only: bool = False)
         import pyarrow as pa
 
         table = flips(r)
-        names = ["node", "n", *[f"f{k}" for k in range(words)]]
+        names = ["node", "n", *[f"f{k}" for k in range(words)], *extra]
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
-                f = [c.astype(np.int64).view(np.uint64) for c in cols[2:]]
+                f = [c.astype(np.int64).view(np.uint64) for c in cols[2:2 + words]]
                 parts = []
                 for k in range(pieces):
                     x = piece(f, k, r)
@@ -155,7 +155,7 @@ def anchor_rows(points: DataFrame, words: int, r: int, homes_only: bool = False)
                 arrays = [pa.array(bucket), pa.array(home)] + [pa.array(c[row].astype(np.int64)) for c in cols]
                 yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "home", *names])
 
-    schema = "bucket long, home boolean, node long, n long, " + ", ".join(f"f{k} long" for k in range(words))
+    schema = "bucket long, home boolean, node long, n long, " + ", ".join([*[f"f{k} long" for k in range(words)], *[f"{c} long" for c in extra]])
     return points.mapInArrow(run, schema)
 
 
@@ -193,30 +193,35 @@ def forest(i, j, w, size: int):
     return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
 
 
-def links(points: DataFrame, words: int, r: int, threshold: int, least_ratio: float = 0.0) -> DataFrame:
+def links(points: DataFrame, words: int, r: int, threshold: int, least_ratio: float = 0.0, apart: int = 0) -> DataFrame:
     """a, b: links between points (node, n, f0 ...) that meet at an anchor and differ in at most ``threshold`` bits.
 
     Per anchor and block only a spanning forest of the links comes out, nearest first: the same components, no lists of all
     pairs.  With ``least_ratio`` the smaller n must be that share of the larger.  Every link within 2 * pieces - 1 bits is
     found; links further apart are found with the chance that some piece differs in at most one bit.
+
+    With ``apart`` the points have a further column root, and links between different roots come out, the ``apart`` nearest of
+    each point per anchor and block; a row with a = b tells that there were more.
     """
     heavy = stored(anchor_rows(points, words, r, homes_only=True).groupBy("bucket").agg(F.count(F.lit(1)).alias("homes"))
                    .where(F.col("homes") > HOMES).select("bucket", F.ceil(F.col("homes") / HOMES).cast("int").alias("cuts")), "heavy")
-    rows = anchor_rows(points, words, r).join(heavy, "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    extra = ["root"] if apart else []
+    rows = anchor_rows(points, words, r, extra=extra).join(heavy, "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     salt = F.when(F.col("home"), F.array(F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))).otherwise(
         F.sequence(F.lit(0), F.col("cuts") - 1))
     # a home is a visitor of its own anchor as well, at every cut
-    dealt = rows.select("bucket", "node", "n", *[f"f{k}" for k in range(words)], F.explode(F.concat(
+    names = ["node", "n", *[f"f{k}" for k in range(words)], *extra]
+    dealt = rows.select("bucket", *names, F.explode(F.concat(
         F.transform(salt, lambda s: F.struct(F.col("home").alias("home"), s.alias("cut"))),
         F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda s: F.struct(F.lit(False).alias("home"), s.alias("cut"))))
-        .otherwise(F.expr("cast(array() as array<struct<home:boolean,cut:int>>)")))).alias("e")).select("bucket", "e.*", "node", "n", *[f"f{k}" for k in range(words)])
+        .otherwise(F.expr("cast(array() as array<struct<home:boolean,cut:int>>)")))).alias("e")).select("bucket", "e.*", *names)
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "bucket", "cut").sortWithinPartitions("bucket", "cut", F.col("home").desc(), "n")
-    return ordered.mapInArrow(_linker(words, threshold, least_ratio), "a long, b long").distinct()
+    return ordered.mapInArrow(_linker(words, threshold, least_ratio, apart), "a long, b long").distinct()
 
 
-def _linker(words: int, threshold: int, least_ratio: float):
-    names = ["node", "n", *[f"f{k}" for k in range(words)]]
+def _linker(words: int, threshold: int, least_ratio: float, apart: int):
+    names = ["node", "n", *[f"f{k}" for k in range(words)], *(["root"] if apart else [])]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -240,6 +245,8 @@ def _linker(words: int, threshold: int, least_ratio: float):
                     for k in range(1, words):
                         d += np.bitwise_count(ready[2 + k][h:end, None] ^ v[2 + k][None, :])
                     near = (d <= threshold) & (nodes[h:end, None] != v[0][None, :])
+                    if apart:
+                        near &= ready[2 + words][h:end, None] != v[2 + words][None, :]
                     a, b = np.nonzero(near)
                     if least_ratio and len(a):
                         x, y = sizes[h:end][a], v[1][b]
@@ -251,6 +258,15 @@ def _linker(words: int, threshold: int, least_ratio: float):
                 if not ii or not sum(map(len, ii)):
                     continue
                 i, j, w = nodes[np.concatenate(ii)], v[0][np.concatenate(jj)], np.concatenate(ww)
+                if apart:
+                    to = np.concatenate(jj)
+                    order = np.lexsort((w, to))
+                    begins = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])
+                    rank = np.arange(len(to)) - np.repeat(begins, np.diff([*begins, len(to)]))
+                    kept = order[rank < apart]
+                    more = i[:1] if len(kept) < len(order) else i[:0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(i, j)[kept], more]), pa.array(np.r_[np.maximum(i, j)[kept], more])], names=["a", "b"])
+                    continue
                 known, place = np.unique(np.concatenate([i, j]), return_inverse=True)
                 kept = forest(place[:len(i)], place[len(i):], w, len(known))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)[kept]), pa.array(np.maximum(i, j)[kept])], names=["a", "b"])
@@ -300,6 +316,8 @@ def fingerprint_components(docs: DataFrame, width: int = 3, threshold: int = 3,
     return prints.join(of, "f0").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+#: Links that a point proposes per anchor and block once a spanning forest has failed a test; eight times as many in each further round.
+NEAREST = 8
 #: The wide fingerprint of ``near_duplicates``: words, bits differing at most (texts of Jaccard 0.8 differ in 29 of 192 on average), 15-bit pieces.
 WIDE, WIDE_BITS, WIDE_R = 3, 48, 4
 
@@ -328,7 +346,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 
     Equal texts are one from the start.  Wide SimHash fingerprints of distinct word shingles propose links over anchors of 15-bit
     pieces; each proposed link is tested by the exact Jaccard similarity of the two shingle sets, and the components of the
-    links that pass are the groups.  The text with the smallest id stands for a group (ties and null ids: by key).
+    links that pass are the groups.  First a spanning forest is proposed; where a link of it fails, points that are still apart
+    propose again, until every link between two groups has been tested.  The text with the smallest id stands for a group (ties and null ids: by key).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         *row_keys("text"), "doc_id", "text")
@@ -339,7 +358,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     proposed = stored(links(points.where("n > 0").select("node", "n", *fs), WIDE, WIDE_R, WIDE_BITS, similarity), "proposed")
     ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(points.select("node", "k1", "k2"), "node")
     texts = stored(rows.select("k1", "k2", "text").join(if_small(stored(ends, "ends")), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    roots = components(jaccard_links(proposed, texts, width, similarity))
+    passed = stored(jaccard_links(proposed, texts, width, similarity), "passed")
+    roots = stored(components(passed), "roots")
+    tested, most, whole = proposed, NEAREST, passed.count() == proposed.count()
+    members = points.select("node", "n", *fs).join(texts.select("node"), "node")  # a point without a link in the forest has none
+    while not whole:
+        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = stored(links(labelled, WIDE, WIDE_R, WIDE_BITS, similarity, most), "proposed")
+        whole = not found.where("a = b").head(1)
+        more = stored(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "more")
+        good = stored(jaccard_links(more, texts, width, similarity), "passed")
+        tested, most = tested.unionByName(more), 8 * most
+        if good.head(1):
+            passed = passed.unionByName(good)
+            roots = stored(components(passed), "roots")
     named = points.join(roots, "node", "left").select("node", "k1", "k2", "first", F.coalesce("root", "node").alias("root"))
     named = stored(named, "roots")
     order = F.struct(F.col("first").isNull(), F.col("first"), F.col("k1"), F.col("k2"))

@@ -139,6 +139,22 @@ def test_near_duplicates(make, words):
     assert simhash.drop_near_duplicates(make(["a b", "a b", "a b"], [1, 1, None])).count() == 1
 
 
+def test_near_duplicates_of_templates_are_all_found(make, words):
+    texts = []  # most pairs of a group lie just below 0.8, a few above: a forest alone loses those
+    for g in range(6):
+        r = np.random.default_rng(g)
+        base = [f"w{x}" for x in r.integers(0, 10**6, 290)]
+        for k in range(40):
+            w = list(base)
+            for slot in r.choice(40, 4, replace=False):
+                w[7 * slot + 5] = f"x{g}y{k}z{slot}"
+            texts.append(" ".join(w))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    want = groups_of(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert 6 < len(set(want.values())) < len(texts)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(make(texts)).collect()) == sorted(set(want.values()))
+
+
 def test_near_duplicates_do_not_count_repeats(make, words):
     base, again = words(21, 1000), words(22, 10)
     texts = [" ".join(base + again), " ".join(base + again * 30)]
