@@ -2,9 +2,13 @@
 
 A seed is a fixed mask over a window of words: hashes take the masked positions
 and ignore the others, so a replaced word at an ignored position does not break
-the hit.  Seeds of benchmark and documents are joined; around each hit the two
-texts are compared on their diagonal, word by word, and the best stretch of
-matches (a mismatch costs one match) must be long enough.
+the hit.  Seeds of benchmark and documents are joined; a diagonal with enough hits
+is compared word by word, and the best stretch of matches (a mismatch costs one
+match) must be long enough.
+
+The default seed is the lightest, a pair of neighbouring words, for it misses
+nothing: m mismatches cut the n matches of a stretch into at most m + 1 runs, which
+hold at least n - m - 1 pairs, so a score of n - m = s has s - 1 hits or more.
 """
 from __future__ import annotations
 
@@ -15,8 +19,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.bind import let
 from .common import if_small, row_keys, stored
 
-#: Masks: 1 counts, 0 is ignored.  Each spans 12 words and counts 8 of them.
-MASKS = ("110110110011", "111001011011")
+#: Masks: 1 counts, 0 is ignored.
+PAIRS = ("11",)
+MASKS = PAIRS
 #: Matches less mismatches of the best stretch that make an overlap.
 MIN_SCORE = 10
 #: Benchmark seeds up to this many rows are broadcast (about 32 bytes each); more are joined by shuffle.
@@ -78,7 +83,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
              id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """k1, k2 (key of the row's id and text), doc_id, item_id, score, doc_from, doc_to, item_from: verified overlaps.
 
-    Places are word numbers, ends exclusive; one row per (document, item, diagonal) that reaches ``min_score``.
+    Places are word numbers, ends exclusive; one row per (document, item, diagonal) that reaches ``min_score``.  With pairs as
+    seeds (and a ``min_score`` of 2 or more) every such diagonal is found; with other masks those that have a hit.
     Texts and items shorter than a mask, empty or null have no seeds and no overlaps.  Equal rows share one key.  An item
     without an id counts like any other.
     """
@@ -91,7 +97,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
     spots = rows.select("k1", "k2", F.explode(seeds(normal_words(F.col("text")), masks)).alias("s")).select(
         "k1", "k2", F.col("s.place").alias("place"), F.col("s.hash").alias("hash"))
     hits = spots.join(F.broadcast(keys) if few else keys, "hash").select(
-        "k1", "k2", "item_key", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+        "k1", "k2", "item_key", (F.col("place") - F.col("item_place")).alias("shift"))
+    least = min_score - 1 if tuple(masks) == PAIRS else 1
+    hits = hits.groupBy("k1", "k2", "item_key", "shift").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
     found = stored(hits, "hits")
     # only texts with a hit are opened again; each is cut to the stretch beside the item
     near = rows.join(if_small(stored(found.select("k1", "k2").distinct(), "near")), ["k1", "k2"], "left_semi").select(

@@ -246,6 +246,29 @@ def test_decontamination(spark, make, words):
     assert dc.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_finds_every_diagonal(spark, make, words):
+    def best(a, b):
+        most = 0
+        for shift in range(-len(b), len(a)):
+            run = 0
+            for k in range(max(0, -shift), min(len(b), len(a) - shift)):
+                run = max(run, 0) + (1 if a[k + shift] == b[k] else -1)
+                most = max(most, run)
+        return most
+
+    r = np.random.default_rng(1)
+    items = [words(700 + k, n) for k, n in enumerate([9, 10, 11, 12, 14, 16, 16, 18, 20, 24, 30, 60])]
+    texts = []
+    for k, item in enumerate(items):
+        for changed in [[], *[r.choice(len(item), min(c, len(item)), replace=False) for c in (1, 2, 2, 3, 3, 4)], range(3, len(item), 4), range(2, len(item), 3)]:
+            copy = [f"other{i}" if i in set(changed) else w for i, w in enumerate(item)]
+            texts.append(" ".join([*words(2000 + len(texts), 15), *copy, *words(4000 + len(texts), 15)]))
+    want = {(d, k): s for d, t in enumerate(texts) for k, item in enumerate(items) for s in [best(t.split(), item)] if s >= dc.MIN_SCORE}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in dc.contaminated(make(texts), bench).collect()}
+    assert got == want and {k for _, k in want} == set(range(1, len(items)))
+
+
 def test_decontamination_without_broadcast(spark, make, words, monkeypatch):
     monkeypatch.setattr(dc, "BROADCAST_SEEDS", 0)
     bench = spark.createDataFrame([(7, " ".join(words(1, 30)))], "item_id long, text string")
