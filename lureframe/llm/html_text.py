@@ -219,7 +219,10 @@ def _line_rows(batches: Iterator) -> Iterator:
 
 
 def _pairs(batches: Iterator, borders: bool) -> Iterator:
-    """Deletions of neighbours in the order of the rows, and the first and last row of a partition for the pairs that span two."""
+    """Deletions of neighbours in the order of the rows, and the first and last row of a partition for the pairs that span two.
+
+    Without ``borders`` the rows are those first (side 0) and last ones (side 1): only a last and the next first are neighbours.
+    """
     import pyarrow as pa
 
     names = ["k1", "k2", "host", "path", "keys", "kinds", "sizes"]
@@ -234,10 +237,10 @@ def _pairs(batches: Iterator, borders: bool) -> Iterator:
         return pa.RecordBatch.from_pylist(data, schema=kind)
 
     for b in batches:
-        for row in b.select(names).to_pylist():
+        for row in b.select(names if borders else [*names, "side"]).to_pylist():
             if before is None:
                 first = row
-            elif before["host"] == row["host"]:
+            elif before["host"] == row["host"] and (borders or (before["side"], row["side"]) == (1, 0)):
                 for x, y in ((before, row), (row, before)):
                     gone = shared_open(x, y)
                     if gone:
@@ -267,7 +270,7 @@ def template_lines(pages: DataFrame, url: str = "url") -> DataFrame:
     order = ["host", "path", "k1", "k2"]
     ranged = light.repartitionByRange(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     found = stored(ranged.mapInArrow(lambda it: _pairs(it, True), _PAIR_ROWS), "pairs")
-    # two rows of each range: sorted again they stand as first, last, first, last; only last-first pairs are new, the others repeat
+    # two rows of each range: sorted again they stand as first, last, first, last; only last-first pairs are neighbours
     borders = found.where("side is not null").select("host", "path", "k1", "k2", "keys", "kinds", "sizes", "side")
     spanning = borders.repartition(1).sortWithinPartitions(*order, "side").mapInArrow(lambda it: _pairs(it, False), _PAIR_ROWS)
     gone = found.where("side is null").unionByName(spanning).select("k1", "k2", F.explode("gone").alias("line"))

@@ -87,6 +87,16 @@ def test_extract_text(spark):
     assert ht.extract_text(pages.limit(0)).count() == 0
 
 
+def test_first_and_last_page_of_a_range_are_no_neighbours(spark):
+    page = lambda k, more: "".join(f"<div>{x}</div>" for x in [*more, *(f"story {k} line {i} with words of its own" for i in range(4))])
+    rows = [(k, f"http://h.example/{k}", page(k, ["far"] if k in (0, 4) else [])) for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in ("1", "3", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert {r["n_template"] for r in ht.extract_text(pages).collect()} == {0}, parts
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # -- 8 ---------------------------------------------------------------------------------------------------------------------
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
