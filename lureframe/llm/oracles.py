@@ -78,3 +78,41 @@ su as (select *, sum(v) over (partition by doc_id, item_id, shift order by k) to
 lo as (select *, least(0, coalesce(min(total) over (partition by doc_id, item_id, shift order by k rows between unbounded preceding and 1 preceding), 0)) low from su)
 select doc_id, item_id, max(total - low)::int score from lo group by doc_id, item_id having max(total - low) >= {min_score}
 """
+
+OP12 = """
+with v as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+    where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id anchor_id, a.label = b.label same, b.vec_id id, list_dot_product(a.v, b.v)::bigint score
+    from v a join v b on a.vec_id % 100 = 0 and len(a.v) = len(b.v)),
+p as (select *, row_number() over (partition by anchor_id order by score desc, id) r from s where same and id <> anchor_id),
+n as (select p.anchor_id, p.id positive_id, s.id negative_id, p.score positive_score, s.score negative_score,
+    row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) rank
+    from p join s on p.anchor_id = s.anchor_id and r <= 5 and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, rank::int rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+OP13 = rf"""
+with d as (select coalesce(source, '') part, doc_id, coalesce(text, '') t from documents),
+w as (select *, {_WORDS.format("t")} ws from d), f as (select t, min(doc_id) least from d group by t),
+l as (select doc_id, max((quality = 1)::int) g, max((toxic = 1)::int) x from labels group by doc_id),
+m as (select part, (len(ws) < 50)::int + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(w.doc_id > least, false)::int mask, coalesce(g, 0) g, coalesce(x, 0) x
+    from w join f using (t) left join l on w.doc_id = l.doc_id),
+c as (select part, mask, count(*) n, sum(g) g, sum(x) x from m group by all),
+b as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, b)),
+o as (select p.l || q.l || r.l || s.l || u.l filter_order, [p.b, q.b, r.b, s.b, u.b] bits from b p, b q, b r, b s, b u
+    where len(list_distinct([p.b, q.b, r.b, s.b, u.b])) = 5),
+k as (select filter_order, step, bits[step] bit, coalesce(list_sum(bits[1:step - 1]), 0)::int state from o, range(1, 6) x(step)),
+e as (select part, filter_order, step::int step, bit,
+    sum(case when mask & state = 0 and mask & bit = 0 then n else 0 end)::bigint kept,
+    sum(case when mask & state = 0 and mask & bit <> 0 then n else 0 end)::bigint removed,
+    sum(case when mask & state <> 0 and mask & bit <> 0 then n else 0 end)::bigint redundant,
+    sum(case when mask = bit then n else 0 end)::bigint unique_fails,
+    sum(case when mask & state = 0 and mask & bit <> 0 then g else 0 end)::bigint good_lost,
+    sum(case when mask & state = 0 and mask & bit <> 0 then x else 0 end)::bigint toxic_lost
+    from c, k group by part, filter_order, step, bit)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    sum(removed) over (partition by part, bit)::bigint shapley from e
+"""

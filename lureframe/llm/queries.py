@@ -6,7 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, oracles, packing, quality, sharding, simhash, substring_dedup, suffix_tree_lm, token_files, url_reputation
+from . import (decontaminate, filter_audit, hard_negatives, html_text, oracles, packing, quality, quality_fm, sharding, simhash, substring_dedup,
+               suffix_tree_lm, token_files, url_reputation)
 from .common import shared_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +93,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_nearest_url_differencing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@register("op11_factorisation_machine")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    machine = quality_fm.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    # only the id travels beside the text, and no score sees it
+    narrow = docs.select("doc_id", held.alias("held_out"), "text", "n_chars")
+    scored = quality_fm.score_quality(narrow, machine, keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register("op12_l2ap_negatives", oracles.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.select("vec_id", moved.alias("label"), "embedding"), F.col("id") % 100 == 0)
+
+
+@register("op13_path_counting", oracles.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
