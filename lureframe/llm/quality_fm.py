@@ -107,6 +107,19 @@ def chance(margin):
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
+def slopes(ptr, idx, val, y, bias, weights, factors):
+    """Features of the rows, and the mean log loss's slopes by the bias, their weights and their factors."""
+    import numpy as np
+
+    n = np.diff(ptr)
+    m, total, vx = margins(ptr, idx, val, bias, weights, factors)
+    wrong = (chance(m) - y) / len(y)
+    each = np.repeat(wrong, n) * val
+    pulls = each[:, None] * (np.repeat(total, n, axis=0) - vx)
+    used, place = np.unique(idx, return_inverse=True)
+    return used, wrong.sum(), np.bincount(place, each), np.stack([np.bincount(place, pulls[:, f]) for f in range(FACTORS)], 1)
+
+
 def train(ptr, idx, val, y, passes: int = PASSES):
     """(bias, weights, factors) by adaptive gradient steps on the log loss; without rows the bias says one half."""
     import numpy as np
@@ -125,18 +138,13 @@ def train(ptr, idx, val, y, passes: int = PASSES):
             p = np.r_[0, np.cumsum(n)]
             take = np.repeat(ptr[rows] - p[:-1], n) + np.arange(p[-1])
             i, v = idx[take], val[take]
-            m, total, vx = margins(p, i, v, bias, weights, factors)
-            wrong = (chance(m) - y[rows]) / len(rows)
-            each = np.repeat(wrong, n) * v
-            step = wrong.sum()
-            g_bias += step * step
-            bias -= RATE * step / np.sqrt(g_bias)
-            used, place = np.unique(i, return_inverse=True)
-            step = np.bincount(place, each) + SHRINK * weights[used]
+            used, by_bias, by_weights, by_factors = slopes(p, i, v, y[rows], bias, weights, factors)
+            g_bias += by_bias**2
+            bias -= RATE * by_bias / np.sqrt(g_bias)
+            step = by_weights + SHRINK * weights[used]
             g_weights[used] += step * step
             weights[used] -= RATE * step / np.sqrt(g_weights[used])
-            pulls = each[:, None] * (np.repeat(total, n, axis=0) - vx)
-            step = np.stack([np.bincount(place, pulls[:, f]) for f in range(FACTORS)], 1) + SHRINK * factors[used]
+            step = by_factors + SHRINK * factors[used]
             g_factors[used] += step * step
             factors[used] -= RATE * step / np.sqrt(g_factors[used])
     return bias, weights, factors
@@ -155,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
     ``training``: a condition over the labels' ids.  Of more than ``fit_rows`` labelled rows about that many are taken, by a
     hash of the id.  Their features are made where the texts are; one task fits, with a fixed seed and order of rows.  Labels
     other than 0 and 1, and rows without an id, are not learnt from; an id labelled twice is 1 if half of its labels are.
+    Without a row to learn from the table may be empty, which scores as one half.
     """
     known = labels.where(training & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.avg(label_col).alias("_y"))
@@ -210,9 +219,12 @@ def score_quality(docs: DataFrame, machine: DataFrame, text_col: str = "text", c
     import numpy as np
 
     rows = machine.orderBy("feature").toArrow()  # as many for any corpus: BUCKETS and the bins
-    weights = rows.column("weight").to_numpy()
-    factors = np.asarray(rows.column("factors").combine_chunks().flatten()).reshape(-1, FACTORS)[1:]
-    bias, weights = float(weights[0]), weights[1:]
+    if rows.num_rows:
+        weights = rows.column("weight").to_numpy()
+        factors = np.asarray(rows.column("factors").combine_chunks().flatten()).reshape(-1, FACTORS)[1:]
+        bias, weights = float(weights[0]), weights[1:]
+    else:  # nothing was learnt: one half for all
+        bias, weights, factors = 0.0, np.zeros(FEATURES), np.zeros((FEATURES, FACTORS))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
