@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import if_small, row_keys, stored
 from .components import components
+from .jaccard import jaccard_groups
 from .tokens import slices_of
 
 #: Homes of one anchor that a task compares; an anchor with more is dealt to several tasks.
@@ -34,6 +35,19 @@ def shingles(text: str, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*[words[k:] for k in range(width)])))
 
 
+def shingle_set(text: str, width: int):
+    """The distinct shingles of a text as ascending 64-bit hashes."""
+    import numpy as np
+    import xxhash
+
+    cut = set(shingles(text, width))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in cut), np.uint64, len(cut)))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprint(hashes, words: int = 1) -> list[int]:
     """Majority bits of unsigned 64-bit hashes, as signed 64-bit words; further words come from remixed hashes."""
     import numpy as np
@@ -64,7 +78,7 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, text_col: str
                  distinct: bool = False) -> DataFrame:
     """``keep`` columns, n (shingles) and f0, f1 ...: one pass over whole texts (null: empty, fingerprint zero).
 
-    Shingles that repeat count as often as they stand, or once with ``distinct``.
+    Shingles that repeat count as often as they stand, or once with ``distinct``, which adds s1, s2: a digest of the set.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -76,17 +90,19 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, text_col: str
         for b in (s for batch in batches for s in slices_of(batch, 512)):
             rows, sizes = [], []
             for text in b.column("_text").to_pylist():
-                cut = shingles(text, width)
                 if distinct:
-                    cut = set(cut)
-                sizes.append(len(cut))
-                rows.append(fingerprint(np.array([digest(s, 42) for s in cut], np.uint64), words))
+                    hashes = shingle_set(text, width)
+                else:
+                    hashes = np.array([digest(s, 42) for s in shingles(text, width)], np.uint64)
+                sizes.append(len(hashes))
+                rows.append(fingerprint(hashes, words) + ([signed(digest(hashes.tobytes(), seed)) for seed in (1, 2)] if distinct else []))
             arrays = [b.column(c) for c in keep] + [pa.array(sizes, pa.int64())]
-            arrays += [pa.array([r[k] for r in rows], pa.int64()) for k in range(words)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n", *[f"f{k}" for k in range(words)]])
+            arrays += [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(made))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n", *made])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n long", *[f"f{k} long" for k in range(words)]])
+    made = [f"f{k}" for k in range(words)] + (["s1", "s2"] if distinct else [])
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n long", *[f"{c} long" for c in made]])
     return docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
@@ -127,8 +143,8 @@ def piece(f, k: int, r: int):
     return x & np.uint64((1 << size) - 1)
 
 
-def anchor_rows(points: DataFrame, words: int, r: int, homes_only: bool = False, extra: Sequence[str] = ()) -> DataFrame:
-    """bucket (piece and anchor), home, node, n, f0 ..., extra (longs): each point at its home and, unless ``homes_only``, at all anchors in reach."""
+def anchor_rows(points: DataFrame, words: int, r: int, homes_only: bool = False) -> DataFrame:
+    """bucket (piece and anchor), home, node, n, f0 ...: each point at its home and, unless ``homes_only``, at all anchors in reach."""
     pieces = 64 * words // (2**r - 1)
 
     def run(batches: Iterator) -> Iterator:
@@ -136,7 +152,7 @@ def anchor_rows(points: DataFrame, words: int, r: int, homes_only: bool = False,
         import pyarrow as pa
 
         table = flips(r)
-        names = ["node", "n", *[f"f{k}" for k in range(words)], *extra]
+        names = ["node", "n", *[f"f{k}" for k in range(words)]]
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
@@ -155,7 +171,7 @@ def anchor_rows(points: DataFrame, words: int, r: int, homes_only: bool = False,
                 arrays = [pa.array(bucket), pa.array(home)] + [pa.array(c[row].astype(np.int64)) for c in cols]
                 yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "home", *names])
 
-    schema = "bucket long, home boolean, node long, n long, " + ", ".join([*[f"f{k} long" for k in range(words)], *[f"{c} long" for c in extra]])
+    schema = "bucket long, home boolean, node long, n long, " + ", ".join(f"f{k} long" for k in range(words))
     return points.mapInArrow(run, schema)
 
 
@@ -193,35 +209,31 @@ def forest(i, j, w, size: int):
     return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
 
 
-def links(points: DataFrame, words: int, r: int, threshold: int, least_ratio: float = 0.0, apart: int = 0) -> DataFrame:
+def links(points: DataFrame, words: int, r: int, threshold: int, least_ratio: float = 0.0) -> DataFrame:
     """a, b: links between points (node, n, f0 ...) that meet at an anchor and differ in at most ``threshold`` bits.
 
     Per anchor and block only a spanning forest of the links comes out, nearest first: the same components, no lists of all
     pairs.  With ``least_ratio`` the smaller n must be that share of the larger.  Every link within 2 * pieces - 1 bits is
     found; links further apart are found with the chance that some piece differs in at most one bit.
-
-    With ``apart`` the points have a further column root, and links between different roots come out, the ``apart`` nearest of
-    each point per anchor and block; a row with a = b tells that there were more.
     """
     heavy = stored(anchor_rows(points, words, r, homes_only=True).groupBy("bucket").agg(F.count(F.lit(1)).alias("homes"))
                    .where(F.col("homes") > HOMES).select("bucket", F.ceil(F.col("homes") / HOMES).cast("int").alias("cuts")), "heavy")
-    extra = ["root"] if apart else []
-    rows = anchor_rows(points, words, r, extra=extra).join(heavy, "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    rows = anchor_rows(points, words, r).join(heavy, "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     salt = F.when(F.col("home"), F.array(F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))).otherwise(
         F.sequence(F.lit(0), F.col("cuts") - 1))
     # a home is a visitor of its own anchor as well, at every cut
-    names = ["node", "n", *[f"f{k}" for k in range(words)], *extra]
+    names = ["node", "n", *[f"f{k}" for k in range(words)]]
     dealt = rows.select("bucket", *names, F.explode(F.concat(
         F.transform(salt, lambda s: F.struct(F.col("home").alias("home"), s.alias("cut"))),
         F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda s: F.struct(F.lit(False).alias("home"), s.alias("cut"))))
         .otherwise(F.expr("cast(array() as array<struct<home:boolean,cut:int>>)")))).alias("e")).select("bucket", "e.*", *names)
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "bucket", "cut").sortWithinPartitions("bucket", "cut", F.col("home").desc(), "n")
-    return ordered.mapInArrow(_linker(words, threshold, least_ratio, apart), "a long, b long").distinct()
+    return ordered.mapInArrow(_linker(words, threshold, least_ratio), "a long, b long").distinct()
 
 
-def _linker(words: int, threshold: int, least_ratio: float, apart: int):
-    names = ["node", "n", *[f"f{k}" for k in range(words)], *(["root"] if apart else [])]
+def _linker(words: int, threshold: int, least_ratio: float):
+    names = ["node", "n", *[f"f{k}" for k in range(words)]]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -245,8 +257,6 @@ def _linker(words: int, threshold: int, least_ratio: float, apart: int):
                     for k in range(1, words):
                         d += np.bitwise_count(ready[2 + k][h:end, None] ^ v[2 + k][None, :])
                     near = (d <= threshold) & (nodes[h:end, None] != v[0][None, :])
-                    if apart:
-                        near &= ready[2 + words][h:end, None] != v[2 + words][None, :]
                     a, b = np.nonzero(near)
                     if least_ratio and len(a):
                         x, y = sizes[h:end][a], v[1][b]
@@ -258,15 +268,6 @@ def _linker(words: int, threshold: int, least_ratio: float, apart: int):
                 if not ii or not sum(map(len, ii)):
                     continue
                 i, j, w = nodes[np.concatenate(ii)], v[0][np.concatenate(jj)], np.concatenate(ww)
-                if apart:
-                    to = np.concatenate(jj)
-                    order = np.lexsort((w, to))
-                    begins = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])
-                    rank = np.arange(len(to)) - np.repeat(begins, np.diff([*begins, len(to)]))
-                    kept = order[rank < apart]
-                    more = i[:1] if len(kept) < len(order) else i[:0]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(i, j)[kept], more]), pa.array(np.r_[np.maximum(i, j)[kept], more])], names=["a", "b"])
-                    continue
                 known, place = np.unique(np.concatenate([i, j]), return_inverse=True)
                 kept = forest(place[:len(i)], place[len(i):], w, len(known))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)[kept]), pa.array(np.maximum(i, j)[kept])], names=["a", "b"])
@@ -316,63 +317,57 @@ def fingerprint_components(docs: DataFrame, width: int = 3, threshold: int = 3,
     return prints.join(of, "f0").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Links that a point proposes per anchor and block once a spanning forest has failed a test; eight times as many in each further round.
-NEAREST = 8
-#: The wide fingerprint of ``near_duplicates``: words, bits differing at most (texts of Jaccard 0.8 differ in 29 of 192 on average), 15-bit pieces.
-WIDE, WIDE_BITS, WIDE_R = 3, 48, 4
-
-
-def jaccard_links(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links a, b whose shingle sets reach ``similarity``; ``texts``: node, text."""
+def _shingled(asked: DataFrame, width: int) -> DataFrame:
+    """grp, node, n, f0 ..., shingles (ascending hashes) of texts."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        for b in (s for batch in batches for s in slices_of(batch)):
-            keep = []
-            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
-                s, t = set(shingles(x, width)), set(shingles(y, width))
-                both = len(s & t)
-                keep.append(both >= similarity * (len(s) + len(t) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for b in (s for batch in batches for s in slices_of(batch, 256)):
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            prints = [fingerprint(x, WIDE) for x in sets]
+            sizes = [len(x) for x in sets]
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("grp"), b.column("node"), pa.array(sizes, pa.int64()), *[pa.array([p[k] for p in prints], pa.int64()) for k in range(WIDE)], lists],
+                names=["grp", "node", "n", *[f"f{k}" for k in range(WIDE)], "shingles"])
 
-    t = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    t = t.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return t.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return asked.mapInArrow(run, "grp long, node long, n long, " + ", ".join(f"f{k} long" for k in range(WIDE)) + ", shingles array<long>")
+
+
+#: The wide fingerprint of ``near_duplicates``: words, bits differing at most (texts of Jaccard 0.8 differ in 29 of 192 on average), 15-bit pieces.
+WIDE, WIDE_BITS, WIDE_R = 3, 48, 4
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2 (key of the text), first (smallest id with that text), kept_k1, kept_k2: the text that stands for its group.
 
-    Equal texts are one from the start.  Wide SimHash fingerprints of distinct word shingles propose links over anchors of 15-bit
-    pieces; each proposed link is tested by the exact Jaccard similarity of the two shingle sets, and the components of the
-    links that pass are the groups.  First a spanning forest is proposed; where a link of it fails, points that are still apart
-    propose again, until every link between two groups has been tested.  The text with the smallest id stands for a group (ties and null ids: by key).
+    Equal texts are one from the start, then texts of equal shingle sets.  Wide SimHash fingerprints of distinct word shingles
+    propose links over anchors of 15-bit pieces; their components are candidate groups.  Within each, members are linked by
+    the exact Jaccard similarity of their sets (``jaccard_groups``), and the components of the links that pass are the groups.
+    The text with the smallest id stands for a group (ties and null ids: by key).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         *row_keys("text"), "doc_id", "text")
     fs = [f"f{k}" for k in range(WIDE)]
     seen = fingerprints(rows, width, WIDE, keep=["k1", "k2", "doc_id"], distinct=True)
-    points = stored(seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", *fs)])
+    texts = stored(seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", *fs, "s1", "s2")])
+                   .withColumns({s: F.when(F.col("n") > 0, F.col(s)).otherwise(F.col(k)) for s, k in (("s1", "k1"), ("s2", "k2"))}), "texts")  # no words, no set
+    one = F.min(F.struct("k1", "k2", "first")).alias("one")
+    points = stored(texts.groupBy("s1", "s2").agg(one, *[F.first(c).alias(c) for c in ("n", *fs)])
                     .withColumn("node", F.monotonically_increasing_id()), "points")
     proposed = stored(links(points.where("n > 0").select("node", "n", *fs), WIDE, WIDE_R, WIDE_BITS, similarity), "proposed")
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(points.select("node", "k1", "k2"), "node")
-    texts = stored(rows.select("k1", "k2", "text").join(if_small(stored(ends, "ends")), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    passed = stored(jaccard_links(proposed, texts, width, similarity), "passed")
-    roots = stored(components(passed), "roots")
-    tested, most, whole = proposed, NEAREST, passed.count() == proposed.count()
-    members = points.select("node", "n", *fs).join(texts.select("node"), "node")  # a point without a link in the forest has none
-    while not whole:
-        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = stored(links(labelled, WIDE, WIDE_R, WIDE_BITS, similarity, most), "proposed")
-        whole = not found.where("a = b").head(1)
-        more = stored(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "more")
-        good = stored(jaccard_links(more, texts, width, similarity), "passed")
-        tested, most = tested.unionByName(more), 8 * most
-        if good.head(1):
-            passed = passed.unionByName(good)
-            roots = stored(components(passed), "roots")
-    named = points.join(roots, "node", "left").select("node", "k1", "k2", "first", F.coalesce("root", "node").alias("root"))
+    groups = stored(components(proposed), "candidates")
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())  # a root is a member too
+    chosen = stored(points.join(groups, "node").select("node", F.col("root").alias("grp"), "one.*"), "chosen")
+    # one row of each chosen text has its shingles read; of rows that repeat it the tasks below drop all but one
+    asked = rows.join(if_small(chosen), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("first"))).select("grp", "node", "text")
+    members = stored(_shingled(asked, width), "members")
+    roots = stored(components(jaccard_groups(members, similarity)), "roots")
+    named = texts.join(points.select("s1", "s2", "node"), ["s1", "s2"]).join(roots, "node", "left").select(
+        "k1", "k2", "first", F.coalesce("root", "node").alias("root"))
     named = stored(named, "roots")
     order = F.struct(F.col("first").isNull(), F.col("first"), F.col("k1"), F.col("k2"))
     best = named.groupBy("root").agg(F.min_by(F.struct("k1", "k2", "first"), order).alias("keep"))

@@ -155,6 +155,47 @@ def test_near_duplicates_of_templates_are_all_found(make, words):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(make(texts)).collect()) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("members, loose", [(4096, False), (7, False), (7, True)])
+def test_links_within_groups_against_brute_force(spark, monkeypatch, members, loose):
+    from lureframe.llm import jaccard
+    from lureframe.llm.components import components
+
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", members)
+    r = np.random.default_rng(3)
+    sets, grp = [], []
+    for g, size in enumerate([60, 40, 12, 2, 1]):
+        base = r.integers(-2**62, 2**62, 120)
+        chain = base.copy()
+        for k in range(size):
+            if g == 1:                                   # a chain: each is near the one before it alone
+                chain = np.r_[chain[12:], r.integers(-2**62, 2**62, 12)]
+                sets.append(np.unique(chain))
+            else:                                        # a template: pairs lie around 0.8, or (loose) well below it
+                keep = r.choice(120, 92 if loose else 112, replace=False)
+                sets.append(np.unique(np.r_[base[keep], r.integers(-2**62, 2**62, 120 - len(keep))]))
+            grp.append(g)
+    rows = []
+    for k, (g, s) in enumerate(zip(grp, sets)):
+        s = np.sort(s.astype(np.int64).view(np.uint64))
+        rows.append((g, k * 11, len(s), *simhash.fingerprint(s, simhash.WIDE), s.view(np.int64).tolist()))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "grp long, node long, n long, f0 long, f1 long, f2 long, shingles array<long>").repartition(3)
+    found = jaccard.jaccard_groups(df, 0.8)
+    assert found.count() <= 2 * len(sets)
+    got = {x["node"]: x["root"] for x in components(found).collect()}
+    as_sets = [set(s.tolist()) for s in sets]
+    near = lambda a, b: grp[a // 11] == grp[b // 11] and len(as_sets[a // 11] & as_sets[b // 11]) >= 0.8 * len(as_sets[a // 11] | as_sets[b // 11])
+    nodes = [k * 11 for k in range(len(sets))]
+    assert {k: got.get(k, k) for k in nodes} == groups_of(nodes, near)
+
+
+def test_groups_of_no_members(spark):
+    from lureframe.llm import jaccard
+
+    df = spark.createDataFrame([], "grp long, node long, n long, f0 long, f1 long, f2 long, shingles array<long>")
+    assert jaccard.jaccard_groups(df, 0.8).count() == 0
+
+
 def test_near_duplicates_do_not_count_repeats(make, words):
     base, again = words(21, 1000), words(22, 10)
     texts = [" ".join(base + again), " ".join(base + again * 30)]
@@ -233,7 +274,7 @@ def test_decontamination(spark, make, words):
     docs = make(texts)
     got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()}
     n = len(SMALL) + len(clean)
-    assert got == {(n, 0), (n + 1, 1), (n + 2, 2), (n + 3, 3), (n + 5, 0), (n + 6, 0), (n + 6, 1), (n + 7, 0), (n + 7, 1)}
+    assert got == {(n, 0), (n + 1, 1), (n + 2, 2), (n + 3, 3), (n + 4, 4), (n + 5, 0), (n + 6, 0), (n + 6, 1), (n + 7, 0), (n + 7, 1)}
     out = dc.decontaminate(docs, bench)
     columns_kept(out, docs)
     assert {r["doc_id"] for r in out.collect()} == set(range(len(texts))) - {d for d, _ in got}
@@ -263,10 +304,38 @@ def test_decontamination_finds_every_diagonal(spark, make, words):
         for changed in [[], *[r.choice(len(item), min(c, len(item)), replace=False) for c in (1, 2, 2, 3, 3, 4)], range(3, len(item), 4), range(2, len(item), 3)]:
             copy = [f"other{i}" if i in set(changed) else w for i, w in enumerate(item)]
             texts.append(" ".join([*words(2000 + len(texts), 15), *copy, *words(4000 + len(texts), 15)]))
-    want = {(d, k): s for d, t in enumerate(texts) for k, item in enumerate(items) for s in [best(t.split(), item)] if s >= dc.MIN_SCORE}
+    want = {(d, k): s for d, t in enumerate(texts) for k, item in enumerate(items) for s in [best(t.split(), item)] if s >= min(dc.MIN_SCORE, len(item))}
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]): x["score"] for x in dc.contaminated(make(texts), bench).collect()}
-    assert got == want and {k for _, k in want} == set(range(1, len(items)))
+    assert got == want and {k for _, k in want} == set(range(len(items)))
+
+
+def test_masks_hit_all_stretches_of_up_to_four_replaced_words():
+    import itertools
+
+    def share(m):
+        n = dc.MIN_SCORE + 2 * m
+        inner = list(itertools.combinations(range(1, n - 1), m))
+        spots = [[sum(1 << s + k for k, c in enumerate(mask) if c == "1") for s in range(n - len(mask) + 1)] for mask in dc.MASKS[:2]]
+        return sum(any(not sum(1 << p for p in pos) & x for x in itertools.chain(*spots)) for pos in inner) / len(inner)
+
+    assert all("0" in mask for mask in dc.MASKS)  # every mask ignores some place
+    assert [share(m) for m in range(5)] == [1.0] * 5 and share(5) > 0.998
+
+
+def test_short_items_and_many_items(spark, make, words):
+    items = ["yes", "a b", " ".join(words(1, 9)), " ".join(words(2, 8)), "", None, "a b"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    w = words(1, 9)
+    texts = ["Yes!", "yesterday", "b a b", "ab", " ".join(words(5, 50) + w + words(6, 50)), " ".join(words(5, 50) + w[:8] + ["x"] + words(6, 50)),
+             " ".join(words(7, 20) + words(2, 8)[:4] + ["new"] + words(2, 8)[4:])]
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in dc.contaminated(make(texts), bench).collect()}
+    assert got == {(0, 0, 1), (2, 1, 2), (2, 6, 2), (4, 2, 9)}
+    many = spark.range(10_000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.concat(
+        F.lit("the w"), F.pmod(F.xxhash64("id", k), F.lit(5000)).cast("string"), F.lit(" v"), F.pmod(F.xxhash64(k, "id"), F.lit(5000)).cast("string"))), " ").alias("text"))
+    text = many.where("item_id = 77").head()["text"]
+    docs = make([f"{' '.join(words(1, 40))} {text} {' '.join(words(2, 40))}", "the w1 v1 the w2 v2 the w3 v3 the w4 v4 " * 6])
+    assert [(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, many).collect()] == [(0, 77)]
 
 
 def test_decontamination_without_broadcast(spark, make, words, monkeypatch):
