@@ -69,16 +69,20 @@ def op10_sql(masks: tuple[str, ...], min_score: int) -> str:
 
     words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+')"
     return f"""
-with a as (select doc_id id, {words} ws from documents), b as (select item_id id, {words} ws from benchmark),
-sa as ({seeds("a")}), sb as ({seeds("b")}),
+with a as (select doc_id id, {words} ws from documents), b0 as (select item_id id, {words} ws from benchmark),
+b as (select * from b0 where len(ws) >= {min_score}), sa as ({seeds("a")}), sb as ({seeds("b")}),
 hit as (select distinct sa.id doc_id, sb.id item_id, sa.i - sb.i shift from sa join sb using (m, g)),
 al as (select doc_id, item_id, shift, k, case when a.ws[k + shift] = b.ws[k] then 1 else -1 end v from hit join a on a.id = doc_id join b on b.id = item_id,
     unnest(range(greatest(1, 1 - shift), least(len(b.ws), len(a.ws) - shift) + 1)) x(k)),
 su as (select *, sum(v) over (partition by doc_id, item_id, shift order by k) total from al),
-lo as (select *, least(0, coalesce(min(total) over (partition by doc_id, item_id, shift order by k rows between unbounded preceding and 1 preceding), 0)) low from su)
+lo as (select *, least(0, coalesce(min(total) over (partition by doc_id, item_id, shift order by k rows between unbounded preceding and 1 preceding), 0)) low from su),
+short as (select a.id doc_id, b0.id item_id, len(b0.ws)::int score from b0, a where len(b0.ws) between 1 and {min_score} - 1
+    and contains(' ' || array_to_string(a.ws, ' ') || ' ', ' ' || array_to_string(b0.ws, ' ') || ' '))
 select doc_id, item_id, max(total - low)::int score from lo group by doc_id, item_id having max(total - low) >= {min_score}
+union all select doc_id, item_id, score from short
 """
 
+
 OP12 = """
 with v as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) label,
     list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
