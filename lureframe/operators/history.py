@@ -63,7 +63,7 @@ def history(investigations: DataFrame, risk: DataFrame, reports: DataFrame, user
         rows = rows.where(F.col("title").ilike(f"%{search}%"))
     if input_type:
         rows = rows.where(F.array_contains("input_types", input_type.lower()))
-    keys = [c for c in ("run", "day") if c in investigations.columns and c in risk.columns] + ["msg_id"]
+    keys = _keys(investigations, risk)
     r = between_days(risk, days).select(*keys, "score", "level")
     p = between_days(reports, days).select(*keys, "primary")
     if risk_level:
@@ -151,23 +151,60 @@ def fold_metadata(updates: DataFrame) -> DataFrame:
     return updates.groupBy("msg_id", "section", "key").agg(F.max_by("value", "ord").alias("value"))
 
 
+def _keys(left: DataFrame, right: DataFrame) -> list[str]:
+    """What identifies a submission in stored tables: its run and day as well, where both have them."""
+    return [c for c in ("run", "day") if c in left.columns and c in right.columns] + ["msg_id"]
+
+
 def dashboard_kpis(investigations: DataFrame, risk: DataFrame, today: Column) -> DataFrame:
-    joined = investigations.select("msg_id", "ts").join(risk.select("msg_id", "score", "level"), "msg_id", "left")
+    """Counted from the result rows; :func:`dashboard_from_summary` gives the same without reading them."""
+    keys = _keys(investigations, risk)
+    joined = investigations.select(*keys, "ts").join(risk.select(*keys, "score", "level"), keys, "left")
     return joined.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("level").isin("HIGH", "CRITICAL")).alias("high_risk"),
         F.bround(F.coalesce(F.avg("score"), F.lit(0.0)), 0).cast("int").alias("mean_score"),
         F.count_if(F.to_date("ts") == today).alias("today"))
 
 
+def _counted(where: Column) -> Column:
+    return F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0)).cast("long")
+
+
+def dashboard_from_summary(summary: DataFrame, today: Column, user_id=None) -> DataFrame:
+    """:func:`dashboard_kpis` (of one owner, if given) from the counts that the store keeps per day, user, level and category."""
+    rows = summary if user_id is None else summary.where(F.col("user_id") == user_id)
+    mean = F.sum("score_sum").cast("double") / F.sum("n")
+    return rows.agg(_counted(F.lit(True)).alias("total"), _counted(F.col("level").isin("HIGH", "CRITICAL")).alias("high_risk"),
+                    F.bround(F.coalesce(mean, F.lit(0.0)), 0).cast("int").alias("mean_score"), _counted(F.col("day") == today).alias("today"))
+
+
+def total_from_summary(summary: DataFrame, user_id, *, risk_level: str | None = None, scam_type: str | None = None) -> DataFrame:
+    """:func:`history_total` for the filters that the summary knows."""
+    rows = summary.where(F.col("user_id") == user_id)
+    if risk_level:
+        rows = rows.where(F.col("level") == risk_level.upper())
+    if scam_type:
+        rows = rows.where(F.col("primary") == scam_type)
+    return rows.agg(_counted(F.lit(True)).alias("total"))
+
+
+def _shares(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("percent", F.bround(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(1))), 2))  # four rows
+
+
 def level_distribution(risk: DataFrame) -> DataFrame:
-    counts = risk.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    share = F.bround(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(1))), 2)  # four rows
-    return counts.withColumn("percent", share)
+    return _shares(risk.groupBy("level").agg(F.count(F.lit(1)).alias("n")))
+
+
+def levels_from_summary(summary: DataFrame) -> DataFrame:
+    return _shares(summary.groupBy("level").agg(F.sum("n").alias("n")))
 
 
 def top_categories(reports: DataFrame, k: int = 6) -> DataFrame:
+    """``reports``: rows of reports, or a summary (``n`` of each row)."""
+    rows = F.sum("n") if "n" in reports.columns else F.count(F.lit(1))
     return (
-        reports.groupBy(F.coalesce("primary", F.lit("unclassified")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+        reports.groupBy(F.coalesce("primary", F.lit("unclassified")).alias("category")).agg(rows.alias("n"))
         .orderBy(F.col("n").desc(), "category").limit(k)
     )
 

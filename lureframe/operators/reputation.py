@@ -1,8 +1,10 @@
 """Reputation feeds as joins.
 
-Feeds are tables of any size.  A feed is broadcast only when its estimated size
-is below a limit; a larger one is joined by shuffle with the message side salted,
-so one host that carries a third of all rows is spread over many tasks.
+Feeds are tables of any size.  A small feed is broadcast.  Of a larger one, only the
+entries that some row may ask for are taken (a bloom filter of the asked keys tells),
+and what is left is broadcast if that is small by count.  Else the two sides are
+shuffled, and keys that a frequency sketch finds in too many rows are cut in parts: only
+their rows get a salt, and only their entries are copied, once for each part.
 """
 from __future__ import annotations
 
@@ -10,11 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as uf
 from ..functions.bind import unnest
+from ..sources.derived import SMALL_ROWS, derived, if_small
 from .signals import evidence
 
 BROADCAST_LIMIT = 64 * 1024 * 1024
-#: Salts at least and at most, and bytes of the fact side for each.
-SALTS, MAX_SALTS, SALT_BYTES = 16, 4096, 256 * 1024 * 1024
+#: Rows of one key that a task may have; keys that the sketch follows, and the most that it reports.
+KEY_ROWS, TRACKED, REPORTED = 1_000_000, 10_000, 1_000
+#: Bits of a block of the bloom filter (a bitmap), bits set for a key, keys of a block, and blocks at most (8 MB in all).
+BLOCK_BITS, KEY_BITS, BLOCK_KEYS, MAX_BLOCKS = 32_768, 4, 2_000, 2_048
 
 # FIXED VALUES: verdict and status order, informative and anchoring verdicts.
 VERDICT_RANK = {"safe": 0, "unknown": 1, "suspicious": 2, "malicious": 3}
@@ -29,21 +34,70 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) if plan is not None else 1 << 62
 
 
+def hot_keys(left: DataFrame, on: str, most: int = KEY_ROWS) -> DataFrame:
+    """key, parts: keys with more than ``most`` rows, by a mergeable sketch of frequent items; at most ``REPORTED`` of them.
+
+    One pass over the key column with map-side sketches.  The sketch never underrates a key by more than rows / TRACKED.
+    """
+    found = left.where(F.col(on).isNotNull()).select(F.expr(f"approx_top_k(`{on}`, {REPORTED}, {TRACKED})").alias("top"))
+    return found.select(F.explode("top").alias("t")).select(F.col("t.item").alias("key"), F.ceil(F.col("t.count") / most).cast("int").alias("parts")).where("parts > 1")
+
+
+def _bloom_place(key: Column, blocks: int) -> tuple[Column, list[Column]]:
+    return F.pmod(F.xxhash64(F.lit(0), key), F.lit(blocks)).cast("int"), [
+        F.pmod(F.xxhash64(F.lit(k + 1), key), F.lit(BLOCK_BITS)) for k in range(KEY_BITS)]
+
+
+def key_filter(keys: DataFrame, on: str) -> tuple[DataFrame, int]:
+    """A blocked bloom filter of a key column as a table (block, bits) of at most 2,048 bitmaps of 4 KB, and its number of blocks.
+
+    Bitmaps are built on the map side and merged, so the keys themselves are not shuffled.  Beyond four million keys the filter
+    lets more pass; it never holds a key back.
+    """
+    distinct = keys.select(F.approx_count_distinct(on)).head()[0]
+    blocks = max(1, min(MAX_BLOCKS, distinct // BLOCK_KEYS + 1))
+    block, bits = _bloom_place(F.col(on), blocks)
+    marks = keys.where(F.col(on).isNotNull()).select(block.alias("block"), F.explode(F.array(*bits)).alias("bit"))
+    return marks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), blocks
+
+
+def may_be_asked(feed: DataFrame, on: str, bitmaps: DataFrame, blocks: int) -> DataFrame:
+    """Rows of ``feed`` whose key may be in the filter (all that are, and few others)."""
+    block, bits = _bloom_place(F.col(on), blocks)
+
+    def is_set(bit: Column) -> Column:
+        byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, (bit % 8).cast("int")) == 1
+
+    found = feed.withColumn("block", block).join(F.broadcast(bitmaps), "block")  # 8 MB at most
+    for bit in bits:
+        found = found.where(is_set(bit))
+    return found.select(feed.columns)
+
+
 def feed_join(left: DataFrame, feed: DataFrame, on: str, spread: Column, how: str = "left",
-              limit: int = BROADCAST_LIMIT, salts: int | None = None) -> DataFrame:
-    """Join a fact table to a feed on one key without a hot task, whatever the sizes are.
+              limit: int = BROADCAST_LIMIT, small: int = SMALL_ROWS, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Join a fact table to a feed on one key without a hot task, whatever the sizes are (``how``: left, inner or left_anti).
 
-    ``spread`` is any evenly distributed column of the fact side (its row id).
-    Unless given, the number of salts follows the fact side's size, so that a key
-    with a third of all rows is cut into parts of bounded size.
+    ``spread`` is any evenly distributed column of the fact side (its row id).  A feed above ``limit`` bytes is first cut down
+    to what is asked for and written; up to ``small`` rows of that are broadcast.  Beyond, a key with more than ``key_rows`` rows
+    of the fact side is cut into parts of that size and its feed rows are copied that often; all other feed rows are there once.
     """
     if estimated_bytes(feed) <= limit:
         return left.join(F.broadcast(feed), on, how)
-    if salts is None:
-        salts = max(SALTS, min(MAX_SALTS, estimated_bytes(left) // SALT_BYTES))
-    copies = feed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+    asked = derived(may_be_asked(feed, on, *key_filter(left, on)), "asked-feed")
+    if asked.count() <= small:
+        return left.join(F.broadcast(asked), on, how)
+    hot = derived(hot_keys(left, on, key_rows), "hot-keys").withColumnRenamed("key", on)  # REPORTED rows at most
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("parts")
+    return salted.join(copied(asked, hot, on), [on, "_salt"], how).drop("_salt")
+
+
+def copied(feed: DataFrame, hot: DataFrame, on: str) -> DataFrame:
+    """Feed rows with ``_salt``: those of hot keys once for each part, all others once."""
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    return feed.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
 
 
 def rank_of(c: Column, order: dict[str, int], default: int = 1) -> Column:
@@ -85,7 +139,7 @@ def blocklist_join(urls: DataFrame, blocklist: DataFrame, id_col: str = "url_id"
     ``blocklist`` has columns ``entry`` (domain) and ``category``.  Distinct hosts
     are looked up; occurrences then meet the listed hosts only.
     """
-    feed = blocklist.select("entry", "category").dropDuplicates(["entry"])
+    feed = blocklist.groupBy("entry").agg(F.min("category").alias("category"))  # of several rows of one entry: the first by name
     out = feed_join(urls, _listed_hosts(urls, feed), "host", F.col(id_col))
     listed = F.col("category").isNotNull()
     return out.withColumns({
@@ -166,6 +220,13 @@ def merge_verdicts(results: DataFrame, key: str = "url", order: str = "provider_
     )
 
 
+def worst_per_entry(reputation: DataFrame) -> DataFrame:
+    """entry, r: one verdict per feed entry, the worst by (verdict, risk, status), ties by provider and wording: no row order decides."""
+    r = F.struct("verdict", "status", "risk_score", "is_mock", "provider", "reputation")
+    worst = F.struct(rank_of(F.col("verdict"), VERDICT_RANK), F.col("risk_score"), rank_of(F.col("status"), STATUS_RANK), r)
+    return reputation.groupBy("entry").agg(F.max_by(r, worst).alias("r"))
+
+
 def attach_reputation(df: DataFrame, reputation: DataFrame | None, blocklist: list[str] | None = None) -> DataFrame:
     """``intel``: one verdict per URL of the message, aligned with ``url_facts``.
 
@@ -191,13 +252,14 @@ def attach_reputation(df: DataFrame, reputation: DataFrame | None, blocklist: li
 
         return df.withColumn("intel", F.transform("url_facts", local))
 
-    feed = reputation.select("entry", F.struct("verdict", "status", "risk_score", "is_mock", "provider", "reputation").alias("r"))
+    feed = worst_per_entry(reputation)
     per_link = unnest(df, F.col("url_facts.suffixes"), "msg_id", pos="i", item="s")
     asked = unnest(per_link, "s", "msg_id", "i", pos="depth", item="entry")
     listed = feed_join(asked, feed, "entry", F.struct("msg_id", "i"), how="inner")
     per_url = listed.groupBy("msg_id", "i").agg(F.min_by("r", "depth").alias("r"))
     per_msg = per_url.groupBy("msg_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("_intel"))
-    joined = df.join(per_msg, "msg_id", "left")
+    # messages with a listed URL are few: their ids travel, whole messages only where those are too many
+    joined = df.join(if_small(derived(per_msg, "listed-messages")), "msg_id", "left")
 
     def fed(u, i):
         r = F.try_element_at(F.col("_intel"), i)

@@ -10,13 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import lexicon as lx
 from ..operators import entities as en, ingest, model as ml, report as rp, reputation as rep, risk, rules, signals, urls
-from ..sources.results import shared_folder
-
-
-def stored_stage(df: DataFrame) -> DataFrame:
-    path = shared_folder(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.derived import derived, if_small
 
 
 def ingest_stage(messages: DataFrame) -> DataFrame:
@@ -50,7 +44,7 @@ def refine_stage(df: DataFrame, suggestions: DataFrame | None = None) -> DataFra
         best = F.struct("suggested_confidence", F.col("suggested_category").alias("category"))
         offered = suggestions.groupBy("msg_id").agg(F.max(best).alias("s")).select(
             "msg_id", F.col("s.category").alias("suggested_category"), F.col("s.suggested_confidence").alias("suggested_confidence"))
-        df = df.join(offered, "msg_id", "left")
+        df = df.join(if_small(derived(offered, "suggestions")), "msg_id", "left")
     return rules.adjudicate_labels(df)
 
 
@@ -83,7 +77,7 @@ def triage(
     df = ml.features(df)
     df = ml.predict_heuristic(df) if model is None else ml.predict_model(df, model)
     if reputation is not None:  # two branches read it: computed once, and a branch reads only the columns it needs
-        df = stored_stage(df)
+        df = derived(df, "stage")
     df = rep.attach_reputation(df, reputation)
     df = risk.assess(risk.risk_inputs(risk.correlate(evidence_stage(df))), lex.weights)
     return rp.report(df) if with_report else df

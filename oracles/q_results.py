@@ -111,22 +111,46 @@ def h9_pair(spark, d):
     return e.select("event_id", m["shared"].alias("shared"), m["left_only"].alias("left_only"), F.try_element_at(m, F.lit("right_only")).alias("right_only"))
 
 
-@register("h10_dashboard_kpis", q(f"""SELECT count(*) AS total, count(*) FILTER (WHERE level IN ('HIGH', 'CRITICAL')) AS high_risk, CAST({c.rnd('avg(score)', 0)} AS BIGINT) AS mean_score,
- count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '2024-01-15') AS today FROM acc JOIN scored USING (msg_id)""", "acc", "scored"))
+def kpis_sql(where: str = "TRUE") -> str:
+    return f"""SELECT count(*) AS total, count(*) FILTER (WHERE level IN ('HIGH', 'CRITICAL')) AS high_risk, CAST({c.rnd('avg(score)', 0)} AS BIGINT) AS mean_score,
+ count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '2024-01-15') AS today FROM acc JOIN scored USING (msg_id) WHERE {where}"""
+
+
+@register("h10_dashboard_kpis", q(kpis_sql(), "acc", "scored"))
 def h10(spark, d):
-    t = stages(spark, d).stored
+    t = res.read_results(spark, stages(spark, d).rewritten)
     k = hi.dashboard_kpis(t["investigations"], t["risk"], F.lit("2024-01-15").cast("date"))
     return k.withColumn("mean_score", n(F.col("mean_score")))
 
 
+@register("h10_dashboard_from_summary", q(f"SELECT 'rewritten' AS store, * FROM ({kpis_sql()}) UNION ALL SELECT 'purged', * FROM ({kpis_sql('NOT (user_id = 8 AND msg_id % 2 = 0)')})", "acc", "scored"))
+def h10_summary(spark, d):
+    """From summaries and tombstones alone: after a repeated write, and after a purge with a compaction in between."""
+    st, today = stages(spark, d), F.lit("2024-01-15").cast("date")
+    parts = [hi.dashboard_from_summary(res.read_summary(spark, path), today).select(
+        F.lit(name).alias("store"), "total", "high_risk", n(F.col("mean_score")).alias("mean_score"), "today") for name, path in (("rewritten", st.rewritten), ("purged", st.purged))]
+    return parts[0].unionByName(parts[1])
+
+
 @register("h11_level_distribution", q(f"SELECT level, count(*) AS n, {c.rnd('count(*) * 100e0 / sum(count(*)) OVER ()', 2)} AS percent FROM scored GROUP BY level", "scored"))
 def h11(spark, d):
     return hi.level_distribution(stages(spark, d).stored["risk"])
 
 
+@register("h11_levels_from_summary", q(f"SELECT level, count(*) AS n, {c.rnd('count(*) * 100e0 / sum(count(*)) OVER ()', 2)} AS percent FROM scored JOIN acc USING (msg_id) WHERE NOT (user_id = 8 AND msg_id % 2 = 0) GROUP BY level", "scored", "acc"))
+def h11_summary(spark, d):
+    return hi.levels_from_summary(res.read_summary(spark, stages(spark, d).purged))
+
+
 @register("h11_top_categories", q("SELECT primary_category AS category, count(*) AS n FROM refined GROUP BY 1 ORDER BY n DESC, category LIMIT 6", "refined"))
 def h11_top(spark, d):
-    return hi.top_categories(stages(spark, d).stored["reports"])
+    return hi.top_categories(res.read_summary(spark, stages(spark, d).rewritten))
+
+
+@register("h5_total_from_summary", q("SELECT user_id, count(*) AS total FROM acc a JOIN refined r USING (msg_id) JOIN scored s USING (msg_id) WHERE r.primary_category = 'phishing' AND s.level = 'HIGH' GROUP BY user_id", "acc", "refined", "scored"))
+def h5_summary(spark, d):
+    rows = res.read_summary(spark, stages(spark, d).rewritten).where((F.col("primary") == "phishing") & (F.col("level") == "HIGH"))
+    return rows.groupBy("user_id").agg(F.sum("n").alias("total"))
 
 
 @register("h12_evidence_by_source", q("SELECT msg_id, CAST(ord AS BIGINT) AS ord, source, signal, severity FROM ev WHERE source IN ('url_analysis', 'threat_intelligence')", "ev"))
@@ -257,31 +281,46 @@ def s3(spark, d):
 #: Stages of each message: seven always, a second opinion where the category is unsure, two for URLs, one for brands.
 STAGE_ROWS = """SELECT msg_id, 7 + CASE WHEN primary_category IN ('unknown', 'other') OR confidence < 0.5e0 THEN 1 ELSE 0 END + CASE WHEN u.msg_id IS NULL THEN 0 ELSE 2 END
  + CASE WHEN b.msg_id IS NULL THEN 0 ELSE 1 END AS n FROM cls LEFT JOIN (SELECT DISTINCT msg_id FROM mu) u USING (msg_id) LEFT JOIN (SELECT DISTINCT msg_id FROM brands) b USING (msg_id)"""
-STORED = ("evidence", "analyses", "investigations", "risk", "reports")
+#: Entities of each message, by bucket.
+ENTITY_ROWS = """SELECT msg_id, CAST(len(all_urls) AS BIGINT) AS n FROM urls1 UNION ALL SELECT msg_id, len(emails) FROM emails UNION ALL SELECT msg_id, len(amounts) FROM amounts
+ UNION ALL SELECT msg_id, len(dates) FROM dates UNION ALL SELECT msg_id, 1 FROM phones UNION ALL SELECT msg_id, 1 FROM codes UNION ALL SELECT msg_id, 1 FROM brands"""
+STORED = {"evidence": ("ev", "count(*)"), "entities": ("entity_rows", "sum(n)"), "analyses": ("stage_rows", "sum(n)"),
+          "investigations": ("acc", "count(*)"), "risk": ("scored", "count(*)"), "reports": ("scored", "count(*)")}
+STORED_FROM = dict(extra={"stage_rows": STAGE_ROWS, "entity_rows": ENTITY_ROWS, "gone": "SELECT msg_id FROM acc WHERE user_id = 8 AND msg_id % 2 = 0"})
+STORED_CTES = ("ev", "acc", "scored", "cls", "mu", "brands", "urls1", "emails", "amounts", "dates", "phones", "codes")
 
 
 def stored_sql(where: str) -> str:
-    return f"""SELECT 'evidence' AS name, CAST(count(*) AS BIGINT) AS n FROM ev WHERE {where} UNION ALL SELECT 'analyses', CAST(sum(n) AS BIGINT) FROM stage_rows WHERE {where}
- UNION ALL SELECT 'investigations', count(*) FROM acc WHERE {where} UNION ALL SELECT 'risk', count(*) FROM scored WHERE {where} UNION ALL SELECT 'reports', count(*) FROM scored WHERE {where}"""
+    """Rows of all six tables, by name and owner."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS name, a.user_id, CAST({what} AS BIGINT) AS n FROM {source} x JOIN (SELECT msg_id, user_id FROM acc) a USING (msg_id) WHERE {where} GROUP BY a.user_id"
+        for name, (source, what) in STORED.items())
 
 
 def table_sizes(tables):
-    out = [tables[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k in STORED]
+    owner = tables["investigations"].select("run", "day", "msg_id", "user_id")
+    out = [(tables[k] if k == "investigations" else tables[k].join(owner, ["run", "day", "msg_id"])).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "user_id", "n") for k in STORED]
     for one in out[1:]:
         out[0] = out[0].unionByName(one)
     return out[0]
 
 
-@register("s4_write_results", q(stored_sql("TRUE"), "ev", "acc", "scored", "cls", "mu", "brands", extra={"stage_rows": STAGE_ROWS}))
+@register("s4_write_results", q(stored_sql("TRUE"), *STORED_CTES, **STORED_FROM))
 def s4(spark, d):
-    return table_sizes(stages(spark, d).stored)
+    """A batch written twice, the second time in part and under a new name: every message counts once."""
+    return table_sizes(res.read_results(spark, stages(spark, d).store("written")))
+
 
+@register("s4_snapshot", q("SELECT msg_id, level, score FROM scored", "scored"))
+def s4_snapshot(spark, d):
+    """The store as it was before its second run and its purges: an older snapshot stays readable."""
+    return res.read_results(spark, stages(spark, d).purged, upto=1)["risk"].select("msg_id", "level", "score")
 
-@register("h7_purge", q(stored_sql("msg_id NOT IN (SELECT msg_id FROM gone)"), "ev", "acc", "scored", "cls", "mu", "brands",
-                        extra={"stage_rows": STAGE_ROWS, "gone": "SELECT msg_id FROM acc WHERE user_id = 8 AND msg_id % 2 = 0"}))
+
+@register("h7_purge", q(stored_sql("msg_id NOT IN (SELECT msg_id FROM gone)"), *STORED_CTES, **STORED_FROM))
 def h7(spark, d):
-    t = {k: v for k, v in stages(spark, d).stored.items() if k != "triaged"}
-    return table_sizes(hi.purge(t, t["investigations"].where("msg_id % 2 = 0").select("msg_id"), 8))
+    return table_sizes(res.read_results(spark, stages(spark, d).purged))
 
 
 @register("s5_write_canonical_csv", "SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS id, md5(regexp_replace(text, '\\s+', ' ', 'g')) AS text_md5, lang AS language FROM documents")
@@ -336,7 +375,7 @@ def x1(spark, d):
     arriving = spark.readStream.schema(stages(spark, d).messages.schema).parquet(arrived)
     run = triage_stream.score_stream(arriving, path, mark, once=True, with_report=True)
     run.awaitTermination()
-    return spark.read.parquet(f"{path}/risk").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return res.read_results(spark, path)["risk"].groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("x2_submission_rate", """SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent,
@@ -349,10 +388,14 @@ def x2(spark, d):
 RECENT = "list_filter(r.taken, lambda t: e.us - t < 43200000000)"
 
 
-@register("x2_exact_limiter", f"""WITH RECURSIVE e AS (SELECT user_id AS client, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+def limiter_sql(client: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT {client} AS client, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {client} ORDER BY epoch_us(ts), event_id) AS rn FROM events),
  r AS (SELECT client, id, rn, TRUE AS accepted, [us] AS taken FROM e WHERE rn = 1 UNION ALL
  SELECT e.client, e.id, e.rn, len({RECENT}) < 2, CASE WHEN len({RECENT}) < 2 THEN list_append({RECENT}, e.us) ELSE {RECENT} END FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1)
- SELECT id, client, accepted FROM r""")
+ SELECT id, client, accepted FROM r"""
+
+
+@register("x2_exact_limiter", limiter_sql("user_id"))
 def x2_exact(spark, d):
     mark = res.shared_folder(spark, "limit-mark")
     path = res.shared_folder(spark, "limit")
@@ -362,3 +405,12 @@ def x2_exact(spark, d):
     run = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", mark).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(path).select("id", "client", "accepted")
+
+
+@register("x2_limit_batch", limiter_sql("CASE WHEN event_id % 3 = 0 THEN '10.0.0.1' ELSE '10.0.1.' || CAST(user_id AS VARCHAR) END"))
+def x2_batch(spark, d):
+    """Clients by address; one of them sends a third of all events."""
+    e = stages(spark, d).table("events")
+    client = F.when(F.col("event_id") % 3 == 0, "10.0.0.1").otherwise(F.concat(F.lit("10.0.1."), F.col("user_id").cast("string")))
+    out = rate_limit.limit_batch(e.withColumn("address", client), key="address", row_id="event_id", window_seconds=43200, limit=2)
+    return out.select("id", "client", "accepted")

@@ -106,9 +106,11 @@ def e7(spark, d):
     return counts.where(F.col("bucket").isin(ORACLE_BUCKETS) & (F.col("n") > 0)).select("msg_id", "bucket", n(F.col("n")).alias("n"))
 
 
-@register("e7_extract_all")
+@register("e7_extract_all", q("""SELECT msg_id, 'urls' AS bucket, 'url' AS entity_type, unnest(all_urls) AS value FROM urls1 UNION ALL SELECT msg_id, 'emails', 'email', unnest(emails) FROM emails
+ UNION ALL SELECT msg_id, 'phones', 'phone', value FROM phones UNION ALL SELECT msg_id, bucket, kind, value FROM brands UNION ALL SELECT msg_id, 'amounts', 'amount', unnest(amounts) FROM amounts
+ UNION ALL SELECT msg_id, 'dates', 'date', unnest(dates) FROM dates UNION ALL SELECT msg_id, 'other', 'code', value FROM codes""", "urls1", "emails", "phones", "brands", "amounts", "dates", "codes"))
 def e7_all(spark, d):
-    return en.entities_long(stages(spark, d).entities).select("msg_id", "ord", "bucket", "entity_type", "value", "context")
+    return en.entities_long(stages(spark, d).entities).select("msg_id", "bucket", "entity_type", "value")
 
 
 @register("e8_extract_brands", q("SELECT msg_id, key AS brand, kind, bucket, value FROM brands", "brands"))

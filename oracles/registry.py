@@ -137,6 +137,30 @@ class Stages:
             self._plans["stored"] = {**res.read_results(self.spark, path), "triaged": self.spark.read.parquet(f"{path}/_staged/run={run}")}
         return self._plans["stored"]
 
+    def store(self, name: str) -> str:
+        """A store of its own whose batch was written twice: whole, and two thirds of it again under a new name, like a repeated job."""
+        path = res.shared_folder(self.spark, name)
+        rows = self.stored["triaged"]
+        res.write_results(rows, path)
+        res.write_results(rows.where("msg_id % 3 <> 0"), path)
+        return path
+
+    @property
+    def rewritten(self) -> str:
+        return self._get("rewritten", lambda: self.store("rewritten"))
+
+    @property
+    def purged(self) -> str:
+        """Such a store after a purge of half of one owner's messages, compacted between two parts of it."""
+        def make():
+            path = self.store("purged")
+            ids = self.messages.where("msg_id % 2 = 0").select("msg_id")
+            res.purge_results(self.spark, path, ids.where("msg_id % 5 = 0"), 8)
+            res.compact_results(self.spark, path)
+            res.purge_results(self.spark, path, ids, 8)
+            return path
+        return self._get("purged", make)
+
     @property
     def labelled(self):
         """documents x labels in the shape of a labelled dataset, with some rows made invalid."""

@@ -13,12 +13,50 @@ from lureframe.sources import labelled as lab, results as res, synthetic as syn
 from lureframe.streaming import rate_limit, triage_stream
 
 
-def test_feed_join_gives_the_same_result_broadcast_and_salted(spark):
-    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "id int, key string")
-    feed = spark.createDataFrame([("hot", 1), ("k0", 2), ("unused", 3)], "key string, v int")
-    small = rep.feed_join(left, feed, "key", F.col("id"))
-    large = rep.feed_join(left, feed, "key", F.col("id"), limit=0, salts=4)
-    assert sorted(small.collect()) == sorted(large.select(small.columns).collect()) and large.count() == 300
+def test_feed_join_gives_the_same_result_on_every_path(spark):
+    left = spark.createDataFrame([(i, None if i % 50 == 7 else "hot" if i % 3 else f"k{i}") for i in range(300)], "id int, key string")
+    feed = spark.createDataFrame([("hot", 1), ("k0", 2), ("unused", 3), ("k0", 4), (None, 5)], "key string, v int")
+    for how in ("left", "inner", "left_anti"):
+        small = rep.feed_join(left, feed, "key", F.col("id"), how)
+        want = sorted(map(str, small.collect()))
+        for options in (dict(limit=0), dict(limit=0, small=0), dict(limit=0, small=0, key_rows=40)):
+            assert sorted(map(str, rep.feed_join(left, feed, "key", F.col("id"), how, **options).select(small.columns).collect())) == want, (how, options)
+
+
+def test_feed_copies_follow_the_hot_keys(spark):
+    left = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 7000).cast("string"))).alias("key"))
+    feed = spark.range(200_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("v")).unionByName(
+        spark.createDataFrame([("hot", -1)], "key string, v long"))
+    hot = rep.hot_keys(left, "key", 1000)
+    assert [tuple(r) for r in hot.collect()] == [("hot", 10)]
+    bitmaps, blocks = rep.key_filter(left, "key")
+    asked = rep.may_be_asked(feed, "key", bitmaps, blocks)
+    assert left.join(asked, "key", "left_semi").count() == left.join(feed, "key", "left_semi").count()
+    assert bitmaps.count() == blocks and asked.count() < 7001 + 0.01 * 200_000  # of 200,001 entries
+    copies = rep.copied(asked, hot.withColumnRenamed("key", "key"), "key")
+    assert copies.count() == asked.count() + 9 and copies.where("_salt > 0").select("key").distinct().count() == 1
+    out = rep.feed_join(left, feed, "key", F.col("id"), limit=0, small=0, key_rows=1000)
+    assert out.count() == 30_000 and out.where("key = 'hot' and v = -1").count() == 10_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = out.where("key = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 9000  # the hot key is in several tasks
+
+
+def test_several_feed_rows_of_one_host(spark):
+    from lureframe.plans.triage import triage
+
+    msgs = spark.createDataFrame([(1, "see http://a.listed.example/x", [])], "msg_id int, text string, urls array<string>")
+    rows = [("listed.example", v, "ok", s, False, p, "r") for v, s, p in (("safe", 0.05, "a"), ("malicious", 0.95, "b"), ("suspicious", 0.6, "c"))]
+    for order in (rows, rows[::-1]):
+        feed = spark.createDataFrame(order, "entry string, verdict string, status string, risk_score double, is_mock boolean, provider string, reputation string")
+        got = triage(msgs, reputation=feed, with_report=False).select("intel").head()["intel"]
+        assert [(t["verdict"], t["provider"]) for t in got] == [("malicious", "b")]
+        block = spark.createDataFrame([(r[0], r[5]) for r in order], "entry string, category string")
+        urls = spark.createDataFrame([(1, "a.listed.example")], "url_id int, host string")
+        assert rep.blocklist_join(urls, block).head()["categories"] == ["a"]
 
 
 def test_blocklist_covers_subdomains(spark):
@@ -159,12 +197,57 @@ def test_exact_limiter_against_brute_force(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
     got = {r["id"]: r["accepted"] for r in spark.table("limited").collect()}
+    want = limited_by_hand([(i, u, us) for i, u, us in rows], 3)
+    assert got == want and not all(want.values())
+
+
+def limited_by_hand(rows, limit, width=60_000_000):
     want, kept = {}, {}
-    for i, u, us in rows:
-        recent = [t for t in kept.get(u, []) if us - t < 60_000_000]
-        want[i] = len(recent) < 3
+    for i, u, us in sorted(rows, key=lambda r: (r[2], r[0])):
+        recent = [t for t in kept.get(u, []) if us - t < width]
+        want[i] = len(recent) < limit
         kept[u] = recent + [us] if want[i] else recent
-    assert got == want and not all(want.values())
+    return want
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_limiter_over_a_table_against_brute_force(spark, limit):
+    rng = random.Random(limit)
+    rows, t = [], 0
+    for i in range(900):                                     # bursts, quiet stretches and gaps; one address has a third of all
+        t += rng.choice([0, 1, 5, 20, 20, 40]) * 1_000_000 if i % 150 < 120 else rng.choice([30, 45, 200]) * 1_000_000
+        rows.append((f"id{i:04d}", "10.0.0.1" if i % 3 == 0 else f"10.0.1.{rng.randrange(6)}", t + rng.randrange(3)))
+    rows += [("x1", None, 5), ("x2", None, 6), ("x3", None, 7), ("x4", None, 8)]
+    df = spark.createDataFrame(rows, "sid string, address string, us long").withColumn("ts", F.timestamp_micros("us")).repartition(5)
+    out = rate_limit.limit_batch(df, key="address", row_id="sid", limit=limit)
+    got = {r["id"]: r["accepted"] for r in out.collect()}
+    assert got == limited_by_hand(rows, limit) and len(got) == 904 and 100 < sum(got.values()) < 900
+    unknown = rate_limit.limit_batch(df.withColumn("ts", F.lit(None).cast("timestamp")), key="address", row_id="sid").collect()
+    assert len(unknown) == 904 and all(r["accepted"] is None for r in unknown)
+    assert rate_limit.limit_batch(df.limit(0), key="address", row_id="sid").count() == 0
+
+
+def test_busy_segments_start_after_calm_slots(spark):
+    slots = spark.createDataFrame([("a", s, s in (3, 6)) for s in (1, 2, 3, 4, 5, 6, 9, 10)] + [("b", 4, False)], "client string, slot long, calm boolean")
+    assert sorted(tuple(r) for r in rate_limit.busy_segments(slots).select("client", "slot", "segment").collect()) == [
+        ("a", 1, 1), ("a", 2, 1), ("a", 4, 4), ("a", 5, 4), ("a", 9, 9), ("a", 10, 9), ("b", 4, 4)]
+
+
+def test_stream_limiter_flags_late_rows_and_takes_any_key(spark, tmp_path):
+    src = tmp_path / "in"
+    day = 86_400_000_000
+    parts = [[("m1", "10.0.0.1", day), ("m2", "10.0.0.1", day + 1), ("m3", "10.0.0.1", day + 2)], [("m4", "fe80::1", 3 * day)],
+             [("m5", "10.0.0.1", day + 70_000_000), ("m6", "10.0.0.1", 3 * day + 1)], [("m7", "10.0.0.1", 3 * day - 30_000_000), ("m8", "10.0.0.1", 3 * day + 2), ("m9", "10.0.0.1", None)]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, "sid string, address string, us long").withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.parquet(str(src / f"p{k}"))
+    schema = spark.read.parquet(str(src / "p0")).schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(src))
+    run = rate_limit.limit_stream(stream, key="address", row_id="sid", limit=2).writeStream.format("memory").queryName("late").option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r["id"]: (r["accepted"], r["late"]) for r in spark.table("late").collect()}
+    assert got == {"m1": (True, False), "m2": (True, False), "m3": (False, False), "m4": (True, False), "m5": (False, True), "m6": (True, False),
+                   "m7": (True, False), "m8": (False, False), "m9": (None, False)}
 
 
 def test_stream_equals_batch_and_results_can_be_queried(spark, tmp_path):
@@ -225,20 +308,28 @@ def test_synthetic_shares(spark):
 def test_contamination_guard_broadcast_and_salted(spark, monkeypatch):
     df = spark.createDataFrame([(i, "" if i % 3 else f"e{i}") for i in range(60)], "ord int, id string")
     ids = spark.createDataFrame([("e0",), ("e3",), ("",)], "id string")
-    for limit in (1 << 40, 0):
-        monkeypatch.setattr(rep.feed_join, "__defaults__", ("left", limit, 4))
+    for limit, small in ((1 << 40, 1), (0, 100), (0, 0)):
+        monkeypatch.setattr(rep.feed_join, "__defaults__", ("left", limit, small, 10))
         clean, bad = ds.contamination_guard(df, ids)
         assert sorted(r["ord"] for r in bad.collect()) == [0, 3] and clean.count() == 58
 
 
-def small_batch(spark, ids, first=1_700_000_000):
+_ASSESSED: list = []
+
+
+def small_batch(spark, ids):
+    """Assessed messages with the given ids (below 40): four texts, the last one without content, two owners."""
+    import tempfile
+
     from lureframe.plans.triage import triage
 
-    texts = ["Hi Bo, lunch at noon?", "Your card will be blocked, verify your account and reply with the otp 123456 immediately", "see https://bit.ly/x", "  "]
-    rows = [(i, i % 2, texts[i % 4]) for i in ids]
-    frame = spark.createDataFrame(rows, "msg_id long, user_id long, text string").withColumns(
-        {"urls": F.expr("cast(array() as array<string>)"), "ts": F.timestamp_seconds(F.col("msg_id") * 40_000 + first)})
-    return triage(frame)
+    if not _ASSESSED:  # once a session
+        texts = ["Hi Bo, lunch at noon?", "Your card will be blocked, verify your account and reply with the otp 123456 immediately", "see https://bit.ly/x", "  "]
+        frame = spark.createDataFrame([(i, i % 2, texts[i % 4]) for i in range(40)], "msg_id long, user_id long, text string").withColumns(
+            {"urls": F.expr("cast(array() as array<string>)"), "ts": F.timestamp_seconds(F.col("msg_id") * 40_000 + 1_700_000_000)})
+        _ASSESSED.append(tempfile.mkdtemp(prefix="lureframe-test-"))
+        triage(frame).write.mode("overwrite").parquet(_ASSESSED[0])
+    return spark.read.parquet(_ASSESSED[0]).where(F.col("msg_id").isin(list(ids)))
 
 
 def test_results_append_and_replace(spark, tmp_path):
@@ -249,7 +340,7 @@ def test_results_append_and_replace(spark, tmp_path):
     t = res.read_results(spark, out)
     ids = {r["msg_id"] for r in t["risk"].select("msg_id").collect()}
     assert ids == {i for i in [*range(4), *range(8, 16)] if i % 4 != 3}  # rejected rows stay out, both runs are there
-    assert not (tmp_path / "store" / "_staged" / f"run={first}").exists()
+    assert not list((tmp_path / "store" / "_staged").rglob("*.parquet"))
     row = t["risk"].where("msg_id = 9").head()
     assert row["weights_used"] == lx.CHANNEL_WEIGHTS
     assert t["reports"].where("msg_id = 9").head()["suspicious_indicators"]
@@ -281,13 +372,181 @@ def test_reads_of_the_store_skip_other_days(spark, tmp_path):
     assert pages == whole
 
 
-def test_purge_of_the_store(spark, tmp_path):
+def contents(t):
+    return {name: sorted(r["msg_id"] for r in x.select("msg_id").collect()) for name, x in t.items()}
+
+
+def same_dashboard(spark, out):
+    t, summary, day = res.read_results(spark, out), res.read_summary(spark, out), F.lit("2023-11-15").cast("date")
+    assert hi.dashboard_from_summary(summary, day).collect() == hi.dashboard_kpis(t["investigations"], t["risk"], day).collect()
+    assert sorted(hi.levels_from_summary(summary).collect()) == sorted(hi.level_distribution(t["risk"]).collect())
+    assert hi.top_categories(summary).collect() == hi.top_categories(t["reports"]).collect()
+    for user in (0, 1):
+        own = hi.history(t["investigations"], t["risk"], t["reports"], user, risk_level="low")
+        assert hi.total_from_summary(summary, user, risk_level="low").collect() == hi.history_total(own).collect()
+    return hi.dashboard_from_summary(summary, day).head()["total"]
+
+
+def test_a_run_is_visible_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    out, batch = str(tmp_path / "store"), small_batch(spark, range(8))
+    whole, calls = res._write_table, []
+
+    def dies(table, path, name, attempt):
+        calls.append(name)
+        if name == "risk":
+            raise RuntimeError("lost")
+        whole(table, path, name, attempt)
+
+    monkeypatch.setattr(res, "_write_table", dies)
+    with pytest.raises(RuntimeError):
+        res.write_results(batch, out)
+    assert "evidence" in calls and list((tmp_path / "store" / "evidence").rglob("*.parquet"))
+    with pytest.raises(ValueError):
+        res.read_results(spark, out)
+    monkeypatch.setattr(res, "_write_table", whole)
+    res.write_results(batch, out)
+    first = contents(res.read_results(spark, out))
+    monkeypatch.setattr(res, "_write_table", dies)
+    with pytest.raises(RuntimeError):
+        res.write_results(small_batch(spark, range(8, 12)), out)
+    assert contents(res.read_results(spark, out)) == first and first["risk"] == [0, 1, 2, 4, 5, 6]
+    monkeypatch.setattr(res, "_write_table", whole)
+    monkeypatch.setattr(res, "_put", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        res.write_results(small_batch(spark, range(8, 12)), out)
+    assert contents(res.read_results(spark, out)) == first
+
+
+def test_repeated_runs_and_newer_runs_of_a_message(spark, tmp_path):
+    out, batch = str(tmp_path / "store"), small_batch(spark, range(8))
+    res.write_results(batch, out)
+    once = contents(res.read_results(spark, out))
+    res.write_results(batch, out)                                     # the job ran again under another name
+    assert contents(res.read_results(spark, out)) == once and same_dashboard(spark, out) == 6
+    newest = res.write_results(small_batch(spark, [2, 4, 20]), out)
+    t = res.read_results(spark, out)
+    assert {r["run"] for r in t["risk"].where("msg_id in (2, 4, 20)").collect()} == {newest}
+    assert contents(t)["risk"] == [0, 1, 2, 4, 5, 6, 20] and same_dashboard(spark, out) == 7
+    assert contents(res.read_results(spark, out, upto=1)) == once     # an older snapshot
+
+
+def test_purge_of_the_store(spark, tmp_path, monkeypatch):
     out = str(tmp_path / "store")
     res.write_results(small_batch(spark, range(24)), out)
-    before = {name: {(r["msg_id"]) for r in t.select("msg_id").collect()} for name, t in res.read_results(spark, out).items()}
+    before = contents(res.read_results(spark, out))
     stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
-    assert res.purge_results(spark, out, spark.createDataFrame([(2,), (2,), (3,), (5,)], "msg_id long"), 0) == 1
-    for name, t in res.read_results(spark, out).items():
-        assert {r["msg_id"] for r in t.select("msg_id").collect()} == before[name] - {2}, name
-    kept = [p for p in stamp if p.exists() and p.stat().st_mtime_ns == stamp[p]]
-    assert 0 < len(kept) < len(stamp)  # days without a purged row keep their files
+    ids = spark.createDataFrame([(2,), (2,), (3,), (5,)], "msg_id long")
+    with monkeypatch.context() as m:
+        m.setattr(res, "_put", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            res.purge_results(spark, out, ids, 0)
+    assert contents(res.read_results(spark, out)) == before and same_dashboard(spark, out) == 18
+    assert res.purge_results(spark, out, ids, 0) == 1 and res.purge_results(spark, out, ids, 0) == 0
+    after = {name: [i for i in rows if i != 2] for name, rows in before.items()}
+    assert contents(res.read_results(spark, out)) == after and same_dashboard(spark, out) == 17
+    assert all(p.stat().st_mtime_ns == at for p, at in stamp.items())  # no result file is touched
+    assert hi.investigation_view(res.read_results(spark, out), 0, 2).count() == 0
+    res.write_results(small_batch(spark, [2]), out)                   # sent again later: there again
+    assert 2 in contents(res.read_results(spark, out))["risk"] and same_dashboard(spark, out) == 18
+
+
+def test_compaction_and_vacuum(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "store")
+    first = res.write_results(small_batch(spark, range(8)), out)
+    res.write_results(small_batch(spark, range(4, 16)), out)
+    res.purge_results(spark, out, spark.createDataFrame([(1,), (9,)], "msg_id long"), 1)
+    whole = contents(res.read_results(spark, out))
+    put, raced = res._put, []
+
+    def beaten(spark_, path, text):                                   # another writer commits while the compaction works
+        if json.loads(text)["kind"] == "compact" and not raced:
+            raced.append(1)
+            monkeypatch.setattr(res, "_put", put)
+            res.purge_results(spark_, out, spark_.createDataFrame([(4,)], "msg_id long"), 0)
+        return put(spark_, path, text)
+
+    monkeypatch.setattr(res, "_put", beaten)
+    res.compact_results(spark, out)
+    assert raced and contents(res.read_results(spark, out)) == {name: [i for i in rows if i != 4] for name, rows in whole.items()}
+    assert same_dashboard(spark, out) == 9 and len(res.snapshot(spark, out).live) == 1 and not res.snapshot(spark, out).tombstones
+    res.write_results(small_batch(spark, [0, 30]), out, first)        # a run that was compacted is written again
+    kept = contents(res.read_results(spark, out))
+    assert kept["risk"] == [0, 5, 6, 8, 10, 12, 13, 14, 30]            # 2 stood in that run only
+    total = same_dashboard(spark, out)
+    assert res.vacuum_results(spark, out, older_than_hours=1) == 0
+    assert res.vacuum_results(spark, out, older_than_hours=-1) > 10
+    assert contents(res.read_results(spark, out)) == kept and same_dashboard(spark, out) == total
+    assert len(list((tmp_path / "store" / "risk").glob("attempt=*"))) == 2
+
+
+def test_two_writers_at_once(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "store")
+    res.write_results(small_batch(spark, range(4)), out)
+    put, raced = res._put, []
+
+    def beaten(spark_, path, text):
+        if not raced:
+            raced.append(1)
+            res.write_results(small_batch(spark_, [2, 6]), out, "other")
+        return put(spark_, path, text)
+
+    monkeypatch.setattr(res, "_put", beaten)
+    res.write_results(small_batch(spark, [2, 5]), out, "mine")
+    t = res.read_results(spark, out)
+    assert contents(t)["risk"] == [0, 1, 2, 5, 6] and t["risk"].where("msg_id = 2").head()["run"] == "mine" and same_dashboard(spark, out) == 5
+
+
+def test_keyed_reads_open_few_row_groups(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    out = str(tmp_path / "store")
+    monkeypatch.setattr(res, "ROW_GROUP", 16 * 1024)
+    texts = spark.range(12_000).select(F.col("id").alias("msg_id"), (F.xxhash64("id") % 200).alias("user_id"), F.lit("Hi Bo, lunch at noon?").alias("text"),
+                                       F.expr("cast(array() as array<string>)").alias("urls"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"))
+    from lureframe.plans.triage import triage
+
+    res.write_results(triage(texts), out)
+    groups = [(g.column(k).statistics, g.column(k).path_in_schema) for f in (tmp_path / "store" / "investigations").rglob("*.parquet")
+              for meta in [pq.ParquetFile(f).metadata] for i in range(meta.num_row_groups) for g in [meta.row_group(i)] for k in range(g.num_columns)
+              if g.column(k).path_in_schema in ("user_id",)]
+    holding = [s for s, _ in groups if s.min <= 77 <= s.max]
+    assert len(groups) >= 20 and len(holding) <= 0.2 * len(groups)
+    own = hi.history(*[res.read_results(spark, out)[t] for t in ("investigations", "risk", "reports")], 77)
+    assert own.count() == texts.where("user_id = 77").count()
+
+
+def test_messages_delivered_again_count_once(spark, tmp_path):
+    from lureframe.plans.triage import triage
+
+    texts = ["Hi Bo, lunch at noon?", "Your card will be blocked, verify your account and reply with the otp 123456 immediately", "see https://bit.ly/x"]
+    rows = [(i, i % 2, texts[i % 3]) for i in range(9)]
+    frame = spark.createDataFrame(rows, "msg_id long, user_id long, text string").withColumns(
+        {"urls": F.expr("cast(array() as array<string>)"), "ts": F.timestamp_seconds(F.col("msg_id") * 3600 + 1_700_000_000)})
+    frame.unionByName(frame.where("msg_id < 3")).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))     # twice in one batch
+    frame.where("msg_id >= 2").coalesce(1).write.parquet(str(tmp_path / "in" / "b"))                       # and in the next
+    res.write_results(triage(frame), str(tmp_path / "batch"), "r")
+    plain = lambda path: {name: sorted(str([v for v in r.asDict().items() if v[0] not in ("run", "at", "day")]) for r in t.collect())
+                          for name, t in res.read_results(spark, path).items()}
+    batch = plain(str(tmp_path / "batch"))
+    for k, redelivery in enumerate((None, "30 days")):
+        stream = spark.readStream.schema(frame.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{k}")
+        triage_stream.score_stream(stream, out, str(tmp_path / f"cp{k}"), once=True, redelivery=redelivery).awaitTermination()
+        assert plain(out) == batch, redelivery
+        dead = res.snapshot(spark, out).tombstones
+        assert bool(dead) == (redelivery is None)
+
+
+def test_entry_without_the_training_data_folders(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("__spark_entry__.py", "oracles", "lureframe", "corpus_pipeline.py"):
+        if os.path.exists(f"{here}/{name}"):
+            (shutil.copytree if os.path.isdir(f"{here}/{name}") else shutil.copy)(f"{here}/{name}", f"{tmp_path}/{name}")
+    shutil.rmtree(tmp_path / "lureframe" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q); print(len(e.oracle_sql()))"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
