@@ -26,8 +26,8 @@ from .common import stored
 
 #: Anchors that a task holds, anchors and rows that meet at a time, dimensions of a posting list.
 ANCHORS, TILE, ROWS, GROUP = 16_384, 512, 4096, 8
-#: Rows of a block; a smaller table has two blocks a shuffle partition.
-BLOCK_ROWS = 1_000_000
+#: Rows of a block; a smaller table has two blocks a shuffle partition, if they get as many rows as the second figure.
+BLOCK_ROWS, LEAST_ROWS = 1_000_000, 512
 #: First threshold as a share of the norms' product, what it is lowered by, and the share below which a window goes to its floor.
 FIRST, LOWER, LEAST = 0.5, 0.6, 0.05
 NONE = -(2**63)
@@ -65,10 +65,8 @@ def threshold_join(a, x, t):
 
     xr, ar = rests(energy), rests(np.square(a, dtype=np.float64))
     least, steps = t.min(), len(cuts) - 1
-    reach = xr * ar.max(1)[:, None] >= least if least > 0 else np.ones(xr.shape, bool)
-    reach[steps] = False
-    depth = steps - np.argmax(reach[::-1], axis=0)          # groups that the index holds of a row
-    depth[~reach.any(0)] = 0                                # cannot reach the threshold at all
+    reach = xr[:steps] * ar[:steps].max(1)[:, None] >= least if least > 0 else np.ones((steps, len(x)), bool)
+    depth = reach.sum(0)                                    # groups that the index holds of a row; 0: it cannot reach the threshold at all
     rows = np.argsort(-depth, kind="stable")
     rows = rows[:np.count_nonzero(depth)] if least > 0 else rows
     x, xr, depth = x[rows], xr[:, rows], depth[rows]
@@ -136,7 +134,7 @@ class Windows:
         norm = norm[self.owner]
         full = self.score[:, -1] != NONE
         start = np.maximum(np.minimum(FIRST * norm, self.ceiling), self.floor)
-        bar = np.where(full, self.score[:, -1].astype(np.float64), start)
+        bar = np.nextafter(np.where(full, self.score[:, -1].astype(np.float64), start), -np.inf)  # never above the whole number meant
         while len(todo):
             owners, place = np.unique(self.owner[todo], return_inverse=True)
             t = np.full(len(owners), np.inf)
@@ -160,12 +158,13 @@ class Windows:
             w, s, ids = (np.concatenate(p) for p in (w_all, s_all, id_all))
             held = np.count_nonzero(self.score[todo] != NONE, axis=1)
             enough = held + np.bincount(w, minlength=len(self.owner))[todo] >= self.k
-            done = enough | (bar[todo] <= self.floor[todo]) | np.isneginf(bar[todo])
+            done = enough | (bar[todo] <= self.floor[todo])
             ended = np.zeros(len(self.owner), bool)
             ended[todo[done]] = True
             self.take(w[ended[w]], s[ended[w]], ids[ended[w]])
             more = todo[~done]
-            bar[more] = np.where(LOWER * bar[more] > np.maximum(self.floor[more], LEAST * norm[more]), LOWER * bar[more], self.floor[more])
+            lower = LOWER * bar[more]
+            bar[more] = np.where(lower > np.maximum(self.floor[more], LEAST * norm[more]), lower, np.nextafter(self.floor[more].astype(np.float64), -np.inf))
             todo = more
 
 
@@ -191,8 +190,8 @@ def _searcher(k: int, same: bool):
             ids, labels = (cat.column(c).to_numpy() for c in ("id", "label"))
             windows = cat.column("windows").to_pylist()
             owner = np.array([n for n, w in enumerate(windows) for _ in w or ()], np.int64)
-            low, high = (np.array([float("-inf" if lo else "inf") if v[name] is None else v[name] for w in windows for v in w or ()], np.float64)
-                         for name, lo in (("floor", True), ("ceiling", False)))
+            low, high = (np.array([open_end if v[name] is None else v[name] for w in windows for v in w or ()], np.int64)
+                         for name, open_end in (("floor", NONE + 1), ("ceiling", -NONE - 1)))
             number = np.array([v["number"] for w in windows for v in w or ()], np.int64)
             numbers = whole_numbers(_matrix(cat.column("vec").combine_chunks()))
             return ids, labels, numbers, cat.column("key").to_numpy(), Windows(owner, low, high, k), number
@@ -250,7 +249,8 @@ _WINDOWS = "array<struct<number:int,floor:bigint,ceiling:bigint>>"
 def _filled(rows: DataFrame, asking: DataFrame, n_rows: int, n_anchors: int, k: int, same: bool) -> DataFrame:
     """key, number (of the window), id, score, rank: the first ``k`` rows of each window of ``asking`` (key, id, label, vec, dim, windows)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks, shares = max(2 * parts, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_anchors // ANCHORS))
+    blocks = max(1, -(-n_rows // BLOCK_ROWS), min(2 * parts, n_rows // LEAST_ROWS))
+    shares = max(1, -(-n_anchors // ANCHORS))
 
     def numbers(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -296,9 +296,8 @@ def mine_hard_negatives(vectors: DataFrame, anchors: Column | None = None, posit
     whole = F.array(F.struct(F.lit(0).alias("number"), F.lit(None).cast("long").alias("floor"), F.lit(None).cast("long").alias("ceiling")))
     found = stored(_filled(rows, asking.withColumn("windows", whole), n_rows, n_anchors, positives, True).select(
         "key", F.col("rank").alias("number"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
-    # ceil and floor of integer quotients by the remainder that is never negative
-    floor = F.expr(f"cast(({low} * positive_score + pmod(-{low} * positive_score, 100)) div 100 as bigint)")
-    ceiling = F.expr(f"cast(({high} * positive_score - pmod({high} * positive_score, 100)) div 100 as bigint)")
+    share = F.col("positive_score").cast("decimal(25,0)") / 100
+    floor, ceiling = F.ceil(share * low).cast("long"), F.floor(share * high).cast("long")
     opened = found.where(floor <= ceiling).groupBy("key").agg(F.collect_list(F.struct("number", floor.alias("floor"), ceiling.alias("ceiling"))).alias("windows"))
     hard = _filled(rows, asking.join(opened, "key"), n_rows, n_anchors, negatives, False)
     named = hard.select("key", "number", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
