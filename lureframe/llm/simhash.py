@@ -306,7 +306,8 @@ def fingerprint_components(docs: DataFrame, width: int = 3, threshold: int = 3,
         raise ValueError("two pieces of 31 bits cover 3 differing bits")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = stored(fingerprints(rows, width, keep=["doc_id"]).select("doc_id", "f0"), "prints")
-    points = stored(prints.groupBy("f0").agg(F.min("doc_id").alias("first")), "points")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = stored(prints.groupBy("f0").agg(F.min("doc_id").alias("first")).repartition(parts, "f0"), "points")  # many tasks make anchor rows
     found = links(points.select(F.col("f0").alias("node"), F.lit(0).cast("long").alias("n"), "f0"), 1, 5, threshold)
     roots = components(found)
     named = points.join(roots, points["f0"] == roots["node"], "left").select("f0", "first", F.coalesce("root", "f0").alias("root"))
