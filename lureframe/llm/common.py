@@ -1,6 +1,7 @@
 """Helpers shared by the operators: words, row keys, derived tables, caches of worker processes."""
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -28,9 +29,11 @@ def row_keys(*cols: str) -> list[Column]:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; where that is unset (tests) a temporary folder becomes the setting."""
+    """A fresh path below spark.checkpoint.dir; where that is unset in local mode (tests) a temporary folder becomes the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = tempfile.mkdtemp(prefix="lureframe-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"

@@ -21,11 +21,14 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes + OVERHEAD; null text: OVERHEAD), text_crc32 (null text: 0), vslot.  A null id has a slot too."""
+    """doc_id, size (UTF-8 bytes + OVERHEAD; null text: OVERHEAD), text_crc32 (null text: 0), vslot.
+
+    A row without an id goes by its text, so that such rows do not share one slot.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col(id_col), slots).alias("vslot"))
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(F.when(F.col(id_col).isNotNull(), slot_of(F.col(id_col), slots)), slot_of(text, slots)).alias("vslot"))
 
 
 def slot_weights(recs: DataFrame) -> dict[int, tuple[int, int]]:

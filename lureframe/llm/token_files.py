@@ -4,7 +4,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import simple8b
 from .tokens import encoder, slices_of
@@ -15,17 +15,18 @@ SHARD_IDS = 1 << 20
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, partitions: int | None = None,
                       id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``path``/part-PPPPP-NNNNNN.ls8b and a manifest table: documents ascend by id inside a file and over the files in name order.
+    """Write ``path``/part-P-N.ls8b (ten digits each) and a manifest table: documents ascend by id inside a file and over the files by (P, N).
 
-    Rows are dealt by ranges of the id, and a task encodes its range as it writes it.  A file appears under its name when it is whole,
+    Rows are dealt by ranges of the id and a hash of the text, so that rows which share an id or have none spread over tasks, and a
+    task encodes its range as it writes it.  A file appears under its name when it is whole,
     and a task that runs again writes the same bytes to the same names, so lost executors do no harm.  A null id comes first; rows that
-    share an id stay together, ordered by text.  Null text: the end id alone.  ``path`` is a folder that all executors share.
+    share an id stand in a row, ordered by that hash and the text.  Null text: the end id alone.  ``path`` is a folder that all executors share.
     """
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator) -> Iterator:
         import uuid
@@ -42,7 +43,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         def close():
             nonlocal held, made
             data = simple8b.pack_shard([k or 0 for k in keys], [k is not None for k in keys], sizes, np.frombuffer(b"".join(ids), "<u4"))
-            name = f"part-{part:05d}-{made:06d}.ls8b"
+            name = f"part-{part:010d}-{made:010d}.ls8b"
             aside = f"{folder}/_{name}-{uuid.uuid4().hex[:8]}"
             with files.open_output_stream(aside) as out:
                 out.write(data)
@@ -96,13 +97,17 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 def token_ranges(rows: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 of rows read back.
 
-    Files are summed first and those sums (one row per file, some MB of ids each) are added up in file order; inside a file
-    a window adds the documents up.
+    Sums go from documents to files to parts, and back: a window adds up the parts (a row each), one per part its files, one
+    per file its documents.
     """
     from pyspark.sql import Window
 
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = files.select("file", before.alias("before"))
+    def before(what: str, window) -> Column:
+        return F.coalesce(F.sum(what).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    number = [F.regexp_extract("file", r"part-(\d+)-(\d+)", k).cast("long").alias(c) for k, c in ((1, "part"), (2, "number"))]
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids")).select("file", "ids", *number)
+    parts = files.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", before("ids", Window.orderBy("part")).alias("base"))
+    starts = files.join(parts, "part").select("file", (F.col("base") + before("ids", Window.partitionBy("part").orderBy("number"))).alias("before"))
+    inside = before("n_tokens", Window.partitionBy("file").orderBy("at"))
     return rows.join(starts, "file").select("doc_id", (F.col("before") + inside).alias("start"), "n_tokens", "ids_crc32")
