@@ -207,7 +207,7 @@ def write_results(triaged: DataFrame, path: str, run: str | None = None, *, weig
     batch = spark.read.schema(triaged.schema).parquet(staged)
     schemas = {}
     for name, table in {**result_tables(batch, weights), **_index_tables(batch)}.items():
-        _write_table(table.withColumn("run", F.lit(run)), path, name, attempt)
+        _write_table(table, path, name, attempt, run)
         schemas[name] = table.drop("day").schema.json()
 
     def prepare(now: Snapshot) -> dict:
@@ -215,9 +215,8 @@ def write_results(triaged: DataFrame, path: str, run: str | None = None, *, weig
         dead = 0
         if others:
             before = Snapshot(now.number, others, now.runs, now.tombstones, now.schemas)
-            mine = spark.read.parquet(f"{path}/{INDEX}/attempt={attempt}") if _has_rows(spark, f"{path}/{INDEX}/attempt={attempt}") else None
-            if mine is not None:
-                dead = _write_tombstones(spark, path, _rows(spark, path, INDEX, before).join(_ids(mine), "msg_id", "left_semi"), attempt)
+            mine = spark.read.schema(T.StructType.fromJson(json.loads(schemas[INDEX]))).parquet(f"{path}/{INDEX}/attempt={attempt}")
+            dead = _write_tombstones(spark, path, _rows(spark, path, INDEX, before).join(_ids(mine), "msg_id", "left_semi"), attempt)
         return {"kind": "write", "run": run, "attempt": attempt, "dead": dead, "schemas": schemas}
 
     _commit(spark, path, prepare)
@@ -226,26 +225,22 @@ def write_results(triaged: DataFrame, path: str, run: str | None = None, *, weig
     return run
 
 
-def _has_rows(spark: SparkSession, folder: str) -> bool:
-    place = _place(spark, folder)
-    return any(s.isDirectory() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place))
-
-
-def _write_table(table: DataFrame, path: str, name: str, attempt: str) -> None:
-    """Files by run and day: rows with an owner are ranged by owner and time, others ordered by message within files of even size.
+def _write_table(table: DataFrame, path: str, name: str, attempt: str, run: str | None = None) -> None:
+    """Files by run (the given one, else by column) and day: rows with an owner are ranged by owner and time, others ordered by message.
 
     Row groups then hold few owners, and a bloom filter tells whether one holds a message, so a keyed read skips most of them.
     """
+    folders = ["day"] if run else ["run", "day"]
     if "user_id" in table.columns and name != SUMMARY:
-        order = [c for c in ("run", "day", "user_id", "ts", "msg_id") if c in table.columns]
+        order = [*folders, *(c for c in ("user_id", "ts", "msg_id") if c in table.columns)]
         dealt = table.repartitionByRange(*order).sortWithinPartitions(*order)
     else:
-        order = ["run", "day", *(["msg_id"] if "msg_id" in table.columns else [])]
-        dealt = table.hint("rebalance", "run", "day").sortWithinPartitions(*order)
-    writer = dealt.write.partitionBy("run", "day")
+        order = [*folders, *(["msg_id"] if "msg_id" in table.columns else [])]
+        dealt = table.hint("rebalance", *folders).sortWithinPartitions(*order)
+    writer = dealt.write.partitionBy(*folders)
     if "msg_id" in table.columns:
         writer = writer.option("parquet.bloom.filter.enabled#msg_id", "true").option("parquet.bloom.filter.adaptive.enabled#msg_id", "true")
-    writer.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{name}/attempt={attempt}")
+    writer.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{name}/attempt={attempt}" + (f"/run={run}" if run else ""))
 
 
 def purge_results(spark: SparkSession, path: str, ids: DataFrame, user_id, days: tuple[str, str] | None = None) -> int:

@@ -368,14 +368,14 @@ def s7(spark, d):
     return res.weights_table(spark, r.select(F.when(k == 0, "url_risk").when(k == 1, "urgency").otherwise(F.col("r_name")).alias("channel"), ((k + 1) / F.lit(10.0)).alias("weight")))
 
 
-@register("x1_score_stream", q("SELECT level, count(*) AS n FROM scored GROUP BY level", "scored"))
+@register("x1_score_stream", q(stored_sql("TRUE"), *STORED_CTES, **STORED_FROM))
 def x1(spark, d):
     arrived, path, mark = res.shared_folder(spark, "arrived"), res.shared_folder(spark, "stream"), res.shared_folder(spark, "mark")
     stages(spark, d).messages.write.parquet(arrived)
     arriving = spark.readStream.schema(stages(spark, d).messages.schema).parquet(arrived)
     run = triage_stream.score_stream(arriving, path, mark, once=True, with_report=True)
     run.awaitTermination()
-    return res.read_results(spark, path)["risk"].groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return table_sizes(res.read_results(spark, path))
 
 
 @register("x2_submission_rate", """SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent,

@@ -391,11 +391,11 @@ def test_a_run_is_visible_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     out, batch = str(tmp_path / "store"), small_batch(spark, range(8))
     whole, calls = res._write_table, []
 
-    def dies(table, path, name, attempt):
+    def dies(table, path, name, *attempt):
         calls.append(name)
         if name == "risk":
             raise RuntimeError("lost")
-        whole(table, path, name, attempt)
+        whole(table, path, name, *attempt)
 
     monkeypatch.setattr(res, "_write_table", dies)
     with pytest.raises(RuntimeError):
@@ -550,3 +550,56 @@ def test_entry_without_the_training_data_folders(tmp_path):
     shutil.rmtree(tmp_path / "lureframe" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q); print(len(e.oracle_sql()))"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def test_terms_by_table_equal_the_regex(spark):
+    from lureframe.operators import signals, terms
+    from lureframe.operators.entities import brand_terms
+
+    every = sorted(set(lx.DEFAULT.terms()) | set(brand_terms(lx.DEFAULT)))
+    rng = random.Random(8)
+    bodies = [" ".join(rng.choice([*every, "x", "of", "Pay-pal", "..."]) + rng.choice(["", "", "s", ".", "!", " - "]) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    bodies += ["", None, "  ", "a\\Eb", "verify" * 300, "VERIFY your ACCOUNTé", "₿₿ now"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "msg_id long, body string")
+    scanned = signals.scan_terms(df.where("body is not null"))
+    want = {(r["msg_id"], t) for r in scanned.select("msg_id", "hits").collect() for t in r["hits"]}
+    dim = spark.createDataFrame([(t,) for t in [*every, "no such term at all", " ", None]], "term string")
+    low = scanned.select("msg_id", "lower_body")
+    for options in ({}, dict(small=0)):
+        found = [tuple(r) for r in terms.find_terms(low, dim, **options).collect()]
+        assert set(found) == want and len(found) == len(want), options
+    odd = spark.createDataFrame([("a\\eb",), ("₿",), ("vers",)], "term string")
+    assert sorted(tuple(r) for r in terms.find_terms(low, odd).collect()) == [(153, "a\\eb"), (156, "₿")]
+    index = {r["term"]: r["token"] for r in terms.term_index(low, spark.createDataFrame([("of verify",), ("verify",), ("zzz verify",)], "term string")).collect()}
+    counts = {t: sum(t in re.findall("[a-z0-9]+", (b or "").lower()) for b in bodies) for t in ("of", "verify")}
+    assert index == {"of verify": min(counts, key=counts.get), "verify": "verify"}
+
+
+def test_nearest_names_against_all_pairs(spark):
+    from lureframe.operators import terms
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 8))) for _ in range(200)]
+    names, brands = sorted(set(words[:120]) | {"x" * 5000}), list(dict.fromkeys(w for w in words[80:] if w))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i, *row[1:]], row
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return row[-1]
+
+    want = {}
+    for name in names:
+        near = [(d, -k, b) for k, b in enumerate(brands) if abs(len(name) - len(b)) < 3 for d in [edits(name, b)] if d <= 2]
+        if near:
+            want[name] = min(near)[2]
+    dim = spark.createDataFrame([(b, k) for k, b in enumerate(brands)], "key string, ord int")
+    got = {r["name"]: r["brand"] for r in terms.nearest_name(spark.createDataFrame([(x,) for x in names], "name string"), dim).collect()}
+    assert got == want
+    many = spark.range(100_000).select(F.concat(F.lit("brand"), F.conv(F.col("id"), 10, 36)).alias("key"), F.col("id").alias("ord"))
+    asked = spark.createDataFrame([("BRAND7PS",), ("brandzz9x",), ("nothing like it",), ("brand 1",)], "name string")
+    alias = spark.createDataFrame([("nothing like it", "other")], "alias string, key string")
+    found = {r["name"]: r["brand"] for r in terms.fuzzy_brand_by_table(asked, many.withColumn("key", F.lower("key")), alias).collect()}
+    assert found["BRAND7PS"] == "brand7ps" and found["nothing like it"] == "other" and found["brand 1"].startswith("brand")
