@@ -1,5 +1,8 @@
 """DuckDB counterparts of the queries that SQL can express."""
 
+from ..lexicon import MULTI_SUFFIXES
+
+_SUFFIXES = ", ".join(f"'{x}'" for x in MULTI_SUFFIXES)
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _BLANKS = r"'[\x20\x09-\x0D]'"
 
@@ -36,10 +39,11 @@ v as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
 l as (select doc_id page_id, count(*) n, sum(case when quality = 0 or toxic = 1 then 1 else 0 end) bad from labels
     where quality = 0 or toxic = 1 or (quality is not null and toxic is not null) group by doc_id),
 h0 as (select host, coalesce(sum(n), 0)::double n, coalesce(sum(bad), 0)::double bad from v left join l using (page_id) group by host),
-two as (select *, array_to_string(string_split(host, '.')[-2:], '.') t2, array_to_string(string_split(host, '.')[-3:], '.') t3,
-    string_split(host, '.')[-1] t1 from h0),
-hosts as (select host, n, bad, case when t2 in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz') then t3 else t2 end domain,
-    case when t2 in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz') then t2 else t1 end suffix from two),
+bare as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') name from h0),
+two as (select *, array_to_string(string_split(name, '.')[-2:], '.') t2, array_to_string(string_split(name, '.')[-3:], '.') t3,
+    string_split(name, '.')[-1] t1, regexp_full_match(name, '[0-9]+([.][0-9]+){{3}}') or starts_with(name, '[') address from bare),
+hosts as (select host, n, bad, case when address then name when t2 in ({_SUFFIXES}) then t3 else t2 end domain,
+    case when address then 'ip' when t2 in ({_SUFFIXES}) then t2 else t1 end suffix from two),
 domains as (select domain, suffix, sum(n) n, sum(bad) bad from hosts group by all),
 suffixes as (select suffix, 0 everything, sum(n) n, sum(bad) bad from domains group by suffix),
 {_weight("ws", "suffixes", "everything")},

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..lexicon import MULTI_SUFFIXES
+from .common import stored
+
 #: (host/path, verdict): fits the host and its subdomains where the path starts with the rule's.
 Rule = tuple[str, str]
-#: Suffixes of two labels; others have one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
 #: z of a one-sided 95 % bound, and the bad rate above which a host is blocked.
 Z, BAD_RATE = 1.645, 0.5
 #: Prior weights, in pseudo-outcomes, are kept in this range.
@@ -34,14 +35,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """The host without user-info and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^[0-9]+(\.[0-9]+){3}$") | name.startswith("[")
+
+
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    """The last label, or the last two where they are a known suffix; 'ip' for an address."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_is_address(name), "ip").when(two.isin(MULTI_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    """The suffix and one label before it; an address is its own domain."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_is_address(name), name).when(two.isin(MULTI_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -116,7 +130,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], bad
     Rows that repeat stay; other columns of ``pages`` are not looked at.
     """
     host, path = F.col("host"), F.col("path")
-    scores = reputation(host_outcomes(pages, outcomes, page_id, url)).drop("n", "bad")
+    scores = reputation(stored(host_outcomes(pages, outcomes, page_id, url), "hosts")).drop("n", "bad")  # read once per level
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     return rows.join(scores, "host").withColumn("_rule", rule_of(host, path, rules)).select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"), "posterior_mean", "posterior_low",
