@@ -1,12 +1,16 @@
 """Main text of web pages by differencing with the pages of nearest URL.
 
 A page is cut into lines of text, one per block element.  Pages of a host are
-ordered by URL path; each page meets its two neighbours, their lines are aligned
-by longest common subsequence, and lines that both have belong to the template.
-Lines that carry the mark-up of menus, footers, adverts and the like are template
-slots: they align by what they are, not by what they say, and never count as
-article.  Plain paragraphs inside a declared article are protected, since there
-an equal line is a quotation or a copy.
+ordered by URL path; each page meets the nearest page before and after it that is not a
+copy of it, their lines are aligned by longest common subsequence, and lines that both
+have belong to the template and are deleted.  Lines in an element whose class or id names a
+menu, an advert and the like align by that name, whatever they say, and an element goes
+if one of its lines has a partner.  Plain paragraphs inside a declared article are protected,
+since there an equal line is a quotation or a copy.
+
+Mark-up decides without alignment in two cases only: elements that HTML itself defines as
+navigation, footer, aside, form, dialog or head go always, and on a page without a
+neighbour to compare with, named elements of short lines and what lies outside the article go.
 """
 from __future__ import annotations
 
@@ -21,10 +25,15 @@ from .common import if_small, row_keys, stored
 from .tokens import slices_of
 from .url_reputation import host_of, path_of
 
-#: Kinds of lines: plain line of a declared article, line that differencing may delete, template slot.
-PLAIN, OPEN, SLOT = 0, 1, 2
-#: A neighbour that shares more than this part of a page's open text is a copy of it and says nothing about the template.
-COPY = 0.8
+#: Kinds of lines: plain line of a declared article, line that differencing may delete, line of a named template slot, line of an
+#: element that HTML defines as no article, line outside the declared article.
+PLAIN, OPEN, SLOT, TAGGED, OUTSIDE = 0, 1, 2, 3, 4
+#: A page of which a neighbour has more than this part of all text outside slots is a copy of it: it says nothing about the template.
+COPY = 0.95
+#: Pages back that are looked at for one that is no copy.
+BACK = 8
+#: Characters of a line, on average, from which a named element without any neighbour to tell is taken for text.
+TEXT_LINE = 120
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 #: The same without regard to quotes, from the first tag on whose quotes do not close.
@@ -54,10 +63,8 @@ ARTICLE_WORDS = frozenset("article post entry story content main body".split())
 
 def slot_name(tag: str, attributes: str, inside: bool) -> str | None:
     """The template slot that an element opens; inside an article a header belongs to it."""
-    if tag in SLOT_TAGS:
-        return SLOT_TAGS[tag]
-    if tag == "header" and not inside:
-        return "header"
+    if tag in SLOT_TAGS or tag == "header" and not inside:
+        return f"<{SLOT_TAGS.get(tag, tag)}>"
     if not attributes or tag in ("main", "body", "html"):
         return None
     words = [w.lower() for a in ATTRIBUTE.findall(attributes) for w in TOKEN.findall(a)]
@@ -87,7 +94,7 @@ def lines_of(page: str) -> list[tuple[str, int, str]]:
             if text:
                 top = next((t for t in reversed(stack) if t[0] in BLOCK), None)
                 plain = inside and top is not None and (top[0] in TEXT_BLOCK or not top[2])
-                out.append([text, SLOT if slot else PLAIN if plain else OPEN, slot or "", inside])
+                out.append([text, (TAGGED if slot[0] == "<" else SLOT) if slot else PLAIN if plain else OPEN, slot or "", inside])
 
     def close_from(k):
         nonlocal slot, inside
@@ -144,7 +151,7 @@ def lines_of(page: str) -> list[tuple[str, int, str]]:
                 if t in BLOCK:
                     break
         mark = slot_name(tag, m[3], inside)
-        if tag in ("article", "main") and not mark and slot in ("menu", "header", "advert", "notice"):
+        if tag in ("article", "main") and not mark and (slot or "").strip("<>") in ("menu", "header", "advert", "notice"):
             # an article does not stand in a menu or advert: those were left open
             close_from(next(k for k, t in enumerate(stack) if t[1]))
         if mark and not block:
@@ -153,9 +160,10 @@ def lines_of(page: str) -> list[tuple[str, int, str]]:
         stack.append((tag, mark, bool(m[3] and ATTRIBUTE.search(m[3])), slot, inside))
         count[tag] = count.get(tag, 0) + 1
     flush()
-    declared = any(line[3] and line[1] != SLOT for line in out)
-    # where the page says which part is its article, the rest is not
-    return [(t, SLOT if declared and not within else kind, s or ("outside" if declared and not within else "")) for t, kind, s, within in out]
+    # the article is declared if it holds most of the text outside slots: a teaser does not declare one
+    text = [(line[3], len(line[0])) for line in out if line[1] in (PLAIN, OPEN)]
+    declared = sum(n for within, n in text if within) >= max(1, sum(n for within, n in text if not within))
+    return [(t, OUTSIDE if declared and not within and kind in (PLAIN, OPEN) else kind if declared or kind != PLAIN else OPEN, s) for t, kind, s, within in out]
 
 
 def line_keys(lines: list[tuple[str, int, str]]) -> list[int]:
@@ -165,7 +173,7 @@ def line_keys(lines: list[tuple[str, int, str]]) -> list[int]:
     seen: dict[str, int] = {}
     out = []
     for text, kind, slot in lines:
-        name = "\0" + slot if kind == SLOT else text
+        name = "\0" + slot if kind in (SLOT, TAGGED) else text
         seen[name] = seen.get(name, 0) + 1
         out.append(xxhash.xxh64_intdigest(f"{seen[name]}\0{name}") - 2**63)
     return out
@@ -197,11 +205,35 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_open(a: dict, b: dict) -> list[int]:
-    """Open lines of page ``a`` that its neighbour ``b`` shares; none if ``b`` is a copy of it."""
-    shared = [i for i in common_lines(a["keys"], b["keys"]) if a["kinds"][i] == OPEN]
-    whole = sum(n for n, k in zip(a["sizes"], a["kinds"]) if k == OPEN)
-    return [] if sum(a["sizes"][i] for i in shared) > COPY * whole else shared
+def shared_lines(a: dict, b: dict) -> list[int] | None:
+    """Lines of page ``a`` that its neighbour ``b`` has at an aligned place, but for protected ones; None if ``b`` is a copy of it."""
+    shared = common_lines(a["keys"], b["keys"])
+    text = (PLAIN, OPEN, OUTSIDE)
+    whole = sum(n for n, k in zip(a["sizes"], a["kinds"]) if k in text)
+    if whole and sum(a["sizes"][i] for i in shared if a["kinds"][i] in text) > COPY * whole:
+        return None
+    return [i for i in shared if a["kinds"][i] != PLAIN]
+
+
+def text_lines(lines: list[tuple[str, int, str]], aligned: set[int] | None) -> tuple[list[str], int, int]:
+    """The lines that stay, and how many went because a neighbour has them and by mark-up alone; ``aligned`` is None without a neighbour."""
+    kept, by_neighbour, by_markup, at = [], 0, 0, 0
+    while at < len(lines):
+        _, kind, slot = lines[at]
+        end = at + 1
+        if kind in (SLOT, TAGGED):  # the element as a whole
+            while end < len(lines) and lines[end][1:] == (kind, slot):
+                end += 1
+        met = aligned is not None and not aligned.isdisjoint(range(at, end))
+        alone = aligned is None and (kind == OUTSIDE or kind == SLOT and sum(len(x[0]) for x in lines[at:end]) < TEXT_LINE * (end - at))
+        if met:
+            by_neighbour += end - at
+        elif kind == TAGGED or alone:
+            by_markup += end - at
+        else:
+            kept += [x[0] for x in lines[at:end]]
+        at = end
+    return kept, by_neighbour, by_markup
 
 
 def _line_rows(batches: Iterator) -> Iterator:
@@ -228,6 +260,7 @@ def _pairs(batches: Iterator, borders: bool) -> Iterator:
     names = ["k1", "k2", "host", "path", "keys", "kinds", "sizes"]
     dels: list = []
     before, first = None, None
+    recent: list = []  # the last pages of the host, each with whether it has met a later one
     edge: list = []
 
     def out(rows, kept):
@@ -240,11 +273,22 @@ def _pairs(batches: Iterator, borders: bool) -> Iterator:
         for row in b.select(names if borders else [*names, "side"]).to_pylist():
             if before is None:
                 first = row
-            elif before["host"] == row["host"] and (borders or (before["side"], row["side"]) == (1, 0)):
-                for x, y in ((before, row), (row, before)):
-                    gone = shared_open(x, y)
-                    if gone:
-                        dels.append((x["k1"], x["k2"], gone))
+            if before is not None and before["host"] != row["host"] or not borders and (before is None or (before["side"], row["side"]) != (1, 0)):
+                recent = []
+            found = False  # a page before this one that is no copy of it
+            for seen in reversed(recent):
+                if found and seen[1]:
+                    continue
+                x = seen[0]
+                for mine, other in ((row, x),) * (not found) + ((x, row),) * (not seen[1]):
+                    gone = shared_lines(mine, other)
+                    if gone is not None:
+                        dels.append((mine["k1"], mine["k2"], gone))
+                        if mine is row:
+                            found = True
+                        else:
+                            seen[1] = True
+            recent = [*recent[1 - BACK:], [row, False]]
             before = row
             if len(dels) > 2000:
                 yield out(dels, [])
@@ -259,7 +303,7 @@ _PAIR_ROWS = ("k1 long, k2 long, gone array<int>, host string, path string, keys
 
 
 def template_lines(pages: DataFrame, url: str = "url") -> DataFrame:
-    """k1, k2 and gone (line numbers) of the pages (k1, k2, url, html) that share open lines with a neighbour of their host.
+    """k1, k2 and gone (numbers of the lines that a neighbour has too) of the pages (k1, k2, url, html) that have a neighbour to compare with.
 
     Pages are dealt by ranges of (host, path), so a host with a third of all pages spreads; only line hashes move.  The pairs
     that span two ranges come from the two border rows of each range.
@@ -273,16 +317,16 @@ def template_lines(pages: DataFrame, url: str = "url") -> DataFrame:
     # two rows of each range: sorted again they stand as first, last, first, last; only last-first pairs are neighbours
     borders = found.where("side is not null").select("host", "path", "k1", "k2", "keys", "kinds", "sizes", "side")
     spanning = borders.repartition(1).sortWithinPartitions(*order, "side").mapInArrow(lambda it: _pairs(it, False), _PAIR_ROWS)
-    gone = found.where("side is null").unionByName(spanning).select("k1", "k2", F.explode("gone").alias("line"))
-    return gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    gone = found.where("side is null").unionByName(spanning)
+    return gone.groupBy("k1", "k2").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))  # two neighbours a page
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_template (lines deleted by differencing) of every page row.
+    """page_id, url, text, n_chars, n_template (lines deleted because a neighbour has them), n_markup (by mark-up alone) of every page row.
 
-    The text is what remains when template slots and shared open lines are gone: character references decoded, white space in a
-    block one blank, blocks joined by a line feed.  Null or empty html: empty text.  A page without neighbours loses only its
-    slots.  Rows that repeat give equal results.
+    The text is what remains when the template is gone: character references decoded, white space in a block one blank, blocks joined
+    by a line feed.  Null or empty html: empty text.  Null urls are one host without a name.  Very long pages are read in linear
+    time.  Rows that repeat give equal results; other columns are not looked at.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     keyed = rows.select(*row_keys("page_id", "url", "html"), "page_id", "url", "html")
@@ -293,13 +337,14 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         import pyarrow as pa
 
         for b in (s for batch in batches for s in slices_of(batch, 512)):
-            texts, counts = [], []
+            texts, counts = [], ([], [])
             for page, drop in zip(b.column("html").to_pylist(), b.column("gone").to_pylist()):
-                drop = set(drop or ())
-                texts.append("\n".join(t for i, (t, kind, _) in enumerate(lines_of(page)) if kind != SLOT and i not in drop))
-                counts.append(len(drop))
+                kept, *numbers = text_lines(lines_of(page), None if drop is None else set(drop))
+                texts.append("\n".join(kept))
+                for c, n in zip(counts, numbers):
+                    c.append(n)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()),
-                                              pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_template"])
+                                              *[pa.array(c, pa.int64()) for c in counts]], names=["page_id", "url", "text", "n_chars", "n_template", "n_markup"])
 
     kinds = dict(rows.dtypes)
-    return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_template long")
+    return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_template long, n_markup long")

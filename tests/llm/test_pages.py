@@ -14,7 +14,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 
 
 def text_of(page):
-    return "\n".join(t for t, kind, _ in ht.lines_of(page) if kind != ht.SLOT)
+    """A page without a neighbour: mark-up alone decides."""
+    return "\n".join(ht.text_lines(ht.lines_of(page), None)[0])
 
 
 def test_declared_article():
@@ -87,6 +88,27 @@ def test_extract_text(spark):
     assert ht.extract_text(pages.limit(0)).count() == 0
 
 
+def test_alignment_decides_what_goes(spark):
+    long = lambda k: f"Chapter {k} tells at some length what has been tried before, by whom, with which results, and why none of it was enough to end the story."
+    teaser = lambda k: f"<div class='menu'><a>Home</a></div><article><p>Teaser</p></article><div><p>Story {k} begins.</p><p>{long(k)}</p></div><div>Imprint</div>"
+    section = lambda k: f"<h1>Paper {k}</h1><section id='related-work'><p>{long(k)}</p><p>{long(k + 100)}</p></section>"
+    short = lambda k: "".join(f"<div>Template line {i} of the site</div>" for i in range(20)) + f"<div>Story {k} is short, yet longer than a twentieth of the page.</div>"
+    lists = lambda k: "<div class=sidebar>" + "".join(f"<p>entry {k} {i}</p>" for i in range(3 + k % 3)) + f"</div><article><p>{long(k)}</p></article>"
+    rows = [(k, f"http://a.example/{k:02d}", teaser(k)) for k in range(10)] + [(20, "http://lone.example/x", section(20))]
+    rows += [(30 + k, f"http://c.example/{k:02d}", section(30 + k) if k == 4 else f"<h1>Paper {30 + k}</h1><p>{long(30 + k)}</p>") for k in range(9)]
+    rows += [(40 + k, f"http://d.example/{k:02d}", short(40 + k)) for k in range(8)] + [(50 + k, f"http://d.example/03c{k}", short(43)) for k in range(4)]
+    rows += [(60 + k, f"http://e.example/{k:02d}", lists(60 + k)) for k in range(8)]
+    out = {r["page_id"]: r for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(10):
+        assert out[k]["text"] == f"Story {k} begins.\n{long(k)}" and out[k]["n_template"] == 3, out[k]
+    for k in (20, 34):                                       # alone, or alone in having such a section
+        assert out[k]["text"] == f"Paper {k}\n{long(k)}\n{long(k + 100)}"
+    for k in [*range(40, 48), *range(50, 54)]:               # most of the page is template; copies look past each other
+        assert out[k]["text"] == f"Story {43 if k >= 50 else k} is short, yet longer than a twentieth of the page." and out[k]["n_template"] == 20, out[k]
+    for k in range(60, 68):                                  # the element goes as a whole, though its lines differ in number and wording
+        assert out[k]["text"] == long(k) and out[k]["n_markup"] == 0
+
+
 def test_first_and_last_page_of_a_range_are_no_neighbours(spark):
     page = lambda k, more: "".join(f"<div>{x}</div>" for x in [*more, *(f"story {k} line {i} with words of its own" for i in range(4))])
     rows = [(k, f"http://h.example/{k}", page(k, ["far"] if k in (0, 4) else [])) for k in range(5)]
