@@ -293,7 +293,7 @@ STORED_CTES = ("ev", "acc", "scored", "cls", "mu", "brands", "urls1", "emails",
 def stored_sql(where: str) -> str:
     """Rows of all six tables, by name and owner."""
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS name, a.user_id, CAST({what} AS BIGINT) AS n FROM {source} x JOIN (SELECT msg_id, user_id FROM acc) a USING (msg_id) WHERE {where} GROUP BY a.user_id"
+        f"SELECT '{name}' AS name, a.user_id, CAST({what} AS BIGINT) AS n FROM {source} x JOIN (SELECT msg_id, user_id FROM acc) a USING (msg_id) WHERE {where} GROUP BY a.user_id HAVING {what} > 0"
         for name, (source, what) in STORED.items())
 
 
