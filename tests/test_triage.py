@@ -104,3 +104,18 @@ def test_compat_leaves_impersonation_out(spark):
     df = spark.createDataFrame([(1, "PayPal: log in at http://paypal-help.example.org/x", [])], "msg_id int, text string, urls array<string>")
     assert len(triage(df, with_report=False).select("impersonation").head()[0]) == 1
     assert len(triage(df, compat=True, with_report=False).select("impersonation").head()[0]) == 0
+
+
+def test_equal_contents_are_assessed_once_and_every_message_keeps_its_row(spark):
+    from lureframe.plans import triage as plan
+
+    texts = ["Send the code 123456 to verify your account", None, "hello there", ""]
+    rows = [(i, texts[i % 4], [] if i % 8 else ["http://paypa1-login.example/verify"], f"mine {i}" if i % 3 else None, i % 5) for i in range(40)]
+    frame = spark.createDataFrame(rows + rows[:2], "msg_id long, text string, urls array<string>, title string, user_id int")
+    seen = []
+    plan.per_content(frame, lambda c: seen.append(c.count()) or plan.ingest_stage(c))
+    assert seen == [5]
+    once, each = plan.triage(frame), plan._assess(frame, lx.DEFAULT, None, None, None, False, True)
+    assert once.schema.names == each.schema.names
+    as_text = lambda df: sorted(r[0] for r in df.selectExpr("to_json(struct(*))").collect())
+    assert as_text(once) == as_text(each) and len(as_text(once)) == 42
