@@ -5,6 +5,7 @@ from bisect import bisect_right, insort
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,15 +16,19 @@ def submission_rate(df: DataFrame, key: str = "user_id", ts: str = "ts", window_
 
     Counts every submission.  Rows are split into time slots one window long and
     each row is also shown to the next slot, so a client with a huge share of
-    the traffic is spread over as many tasks as it has slots.
+    the traffic is spread over as many tasks as it has slots.  In the next slot a
+    row enters and expires again, so the count is a running sum: linear in the rows, however many a window holds.
     """
     width = window_seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     slotted = df.withColumn("_us", micros).withColumn("_slot", F.floor(F.col("_us") / width))
-    shown = slotted.withColumn("_in", F.explode(F.array("_slot", F.col("_slot") + 1)))
-    w = W.partitionBy(key, "_in").orderBy("_us").rangeBetween(-(width - 1), 0)
-    counted = shown.withColumn("recent", F.count(F.lit(1)).over(w)).where(F.col("_in") == F.col("_slot"))
-    return counted.withColumn("over_limit", F.col("recent") > limit).drop("_us", "_slot", "_in")
+    step = lambda slot, at, by, own: F.struct(slot.alias("slot"), at.alias("at"), F.lit(by).alias("by"), F.lit(own).alias("own"))
+    us, slot = F.col("_us"), F.col("_slot")
+    shown = slotted.where("_us is not null").withColumn("_e", F.explode(F.array(
+        step(slot, us, 1, True), step(slot + 1, us, 1, False), step(slot + 1, us + width, -1, False))))
+    w = W.partitionBy(key, "_e.slot").orderBy("_e.at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    counted = shown.withColumn("recent", F.sum("_e.by").over(w)).where("_e.own")
+    return counted.withColumn("over_limit", F.col("recent") > limit).drop("_us", "_slot", "_e")
 
 
 # -- exact limiter over a table ----------------------------------------------------------------------------------------------
@@ -70,17 +75,27 @@ def _walker(width: int, limit: int):
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, taken = None, deque()
         for rows in chunks:
-            verdicts = []
-            for key, segment, us, asked in zip(rows["_key"], rows["segment"], rows["us"], rows["asked"]):
-                if (key, segment) != at:
-                    at, taken = (key, segment), deque()
-                while taken and us - taken[0] >= width:
-                    taken.popleft()
-                ok = len(taken) < limit
-                if ok:
-                    taken.append(us)
-                verdicts.append(ok)
-            yield rows[["client", "id", "ts"]].assign(accepted=verdicts)[rows["asked"].to_numpy()]
+            keys, segments, us = rows["_key"].to_numpy(), rows["segment"].to_numpy(), rows["us"].to_numpy()
+            ok = np.zeros(len(rows), bool)
+            new = np.flatnonzero((keys[1:] != keys[:-1]) | (segments[1:] != segments[:-1])) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(rows)]):
+                if lo == hi:
+                    continue
+                if (keys[lo], segments[lo]) != at:
+                    at, taken = (keys[lo], segments[lo]), deque()
+                while lo < hi:
+                    now = us[lo]
+                    while taken and now - taken[0] >= width:
+                        taken.popleft()
+                    if len(taken) < limit:
+                        taken.append(now)
+                        ok[lo] = True
+                        lo += 1
+                    elif taken:  # full: nothing is accepted before the oldest leaves
+                        lo += int(np.searchsorted(us[lo:hi], taken[0] + width))
+                    else:
+                        break
+            yield rows[["client", "id", "ts"]].assign(accepted=ok)[rows["asked"].to_numpy()]
 
     return run
 

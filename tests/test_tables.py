@@ -603,3 +603,27 @@ def test_nearest_names_against_all_pairs(spark):
     alias = spark.createDataFrame([("nothing like it", "other")], "alias string, key string")
     found = {r["name"]: r["brand"] for r in terms.fuzzy_brand_by_table(asked, many.withColumn("key", F.lower("key")), alias).collect()}
     assert found["BRAND7PS"] == "brand7ps" and found["nothing like it"] == "other" and found["brand 1"].startswith("brand")
+
+
+def test_dense_client_is_counted_and_walked_in_linear_time(spark):
+    import random
+    import time
+    from collections import deque
+
+    from lureframe.streaming import rate_limit as rl
+
+    rng, n, width, limit = random.Random(5), 60_000, 3_600, 3
+    times = sorted(rng.randrange(0, 2 * width) for _ in range(n))
+    frame = spark.createDataFrame([("c", i, t) for i, t in enumerate(times)], "user_id string, msg_id long, s long").selectExpr("user_id", "msg_id", "timestamp_seconds(s) ts")
+    began = time.time()
+    got = {r["id"]: r["accepted"] for r in rl.limit_batch(frame, window_seconds=width, limit=limit).collect()}
+    took = time.time() - began
+    taken, want = deque(), {}
+    for i, t in enumerate(times):
+        while taken and t - taken[0] >= width:
+            taken.popleft()
+        want[i] = len(taken) < limit
+        if want[i]:
+            taken.append(t)
+    assert got == want
+    assert took < 60
