@@ -1,9 +1,9 @@
 """Phrases, rule keywords and brand names from tables of any size.
 
 The lexicon's few hundred terms are one regex of the plan; a hundred thousand cannot
-be.  Here each term is listed under its rarest token, the tokens of a text are joined to that
-list, and what meets is verified in place.  A term with boundaries at both ends holds only
-whole tokens of the text, so nothing is missed.
+be.  Here each term is listed under its rarest pair of neighbouring tokens (a term of one token under
+that), the tokens and pairs of a text are joined to that list, and what meets is verified in place.  A term with
+boundaries at both ends holds only whole tokens of the text, in the same order, so nothing is missed.
 """
 from __future__ import annotations
 
@@ -21,24 +21,41 @@ def tokens_of(lower: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(lower, F.lit(TOKEN), F.lit(0)))
 
 
+def pairs_of(lower: Column) -> Column:
+    """Neighbouring tokens with what stands between them."""
+    pair = r"((?<![a-z0-9])[a-z0-9]++|[^a-z0-9\s])(?=(\s*+(?:[a-z0-9]++|[^a-z0-9\s])))"
+    parts = lambda group: F.regexp_extract_all(lower, F.lit(pair), F.lit(group))
+    return F.array_distinct(F.zip_with(parts(1), parts(2), lambda a, b: F.concat(a, b)))
+
+
+def keys_of(lower: Column) -> Column:
+    """All that a text's terms may be listed under."""
+    return F.concat(tokens_of(lower), pairs_of(lower))
+
+
 def stands_in(lower: Column, term: Column) -> Column:
     """The term occurs between characters other than ASCII letters and digits."""
     exact = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9])"))
     return lower.contains(term) & F.rlike(lower, exact)
 
 
-def term_index(texts: DataFrame, terms: DataFrame, text: str = "lower_body") -> DataFrame:
-    """token, term: every term under the token of it that the fewest texts hold; terms with a token that no text holds are left out.
+def term_index(texts: DataFrame, terms: DataFrame, text: str = "lower_body", pairs: bool = False) -> DataFrame:
+    """token, term, sure: every term under the token of it that the fewest texts hold; terms with a token that no text holds are left out.
 
-    The tokens of all texts are counted, as far as some term has them.
+    ``pairs``: terms of several tokens stand under pairs of neighbouring tokens instead, which far fewer texts share.
+    The tokens and pairs of all texts are counted, as far as some term has them.  ``sure``: the term is its key, so a text with the key holds it.
     """
-    parts = derived(unnest(terms.select("term").where("term is not null").distinct(), tokens_of(F.col("term")), "term", item="token").select("term", "token"), "term-tokens")
+    of_term, of_text = tokens_of(F.col("term")), tokens_of(F.col(text))
+    if pairs:
+        of_term, of_text = F.when(F.size(pairs_of(F.col("term"))) > 0, pairs_of(F.col("term"))).otherwise(of_term), keys_of(F.col(text))
+    parts = derived(unnest(terms.select("term").where("term is not null").distinct(), of_term, "term", item="token").select("term", "token"), "term-tokens")
     asked = if_small(derived(parts.groupBy("token").agg(F.count(F.lit(1)).alias("terms")), "asked-tokens"))
-    held = unnest(texts, tokens_of(F.col(text)), item="token").select("token")
+    held = unnest(texts, of_text, item="token").select("token")
     counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).join(asked, "token")
     ranked = parts.join(if_small(derived(counts, "token-counts")), "token", "left")
     best = ranked.groupBy("term").agg(F.min_by("token", F.struct("texts", "terms", "token")).alias("token"), F.bool_and(F.col("texts").isNotNull()).alias("possible"))
-    return best.where("possible").select("token", "term")
+    sure = (F.col("term") == F.col("token")) & F.rlike("term", F.lit(r"(?s)^[a-z0-9](.*[a-z0-9])?\z"))
+    return best.where("possible").select("token", "term", sure.alias("sure"))
 
 
 def find_terms(texts: DataFrame, terms: DataFrame, key: str = "msg_id", text: str = "lower_body", small: int = SMALL_ROWS) -> DataFrame:
@@ -46,14 +63,19 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str = "msg_id", text: st
 
     ``terms``: term (lower case).  An index of up to ``small`` rows is broadcast and verified while the text is at hand: no text
     moves.  Beyond, tokens meet the index by a join that cuts frequent tokens in parts, and the texts that have a
-    candidate follow it to be verified.  Terms without a visible character occur nowhere; null texts hold nothing.
+    candidate follow it to be verified, where the key is not the term itself.  Terms without a visible character occur nowhere; null texts hold nothing.
     """
-    index = derived(term_index(texts, terms, text), "term-index")
-    held = unnest(texts, tokens_of(F.col(text)), key, text, item="token")
+    index = derived(term_index(texts, terms, text, pairs=True), "term-index")
+    held = unnest(texts, keys_of(F.col(text)), key, text, item="token")
+    stands = stands_in(F.col(text), F.col("term"))
     if index.count() <= small:
-        return held.join(F.broadcast(index), "token").where(stands_in(F.col(text), F.col("term"))).select(key, "term")
-    met = feed_join(held.select(key, "token"), index, "token", F.col(key), "inner").select(key, "term")
-    return texts.select(key, text).join(met, key).where(stands_in(F.col(text), F.col("term"))).select(key, "term")
+        return held.join(F.broadcast(index), "token").where(F.col("sure") | stands).select(key, "term")
+    meet = lambda part: feed_join(held.select(key, "token"), part, "token", F.col(key), "inner").select(key, "term")
+    found = meet(derived(index.where("sure").select("token", "term"), "sure-terms"))
+    rest = derived(index.where("not sure").select("token", "term"), "open-terms")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(texts.select(key, text).join(meet(rest), key).where(stands).select(key, "term"))
 
 
 def _listed(found: DataFrame, dim: DataFrame, key: str, group: str, name: str) -> DataFrame:

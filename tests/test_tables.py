@@ -605,6 +605,21 @@ def test_nearest_names_against_all_pairs(spark):
     assert found["BRAND7PS"] == "brand7ps" and found["nothing like it"] == "other" and found["brand 1"].startswith("brand")
 
 
+def test_terms_are_listed_under_pairs_of_tokens(spark, tmp_path):
+    from lureframe.operators import terms as tm
+
+    texts = ["pay the fee now", "the  fee", "fee the pay", "a$5 now", "$5 now, pay", "epay the fees", "x", "", "now now now"]
+    listed = ["pay the", "the fee", "the  fee", "$5", "$5 now", "now", "now now", "pay the fee", "5 now, pay", ", ", "x", "feez"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "msg_id long, lower_body string")
+    dim = spark.createDataFrame([(t,) for t in listed], "term string")
+    import re
+    want = {(i, t) for i, x in enumerate(texts) for t in listed if re.search(r"(?<![a-z0-9])" + re.escape(t) + r"(?![a-z0-9])", x) and t.strip()}
+    for small in (100, 0):
+        assert sorted(map(tuple, tm.find_terms(rows, dim, small=small).collect())) == sorted(want)
+    index = {r["term"]: r["token"] for r in tm.term_index(rows, dim, pairs=True).collect()}
+    assert index["pay the"] == "pay the" and index["the  fee"] == "the  fee" and index["now"] == "now"
+
+
 def test_dense_client_is_counted_and_walked_in_linear_time(spark):
     import random
     import time
