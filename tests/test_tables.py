@@ -642,3 +642,15 @@ def test_dense_client_is_counted_and_walked_in_linear_time(spark):
             taken.append(t)
     assert got == want
     assert took < 60
+
+
+def test_a_stored_batch_is_not_staged_again(spark, tmp_path):
+    batch = small_batch(spark, range(12))
+    one, two = str(tmp_path / "staged"), str(tmp_path / "stored")
+    res.write_results(batch, one, "r")
+    res.write_results(batch, two, "r", stored=True)
+    assert not (tmp_path / "stored" / "_staged").exists()
+    a, b = res.read_results(spark, one), res.read_results(spark, two)
+    for name in ("investigations", "evidence", "risk", "reports"):
+        rows = lambda t: sorted(r[0] for r in t.selectExpr("to_json(struct(*))").collect())
+        assert rows(a[name]) == rows(b[name])
