@@ -654,3 +654,11 @@ def test_a_stored_batch_is_not_staged_again(spark, tmp_path):
     for name in ("investigations", "evidence", "risk", "reports"):
         rows = lambda t: sorted(r[0] for r in t.selectExpr("to_json(struct(*))").collect())
         assert rows(a[name]) == rows(b[name])
+
+
+def test_small_files_have_small_bloom_filters(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id * 37 as msg_id", "date'2024-01-01' as day")
+    res._write_table(rows, str(tmp_path), "t", "a1", "r")
+    files = list((tmp_path / "t").rglob("*.parquet"))
+    assert files and all(f.stat().st_size < 300_000 for f in files)
+    assert spark.read.parquet(str(tmp_path / "t")).where("msg_id = 37").count() == 1
