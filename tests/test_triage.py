@@ -119,3 +119,13 @@ def test_equal_contents_are_assessed_once_and_every_message_keeps_its_row(spark)
     assert once.schema.names == each.schema.names
     as_text = lambda df: sorted(r[0] for r in df.selectExpr("to_json(struct(*))").collect())
     assert as_text(once) == as_text(each) and len(as_text(once)) == 42
+
+
+def test_contents_are_dealt_to_two_tasks_a_core_that_stay_apart(spark):
+    from lureframe.plans import triage as plan
+
+    rows = spark.range(200).selectExpr("id as msg_id", "concat('text ', id % 50) as text", "cast(array() as array<string>) as urls")
+    met = plan.per_content(rows, plan.ingest_stage)
+    met.write.format("noop").mode("overwrite").save()
+    assert met.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert met.count() == 200 and met.select("body").distinct().count() == 50
