@@ -106,7 +106,7 @@ def d5(spark, d):
  SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p FROM (
  SELECT probability AS score, count(*) FILTER (WHERE is_scam) AS pos, count(*) FILTER (WHERE NOT is_scam) AS neg FROM ml JOIN acc USING (msg_id) WHERE is_scam IS NOT NULL GROUP BY 1))) ORDER BY f1 DESC, score LIMIT 1""", "ml", "acc"))
 def d6(spark, d):
-    return ds.best_threshold(stages(spark, d).predicted.where("is_scam is not null"), "probability", F.col("is_scam"))
+    return ds.best_threshold(stages(spark, d).outcomes, "probability", F.col("is_scam"))
 
 
 @register("c1_union_evidence", q("SELECT msg_id, CAST(ord AS BIGINT) AS ord, source, signal, severity, round(confidence, 6) AS confidence FROM ev", "ev"))

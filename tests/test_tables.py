@@ -662,3 +662,30 @@ def test_small_files_have_small_bloom_filters(spark, tmp_path):
     files = list((tmp_path / "t").rglob("*.parquet"))
     assert files and all(f.stat().st_size < 300_000 for f in files)
     assert spark.read.parquet(str(tmp_path / "t")).where("msg_id = 37").count() == 1
+
+
+def test_a_staged_batch_has_only_what_the_tables_read(spark, tmp_path):
+    batch = small_batch(spark, range(12))
+    slim = res.stored_columns(batch)
+    assert not {"text", "urls", "body", "hits", "phrases", "matches"} & set(slim.columns)
+    res.write_results(slim, str(tmp_path / "slim"), "r", stored=True)
+    res.write_results(batch, str(tmp_path / "whole"), "r", keep_staged=True)
+    a, b = res.read_results(spark, str(tmp_path / "slim")), res.read_results(spark, str(tmp_path / "whole"))
+    rows = lambda t: sorted(r[0] for r in t.selectExpr("to_json(struct(*))").collect())
+    for name in ("investigations", "evidence", "entities", "risk", "reports"):
+        assert a[name].columns == b[name].columns and rows(a[name]) == rows(b[name])
+    staged = lambda t: spark.read.parquet(f"{tmp_path}/{t}/_staged/run=r").columns
+    assert "body" in staged("whole")
+
+
+def test_evaluation_assesses_the_template_messages_only(spark, monkeypatch):
+    from oracles import registry
+    from lureframe.plans import triage as plan
+
+    seen, whole = [], plan.triage
+    monkeypatch.setattr(registry.plan, "triage", lambda m, **k: seen.append(m) or whole(m, **k))
+    there = registry.Stages(spark, "/root/testdata/sf0.001")
+    judged = there.judged
+    assert seen and seen[0].where("is_scam is null").count() == 0
+    assert judged.count() == there.templates.join(there.body.select("msg_id"), "msg_id").count()
+    assert "stored" not in there._plans and "assessed" not in there._plans
