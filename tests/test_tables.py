@@ -665,7 +665,8 @@ def test_small_files_have_small_bloom_filters(spark, tmp_path):
 
 
 def test_a_staged_batch_has_only_what_the_tables_read(spark, tmp_path):
-    batch = small_batch(spark, range(12))
+    small_batch(spark, range(12)).write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
     slim = res.stored_columns(batch)
     assert not {"text", "urls", "body", "hits", "phrases", "matches"} & set(slim.columns)
     res.write_results(slim, str(tmp_path / "slim"), "r", stored=True)
