@@ -690,3 +690,23 @@ def test_evaluation_assesses_the_template_messages_only(spark, monkeypatch):
     assert seen and seen[0].where("is_scam is null").count() == 0
     assert judged.count() == there.templates.join(there.body.select("msg_id"), "msg_id").count()
     assert "stored" not in there._plans and "assessed" not in there._plans
+
+
+def test_a_store_may_hold_only_the_tables_that_are_read(spark, tmp_path):
+    small_batch(spark, range(12)).write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    rows = lambda t: sorted(r[0] for r in t.drop("run").selectExpr("to_json(struct(*))").collect())
+    out = {name: str(tmp_path / name) for name in ("whole", "some", "none")}
+    for name, tables in (("whole", res.TABLES), ("some", ("risk",)), ("none", ())):
+        slim = res.stored_columns(batch, tables)
+        assert ("evidence" in slim.columns) == (name == "whole")
+        res.write_results(slim, out[name], stored=True, tables=tables)
+        res.write_results(slim.where("msg_id % 3 <> 0"), out[name], tables=tables)
+        res.purge_results(spark, out[name], spark.range(0, 6).withColumnRenamed("id", "msg_id"), 1)
+        res.compact_results(spark, out[name])
+    summaries = [rows(res.read_summary(spark, path)) for path in out.values()]
+    assert summaries[0] and summaries[0] == summaries[1] == summaries[2]
+    whole, some = res.read_results(spark, out["whole"]), res.read_results(spark, out["some"])
+    assert list(some) == ["risk"] and rows(some["risk"]) == rows(whole["risk"]) and res.read_results(spark, out["none"]) == {}
+    with pytest.raises(ValueError):
+        res.write_results(batch, out["some"], tables=("evidence",))
