@@ -129,3 +129,12 @@ def test_contents_are_dealt_to_two_tasks_a_core_that_stay_apart(spark):
     met.write.format("noop").mode("overwrite").save()
     assert met.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     assert met.count() == 200 and met.select("body").distinct().count() == 50
+
+
+def test_contents_of_unknown_size_are_not_dealt_to_thousands_of_tasks(spark):
+    from lureframe.plans import triage as plan
+
+    frame = spark.createDataFrame([(i, "ab"[i % 2] * (1 + i % 2)) for i in range(12)], "msg_id long, text string")  # rows of an RDD have no size
+    met = plan.per_content(frame, lambda rows: rows.withColumns({"title": F.lit("t"), "n": F.length("text")}))
+    assert f"{plan.MOST_TASKS})" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.msg_id, r.n) for r in met.collect()) == [(i, 1 + i % 2) for i in range(12)]
