@@ -710,3 +710,23 @@ def test_a_store_may_hold_only_the_tables_that_are_read(spark, tmp_path):
     assert list(some) == ["risk"] and rows(some["risk"]) == rows(whole["risk"]) and res.read_results(spark, out["none"]) == {}
     with pytest.raises(ValueError):
         res.write_results(batch, out["some"], tables=("evidence",))
+
+
+def test_only_attempts_with_many_tombstones_are_shuffled(spark, tmp_path, monkeypatch):
+    out, tables = str(tmp_path / "store"), ("risk",)
+    small_batch(spark, range(24)).write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    res.write_results(batch, out, stored=True, tables=tables)
+    res.write_results(batch.where("msg_id % 3 <> 0"), out, stored=True, tables=tables)
+    res.write_results(small_batch(spark, [40, 41]), out, tables=tables)
+    res.purge_results(spark, out, spark.createDataFrame([(2,), (6,)], "msg_id long"), 0)
+    want = [r.msg_id for r in res.read_results(spark, out)["risk"].orderBy("msg_id").collect()]
+    joins = lambda df: [df._jdf.queryExecution().executedPlan().toString().count(x) for x in ("BroadcastHashJoin", "SortMergeJoin")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few, plan in ((100, [1, 0]), (5, [1, 1]), (0, [0, 1])):   # one lost most of its rows, one a row, one none
+            monkeypatch.setattr(res, "SMALL_ROWS", few)
+            rows = res.read_results(spark, out)["risk"]
+            assert joins(rows) == plan and [r.msg_id for r in rows.orderBy("msg_id").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
