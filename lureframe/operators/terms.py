@@ -1,7 +1,7 @@
 """Phrases, rule keywords and brand names from tables of any size.
 
-The lexicon's few hundred terms are one regex of the plan; a hundred thousand cannot
-be.  Here each term is listed under its rarest pair of neighbouring tokens (a term of one token under
+A table of up to two thousand terms becomes one prefix-tree regex of the plan, which reads each text once; a hundred
+thousand cannot.  Of a larger one each term is listed under its rarest pair of neighbouring tokens (a term of one token under
 that), the tokens and pairs of a text are joined to that list, and what meets is verified in place.  A term with
 boundaries at both ends holds only whole tokens of the text, in the same order, so nothing is missed.
 """
@@ -10,11 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bind import unnest
+from ..functions.text import term_hits
 from ..sources.derived import SMALL_ROWS, derived, if_small
-from .reputation import feed_join
+from .reputation import estimated_bytes, feed_join
+
+#: An estimate from here on says that the size is not known.
+UNKNOWN_BYTES = 1 << 50
 
 #: A run of letters and digits, or one other visible character (for terms of another alphabet).
 TOKEN = r"[a-z0-9]+|[^a-z0-9\s]"
+#: Terms that one regex may hold, the characters of the longest, and bytes of their table (as the plan estimates them, if it can) up to which they are tried.
+LITERAL_TERMS, LITERAL_LENGTH, LITERAL_BYTES = 2_000, 200, 4 * 1024 * 1024
+#: Index rows that a task may hash while the texts' tokens stream by; beyond, both sides are sorted.
+HASHED_ROWS = 500_000
 
 
 def tokens_of(lower: Column) -> Column:
@@ -22,10 +30,12 @@ def tokens_of(lower: Column) -> Column:
 
 
 def pairs_of(lower: Column) -> Column:
-    """Neighbouring tokens with what stands between them."""
-    pair = r"((?<![a-z0-9])[a-z0-9]++|[^a-z0-9\s])(?=(\s*+(?:[a-z0-9]++|[^a-z0-9\s])))"
-    parts = lambda group: F.regexp_extract_all(lower, F.lit(pair), F.lit(group))
-    return F.array_distinct(F.zip_with(parts(1), parts(2), lambda a, b: F.concat(a, b)))
+    """Neighbouring tokens with what stands between them: every other pair of the text, then every other one after its first token."""
+    word, other = "[a-z0-9]++", r"[^a-z0-9\s]"
+    pair = rf"(?:(?<![a-z0-9]){word}|{other})\s*+(?:{word}|{other})"  # a match ends with a token, so the next one starts with one
+    rest = F.regexp_extract(lower, rf"(?s)\A\s*+(?:{word}|{other})(.*)\z", 1)
+    parts = lambda c: F.regexp_extract_all(c, F.lit(pair), F.lit(0))
+    return F.array_distinct(F.concat(parts(lower), parts(rest)))
 
 
 def keys_of(lower: Column) -> Column:
@@ -40,42 +50,74 @@ def stands_in(lower: Column, term: Column) -> Column:
 
 
 def term_index(texts: DataFrame, terms: DataFrame, text: str = "lower_body", pairs: bool = False) -> DataFrame:
-    """token, term, sure: every term under the token of it that the fewest texts hold; terms with a token that no text holds are left out.
+    """token, term, sure: every term under the token of it that the fewest texts hold.
 
     ``pairs``: terms of several tokens stand under pairs of neighbouring tokens instead, which far fewer texts share.
-    The tokens and pairs of all texts are counted, as far as some term has them.  ``sure``: the term is its key, so a text with the key holds it.
+    Texts are read only for terms with a choice of keys: what these may be listed under is counted, and those with a token that no
+    text holds are left out.  ``sure``: the term is its key, so a text with the key holds it.
     """
     of_term, of_text = tokens_of(F.col("term")), tokens_of(F.col(text))
-    if pairs:
-        of_term, of_text = F.when(F.size(pairs_of(F.col("term"))) > 0, pairs_of(F.col("term"))).otherwise(of_term), keys_of(F.col(text))
-    parts = derived(unnest(terms.select("term").where("term is not null").distinct(), of_term, "term", item="token").select("term", "token"), "term-tokens")
+    if pairs:  # a term of one token has one key
+        of_term, of_text = F.when(F.size(pairs_of(F.col("term"))) > 0, pairs_of(F.col("term"))).otherwise(of_term), pairs_of(F.col(text))
+    keyed = derived(terms.select("term").where("term is not null").distinct().withColumn("keys", of_term).where(F.size("keys") > 0), "keyed-terms")
+    sure = ((F.col("term") == F.col("token")) & F.rlike("term", F.lit(r"(?s)^[a-z0-9](.*[a-z0-9])?\z"))).alias("sure")
+    index = keyed.where(F.size("keys") == 1).select(F.get("keys", F.lit(0)).alias("token"), "term").select("token", "term", sure)
+    several = keyed.where(F.size("keys") > 1)
+    if several.isEmpty():
+        return index
+    parts = derived(unnest(several, "keys", "term", item="token").select("term", "token"), "term-tokens")
     asked = if_small(derived(parts.groupBy("token").agg(F.count(F.lit(1)).alias("terms")), "asked-tokens"))
     held = unnest(texts, of_text, item="token").select("token")
     counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).join(asked, "token")
     ranked = parts.join(if_small(derived(counts, "token-counts")), "token", "left")
     best = ranked.groupBy("term").agg(F.min_by("token", F.struct("texts", "terms", "token")).alias("token"), F.bool_and(F.col("texts").isNotNull()).alias("possible"))
-    sure = (F.col("term") == F.col("token")) & F.rlike("term", F.lit(r"(?s)^[a-z0-9](.*[a-z0-9])?\z"))
-    return best.where("possible").select("token", "term", sure.alias("sure"))
+    return index.unionByName(best.where("possible").select("token", "term").select("token", "term", sure))
+
 
+def few_terms(terms: DataFrame, most: int = LITERAL_TERMS) -> list[str] | None:
+    """The distinct terms with a visible character, if they are at most ``most`` and short enough for one regex; else None."""
+    if not most or LITERAL_BYTES < estimated_bytes(terms) < UNKNOWN_BYTES:
+        return None
+    found = [r[0] for r in terms.select("term").where(F.rlike("term", F.lit(r"\S"))).distinct().limit(most + 1).collect()]
+    return found if len(found) <= most and max(map(len, found), default=0) <= LITERAL_LENGTH else None
 
-def find_terms(texts: DataFrame, terms: DataFrame, key: str = "msg_id", text: str = "lower_body", small: int = SMALL_ROWS) -> DataFrame:
+
+def find_terms(texts: DataFrame, terms: DataFrame, key: str = "msg_id", text: str = "lower_body", small: int = SMALL_ROWS,
+               literal: int = LITERAL_TERMS) -> DataFrame:
     """key, term: every term that stands in a text (lower-cased), each once.
 
-    ``terms``: term (lower case).  An index of up to ``small`` rows is broadcast and verified while the text is at hand: no text
-    moves.  Beyond, tokens meet the index by a join that cuts frequent tokens in parts, and the texts that have a
-    candidate follow it to be verified, where the key is not the term itself.  Terms without a visible character occur nowhere; null texts hold nothing.
+    ``terms``: term (lower case).  Up to ``literal`` terms are one regex, and each text is read once.  An index of up to ``small`` rows is broadcast
+    and verified while the text is at hand: no text moves.  Beyond, tokens meet the index by a join, and the texts that have a
+    candidate follow it to be verified, where the key is not the term itself; a key that fills many rows is dealt to several tasks
+    (by adaptive execution where the key is the term, else by salts).  Terms without a visible character occur nowhere; null texts hold nothing.
     """
+    few = few_terms(terms, min(small, literal))
+    if few is not None:
+        return _literal_hits(texts, few, key, text).select(key, "term")
     index = derived(term_index(texts, terms, text, pairs=True), "term-index")
-    held = unnest(texts, keys_of(F.col(text)), key, text, item="token")
+    alone = F.rlike("token", F.lit(rf"\A(?:{TOKEN})\z"))
+    rows, tokens, certain = index.agg(F.count(F.lit(1)), F.count_if(alone), F.count_if("sure")).head()
+    lower = F.col(text)
+    keys = pairs_of(lower) if not tokens else tokens_of(lower) if tokens == rows else keys_of(lower)  # no kind that nothing is listed under
+    held = unnest(texts, keys, key, text, item="token")
     stands = stands_in(F.col(text), F.col("term"))
-    if index.count() <= small:
+    if rows <= small:
         return held.join(F.broadcast(index), "token").where(F.col("sure") | stands).select(key, "term")
-    meet = lambda part: feed_join(held.select(key, "token"), part, "token", F.col(key), "inner").select(key, "term")
-    found = meet(derived(index.where("sure").select("token", "term"), "sure-terms"))
-    rest = derived(index.where("not sure").select("token", "term"), "open-terms")
-    if rest.isEmpty():
+    sure = index.where("sure").select("token", "term")  # one row a token
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    how = "shuffle_hash" if certain <= HASHED_ROWS * tasks else "merge"
+    found = held.select(key, "token").join(sure.hint(how), "token").select(key, "term")
+    if certain == rows:
         return found
-    return found.unionByName(texts.select(key, text).join(meet(rest), key).where(stands).select(key, "term"))
+    rest = derived(index.where("not sure").select("token", "term"), "open-terms")
+    open_ = feed_join(held.select(key, "token"), rest, "token", F.col(key), "inner").select(key, "term")
+    return found.unionByName(texts.select(key, text).join(open_, key).where(stands).select(key, "term"))
+
+
+def _literal_hits(texts: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
+    """key, text, term of every term in every text, by one regex."""
+    found = term_hits(F.col(text), terms) if terms else F.expr("cast(array() as array<string>)")
+    return unnest(texts, found, key, text, item="term").select(key, text, "term")
 
 
 def _listed(found: DataFrame, dim: DataFrame, key: str, group: str, name: str) -> DataFrame:
@@ -97,9 +139,15 @@ def rules_by_table(texts: DataFrame, keywords: DataFrame, key: str = "msg_id", t
 
 def brands_by_table(texts: DataFrame, brands: DataFrame, key: str = "msg_id", text: str = "lower_body", **options) -> DataFrame:
     """msg_id, term and the brand's columns, of names that stand between word boundaries of any alphabet.  ``brands``: term, ..."""
-    found = if_small(derived(find_terms(texts, brands, key, text, **options), "brand-hits"))
     whole = F.rlike(F.col(text), F.concat(F.lit(r"(?U)\b\Q"), F.col("term"), F.lit(r"\E\b")))
-    return texts.select(key, text).join(found, key).where(whole).select(key, "term").join(if_small(derived(brands, "brands")), "term")
+    few = few_terms(brands, min(options.get("small", SMALL_ROWS), options.get("literal", LITERAL_TERMS)))
+    if few is None:
+        found = if_small(derived(find_terms(texts, brands, key, text, **options), "brand-hits"))
+        kept = texts.select(key, text).join(found, key).where(whole).select(key, "term")
+    else:  # hits are judged while the text is at hand
+        hits = derived(_literal_hits(texts, few, key, text).select(key, "term", whole.alias("whole")), "brand-hits")
+        kept = hits.where("whole").select(key, "term").join(if_small(hits.select(key, "term")), [key, "term"])
+    return kept.join(if_small(derived(brands, "brands")), "term")
 
 
 # -- nearest name -------------------------------------------------------------------------------------------------------------

@@ -730,3 +730,26 @@ def test_only_attempts_with_many_tombstones_are_shuffled(spark, tmp_path, monkey
             assert joins(rows) == plan and [r.msg_id for r in rows.orderBy("msg_id").collect()] == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_terms_are_one_regex_and_terms_with_one_key_read_no_text(spark):
+    import re
+
+    from lureframe.operators import terms as tm
+
+    texts = ["pay the fee now", "the  fee", "fee, the pay", "a$5 now", "$5 now, pay", "epay the fees", "x", "", None, "now now now", ", pay the", "x" * 3000, "$$5 now"]
+    listed = ["pay", "pay the", "pay the fee", "the fee", "the  fee", "$5", "$5 now", "now", "now now", "5 now, pay", ", ", "\\E", " "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "msg_id long, lower_body string")
+    dim = spark.createDataFrame([(t,) for t in [*listed, "now", None]], "term string")
+    want = sorted((i, t) for i, x in enumerate(texts) for t in listed if x and t.strip() and re.search(r"(?<![a-z0-9])" + re.escape(t) + r"(?![a-z0-9])", x))
+    for options in ({}, {"literal": 5}, {"literal": 0}, {"small": 0}):  # five: fewer than there are
+        found = tm.find_terms(rows, dim, **options)
+        assert sorted(map(tuple, found.collect())) == want, options
+        assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == bool(options), options
+    unread = rows.select("msg_id", F.raise_error(F.lit("texts were read")).cast("string").alias("lower_body"))
+    one_key = spark.createDataFrame([("pay the",), ("now",), ("x x x",)], "term string")
+    assert sorted(map(tuple, tm.term_index(unread, one_key, pairs=True).collect())) == [("now", "now", True), ("pay the", "pay the", True), ("x x", "x x x", False)]
+    twice = spark.createDataFrame([(1, "alder bank"), (1, "alder bank"), (2, "alderé"), (None, "alder")], "msg_id long, lower_body string")
+    brands = spark.createDataFrame([("alder", "banks")], "term string, kind string")
+    for options in ({}, {"literal": 0}):
+        assert sorted(map(tuple, tm.brands_by_table(twice, brands, **options).collect())) == [("alder", 1, "banks")] * 4
