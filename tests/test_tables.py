@@ -753,3 +753,18 @@ def test_few_terms_are_one_regex_and_terms_with_one_key_read_no_text(spark):
     brands = spark.createDataFrame([("alder", "banks")], "term string, kind string")
     for options in ({}, {"literal": 0}):
         assert sorted(map(tuple, tm.brands_by_table(twice, brands, **options).collect())) == [("alder", 1, "banks")] * 4
+
+
+def test_tens_of_thousands_of_tombstones_are_not_collected_in_the_driver(spark, tmp_path):
+    out, n = str(tmp_path / "store"), 45_000
+    batch = spark.range(n).selectExpr("id as msg_id", "id % 7 as user_id", "timestamp'2024-01-15 00:00:00' as ts", "cast(null as string) as reject_reason",
+                                      "'LOW' as level", "'unknown' as primary", "cast(id % 100 as double) as score")
+    for part in (batch, batch.where("msg_id > 0")):
+        res.write_results(part, out, stored=True, tables=())
+    left = res._rows(spark, out, res.INDEX, res.snapshot(spark, out))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in left._jdf.queryExecution().executedPlan().toString()
+        assert left.count() == left.select("msg_id").distinct().count() == n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
